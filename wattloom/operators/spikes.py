@@ -22,25 +22,31 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Limits:
-    """What one field may do. ``floor``: least size of a jump that no rider makes between two
-    readings; ``down``: whether falls count (power and cadence may fall to 0 at any time)."""
+    """What one field may do. ``floor``: least size of a jump; ``sure``: size from which no rider
+    makes it between two readings; ``down``: whether falls count (power and cadence may fall to 0 at
+    any time)."""
 
     lowest: float
     highest: float
     floor: float
+    sure: float
     down: bool
 
 
 LIMITS = {
-    "power": Limits(0, 2000, 250, False),
-    "heart_rate": Limits(25, 240, 30, True),
-    "cadence": Limits(0, 250, 60, False),
+    "power": Limits(0, 2000, 150, 250, False),
+    "heart_rate": Limits(25, 240, 30, 30, True),
+    "cadence": Limits(0, 250, 45, 45, False),
 }
 
 #: Scaled details beyond so many deviations are jumps.
 SIGMAS = 8.0
-#: A spike has at most so many readings; the coarse approximation spans so many on either side.
+#: A spike has at most so many readings, two that touch twice as many; the coarse approximation
+#: spans REACH readings on either side.
 SPIKE_READINGS, REACH = 3, 7
+#: An effort builds up in about three steps. Both jumps of a spike make at least these shares of its
+#: height: STEEP where they are smaller than what no rider makes, SHARE for touching spikes.
+STEEP, SHARE = 0.7, 0.45
 #: A stretch is stuck from so many readings and seconds on.
 STUCK_READINGS, STUCK_S = 10, 75.0
 BLOCK_S, MARGIN_S = 6 * 3600, 1800
@@ -48,7 +54,7 @@ BLOCK_S, MARGIN_S = 6 * 3600, 1800
 
 def _approximation(v: np.ndarray, level: float) -> np.ndarray:
     """Robust coarse approximation: the median of the values above 0 in reach; ``level`` stands in
-    where fewer than three are."""
+    where fewer than half of them are."""
     padded = np.pad(v, REACH, constant_values=0.0)
     near = np.sort(sliding_window_view(padded, 2 * REACH + 1), axis=1)
     zeros = (near <= 0).sum(axis=1)
@@ -57,7 +63,7 @@ def _approximation(v: np.ndarray, level: float) -> np.ndarray:
     rows = np.arange(len(v))
     top = 2 * REACH
     mid = (near[rows, np.minimum(lo, top)] + near[rows, np.minimum(hi, top)]) / 2
-    return np.where(n >= 3, mid, level)
+    return np.where(n > REACH, mid, level)
 
 
 def _spikes(v: np.ndarray, limits: Limits) -> np.ndarray:
@@ -80,11 +86,16 @@ def _spikes(v: np.ndarray, limits: Limits) -> np.ndarray:
     starts, ends = np.r_[0, edges], np.r_[edges, len(v)]
     for a, b in zip(starts, ends, strict=True):
         s = side[a]
-        if not s or b - a > SPIKE_READINGS:
+        if not s or b - a > 2 * SPIKE_READINGS:
             continue
-        up = s * detail[a - 1] if a else None
-        down = -s * detail[b - 1] if b < len(v) else None
-        if all(x is None or x > limit for x in (up, down)) and (up is not None or down is not None):
+        jumps = [s * detail[a - 1]] * int(a > 0) + [-s * detail[b - 1]] * int(b < len(v))
+        least = min(jumps, default=0.0)
+        share = least / np.abs(rest[a:b]).max()
+        if b - a > SPIKE_READINGS:
+            spike = len(jumps) == 2 and share >= SHARE and least > max(limit, limits.sure)
+        else:
+            spike = least > limit and (least > limits.sure or (len(jumps) == 2 and share >= STEEP))
+        if spike:
             marks[a:b] = True
     return marks
 
