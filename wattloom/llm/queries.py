@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions import timetext
-from wattloom.llm import history, match
+from wattloom.llm import history, leaks, match
 from wattloom.operators import instants
 from wattloom.session import table
 
@@ -54,8 +54,17 @@ def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).select(F.col("l_key").alias("id"), F.col("r_key").alias("garmin_activity_id"), "score", "confidence")
 
 
+def p9_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p9_regions(spark, sf_dir).where(F.col("run_words") >= leaks.LEAST_WORDS)
+    return found.select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_confidence)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_confidence, p9_found, p9_regions)}
 
 
 def oracle_sql() -> dict[str, str]:
