@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions import timetext
-from wattloom.llm import history, leaks, match
+from wattloom.llm import cuts, history, leaks, match
 from wattloom.operators import instants
 from wattloom.session import table
 
@@ -63,8 +63,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuts.cut_scores(table(spark, sf_dir, "documents")).where("log_odds > 0").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuts.rates(cuts.cut_scores(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_confidence, p9_found, p9_regions)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_confidence, p9_found, p9_regions, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
