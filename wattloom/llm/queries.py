@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions import timetext
-from wattloom.llm import cuts, history, leaks, match
+from wattloom.llm import cuts, history, leaks, match, packing
 from wattloom.operators import instants
 from wattloom.session import table
 
@@ -54,6 +54,15 @@ def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).select(F.col("l_key").alias("id"), F.col("r_key").alias("garmin_activity_id"), "score", "confidence")
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = packing.token_sizes(table(spark, sf_dir, "documents"))
+    return packing.fill_containers(sizes, table(spark, sf_dir, "pack_targets"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, sf_dir))
+
+
 def p9_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -72,7 +81,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_confidence, p9_found, p9_regions, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_confidence, p8_packed, p8_fill, p9_found, p9_regions, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
