@@ -299,7 +299,7 @@ def derived_units(df: DataFrame) -> DataFrame:
     return df.select(
         "id", r6(F.col("moving_time") / 3600).alias("hours"), r6(F.col("distance") / 1000).alias("km"),
         r9(F.try_divide("icu_average_watts", "average_heartrate")).alias("watts_per_beat"),
-        r9(F.try_divide(F.col("distance") * 3.6, F.col("moving_time"))).alias("kmh"),
+        F.round(F.try_divide(F.col("distance") * 3.6, F.col("moving_time")), 10).alias("kmh"),
     )
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.plans import rides
+from wattloom.plans import landed, readings, rides
 
-TABLES = (rides,)
+TABLES = (rides, readings, landed)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

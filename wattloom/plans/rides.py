@@ -99,7 +99,7 @@ QUERIES = {
     "summary_report": (q(A.summary_report), R(f"""SELECT count(*) AS rides, min({DAY}) AS first_day, max({DAY}) AS last_day, round(sum(distance)/1000,6) AS km, round(sum(moving_time)/3600,6) AS hours, round(sum(icu_training_load),6) AS load,
         (SELECT {FTP} FROM rides WHERE {FTP} IS NOT NULL ORDER BY start_date_local, id LIMIT 1) AS first_ftp, (SELECT {FTP} FROM rides WHERE {FTP} IS NOT NULL ORDER BY start_date_local DESC, id DESC LIMIT 1) AS last_ftp FROM rides""")),
     "summary_stats": (q(A.summary_stats), R(f"SELECT type, count(*) AS rides, min({DAY}) AS first_day, max({DAY}) AS last_day, round(sum(distance),2) AS distance, round(sum(moving_time),2) AS seconds, count(DISTINCT file_source) AS files FROM rides GROUP BY type")),
-    "derived_units": (q(A.derived_units), R("SELECT id, round(moving_time/3600,6) AS hours, round(distance/1000,6) AS km, round(icu_average_watts/nullif(average_heartrate,0),9) AS watts_per_beat, round(distance*3.6/nullif(moving_time,0),9) AS kmh FROM rides")),
+    "derived_units": (q(A.derived_units), R("SELECT id, round(moving_time/3600,6) AS hours, round(distance/1000,6) AS km, round(icu_average_watts/nullif(average_heartrate,0),9) AS watts_per_beat, round(distance*3.6/nullif(moving_time,0),10) AS kmh FROM rides")),
     "select_present": (q(lambda d: d.select(*A.present(d, ["id", "name", "no_such_column", "type"]))), R("SELECT id, name, type FROM rides")),
     "filter_range": (q(lambda d: d.where("moving_time >= 3600 and moving_time < 7200").select("id", "moving_time")), R("SELECT id, moving_time FROM rides WHERE moving_time >= 3600 AND moving_time < 7200")),
     "recent_window": (q(lambda d: A.since(d, 60).select("id", A.day_text(d["start_date_local"]).alias("day"))), R(f"SELECT id, {DAY} AS day FROM rides WHERE {_since(60)}")),
