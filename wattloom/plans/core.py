@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.plans import landed, readings, rides
+from wattloom.plans import landed, readings, rides, runs
 
-TABLES = (rides, readings, landed)
+TABLES = (rides, readings, landed, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

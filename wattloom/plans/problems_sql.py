@@ -1,7 +1,45 @@
-"""SQL that the problems' queries are checked against."""
+"""SQL that the problems' queries are checked against, over whole tables."""
 
 from __future__ import annotations
 
+PERIODS = """r AS (SELECT activity_id, CAST(floor(epoch_us(timestamp)/1e7) AS BIGINT)*10 AS p, power, heart_rate FROM fit_records WHERE activity_id IS NOT NULL AND timestamp IS NOT NULL),
+ f AS (SELECT activity_id, 'power' AS field_name, p, CAST(power AS DOUBLE) AS v FROM r UNION ALL SELECT activity_id, 'heart_rate', p, CAST(heart_rate AS DOUBLE) FROM r),
+ b AS (SELECT activity_id, field_name, min(p) AS lo, max(p) AS hi FROM f GROUP BY 1, 2 HAVING count(v) > 0),
+ g AS (SELECT activity_id, field_name, unnest(generate_series(lo, hi, 10)) AS p FROM b),
+ m AS (SELECT activity_id, field_name, p, avg(v) AS v FROM f WHERE v IS NOT NULL GROUP BY 1, 2, 3)"""
+
+P1_FOUND = f"WITH {PERIODS} SELECT g.activity_id, g.field_name, g.p AS period_start FROM g LEFT JOIN m ON g.activity_id = m.activity_id AND g.field_name = m.field_name AND g.p = m.p WHERE m.v IS NULL"
+
+P1_GRID = f"""WITH {PERIODS}, j AS (SELECT g.activity_id, g.field_name, g.p, m.v, max(CASE WHEN m.v IS NOT NULL THEN g.p END) OVER (PARTITION BY g.activity_id, g.field_name ORDER BY g.p) AS a,
+  min(CASE WHEN m.v IS NOT NULL THEN g.p END) OVER (PARTITION BY g.activity_id, g.field_name ORDER BY g.p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z
+  FROM g LEFT JOIN m ON g.activity_id = m.activity_id AND g.field_name = m.field_name AND g.p = m.p)
+ SELECT j.activity_id, j.field_name, j.p AS period_start, CASE WHEN j.v IS NOT NULL THEN j.v WHEN z - a <= 70 THEN x.v + (j.p - a) * 1.0 / (z - a) * (y.v - x.v) END AS value,
+  CASE WHEN j.v IS NOT NULL THEN 'measured' WHEN z - a <= 70 THEN 'interpolated' ELSE 'missing' END AS mark
+ FROM j LEFT JOIN m x ON j.activity_id = x.activity_id AND j.field_name = x.field_name AND j.a = x.p LEFT JOIN m y ON j.activity_id = y.activity_id AND j.field_name = y.field_name AND j.z = y.p"""
+
+
+#: The rider's local day of each ride: date parts by the shape that its exporting system writes.
+LOCAL_DAY = r"""CASE
+  WHEN regexp_matches(s, '^\d{4}-') THEN try_cast(substr(s, 1, 10) AS DATE)
+  WHEN regexp_matches(s, '^\d{1,2}\.') THEN try_strptime(regexp_extract(s, '^\d{1,2}\.\d{1,2}\.\d{4}'), '%d.%m.%Y')::DATE
+  WHEN regexp_matches(s, '^\d{1,2}/') AND regexp_matches(s, '[AP]M$') THEN try_strptime(regexp_extract(s, '^\d{1,2}/\d{1,2}/\d{4}'), '%m/%d/%Y')::DATE
+  WHEN regexp_matches(s, '^\d{1,2}/') THEN try_strptime(regexp_extract(s, '^\d{1,2}/\d{1,2}/\d{4}'), '%d/%m/%Y')::DATE
+  WHEN regexp_matches(s, '^[A-Z][a-z]{2} ') THEN try_strptime(regexp_extract(s, '^[A-Z][a-z]{2} \d{1,2}, \d{4}'), '%b %d, %Y')::DATE END"""
+UTC = r"""CASE WHEN regexp_full_match(u, '\d{13}') THEN epoch_ms(CAST(u AS BIGINT)) WHEN regexp_full_match(u, '\d{10}') THEN epoch_ms(CAST(u AS BIGINT)*1000)
+  WHEN regexp_matches(u, '^[A-Z][a-z]{2}, ') THEN try_strptime(substr(u, 6, 20), '%d %b %Y %H:%M:%S') ELSE timezone('UTC', CAST(u || CASE WHEN regexp_matches(u, '(Z|[+-]\d{2}:\d{2})$') THEN '' ELSE '+00' END AS TIMESTAMPTZ)) END"""
+DAILY = f"""f AS (SELECT * FROM activities QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id) = 1),
+ t AS (SELECT f.athlete_id, trim(start_date_local) AS s, start_date AS u, coalesce(nullif(regexp_extract(f.timezone, '[A-Za-z]+/[A-Za-z_]+'), ''), a.timezone) AS tz, icu_training_load AS l, moving_time AS m FROM f LEFT JOIN athletes a ON f.athlete_id = a.athlete_id),
+ d AS (SELECT athlete_id, coalesce({LOCAL_DAY}, CASE WHEN s IS NULL THEN timezone(tz, timezone('UTC', {UTC}))::DATE END) AS day, l, m FROM t),
+ s AS (SELECT athlete_id, day, sum(coalesce(l, 0)) AS load, sum(coalesce(m, 0)) AS secs, count(*) AS rides, max(coalesce(m, 0)) AS longest FROM d WHERE day IS NOT NULL AND athlete_id IS NOT NULL GROUP BY 1, 2),
+ c AS (SELECT athlete_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM s GROUP BY 1),
+ x AS (SELECT c.athlete_id, c.day, coalesce(load, 0) AS load, coalesce(secs, 0) AS secs, coalesce(rides, 0) AS rides, coalesce(longest, 0) AS longest FROM c LEFT JOIN s ON c.athlete_id = s.athlete_id AND c.day = s.day),
+ w AS (SELECT athlete_id, day, {", ".join(f"sum(load) OVER w{k} AS load_{k}, sum(secs) OVER w{k} AS seconds_{k}, count(*) OVER w{k} AS n_{k}, sum(rides) OVER w{k} AS rides_{k}, max(longest) OVER w{k} AS longest_{k}" for k in (7, 30))} FROM x
+  WINDOW w7 AS (PARTITION BY athlete_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY athlete_id ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""
+P6_TRAILING = f"WITH {DAILY} SELECT athlete_id, strftime(day, '%Y-%m-%d') AS ride_day, " + ", ".join(f"CAST(load_{k} AS BIGINT) AS load_{k}, load_{k}/n_{k} AS mean_load_{k}, CAST(seconds_{k} AS BIGINT) AS seconds_{k}, seconds_{k}/n_{k} AS mean_seconds_{k}, CAST(rides_{k} AS BIGINT) AS rides_{k}, CAST(longest_{k} AS BIGINT) AS longest_{k}" for k in (7, 30)) + " FROM w"
+P6_FOUND = f"WITH {DAILY}, p AS (SELECT *, max(load_7) OVER (PARTITION BY athlete_id) AS t7, max(load_30) OVER (PARTITION BY athlete_id) AS t30 FROM w) " + " UNION ALL ".join(
+    [f"SELECT athlete_id, strftime(day, '%Y-%m-%d') AS ride_day, 'peak_load_{k}' AS measure FROM p WHERE load_{k} = t{k} AND t{k} <> 0 UNION ALL SELECT athlete_id, strftime(day, '%Y-%m-%d'), 'idle_{k}' FROM p WHERE seconds_{k} = 0" for k in (7, 30)]
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p6_found": P6_FOUND, "p6_trailing": P6_TRAILING}
