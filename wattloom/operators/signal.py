@@ -105,7 +105,8 @@ def _features(records: DataFrame, fields: list[str], names: list[str], least: in
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         if len(pdf) <= least:
-            return pd.DataFrame({KEY: [], "weight": [], **{n: [] for n in names}})
+            empty = {n: np.empty(0) for n in ("weight", *names)}
+            return pd.DataFrame({KEY: np.empty(0, object), **empty})
         values = of(*[pdf[f].to_numpy(float) for f in fields])
         return pd.DataFrame([(key[0], float(len(pdf)), *values)], columns=[KEY, "weight", *names])
 
