@@ -28,7 +28,9 @@ PLAIN_ORDERS = (2, 3, 4, 5, 7)
 FILTER_BITS = 1 << 24
 #: Strength of the shorter context in the longer one, rounds of estimating the shares of cut texts,
 #: texts that a group's share leans on, and the share to begin with.
-LEAN, ROUNDS, GROUP_LEAN, FIRST_SHARE = 8.0, 4, 10.0, 0.1
+LEAN, ROUNDS, GROUP_LEAN, FIRST_SHARE = 20.0, 4, 10.0, 0.1
+#: Expected cuts in a context from which one more end may be chance.
+CHANCE_FROM = 0.01
 #: Log-odds of a text whose end carries the sign of a loss itself.
 CERTAIN = 20.0
 CHARS_AT_ONCE = 400_000
@@ -158,13 +160,18 @@ def _odds(share: Column, texts: float, places: float) -> Column:
     cut = share * F.lit(texts / places)
     start = (F.lit(1.0) - share) * F.lit(texts / places)
 
-    def step(h: Column, c: Column) -> Column:
+    def step(acc: Column, c: Column) -> Column:
         goes_on, ends = c["goes_on"], c["ends"] - 1  # without the text itself
         due = cut * goes_on
-        more = F.greatest(ends - due - 2 * F.sqrt(due) - 1, F.lit(0.0))  # one more may be chance
-        return (more + LEAN * h) / (goes_on + ends + LEAN)
-
-    chain = lambda a, n: F.ln(cut) - F.ln(F.aggregate(F.slice(F.col("counts"), a, n), start, step))
+        chance = F.when(due > CHANCE_FROM, 1.0).otherwise(0.0)  # one more may be chance
+        more = F.greatest(ends - due - 2 * F.sqrt(due) - chance, F.lit(0.0))
+        times = goes_on + ends
+        # a context seen nearly as often as the shorter one is the same evidence, not more of it
+        base = F.when(times * 2 > acc["times"], acc["base"]).otherwise(acc["h"])
+        return F.struct(base.alias("base"), ((more + LEAN * base) / (times + LEAN)).alias("h"), times.alias("times"))
+
+    first = F.struct(start.alias("base"), start.alias("h"), F.lit(places).alias("times"))
+    chain = lambda a, n: F.ln(cut) - F.ln(F.aggregate(F.slice(F.col("counts"), a, n), first, step)["h"])
     folded, plain = chain(1, len(ORDERS)), chain(len(ORDERS) + 1, len(PLAIN_ORDERS))
     return F.when(F.col("sure"), F.lit(CERTAIN)).when(F.col("name"), F.greatest(folded, plain)).otherwise(folded)
 
