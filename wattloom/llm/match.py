@@ -90,7 +90,7 @@ def _substrings(df: DataFrame, part: str, width: float) -> DataFrame:
 
 def close_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct pairs of encoded rides that agree in a substring: of start and distance, or, where
-    one side's distance is unknown, of start and elapsed time. Columns l_* and r_*."""
+    one side's distance is unknown, of start and elapsed or moving time. Columns l_* and r_*."""
     name = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns if c != "c"])
 
     def joined(a: DataFrame, b: DataFrame, part: str, width: float) -> DataFrame:
@@ -98,11 +98,9 @@ def close_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         return x.join(y, F.col("l_code") == F.col("r_code")).drop("l_code", "r_code")
 
     lost = "log_distance is null"
-    pairs = (
-        joined(left, right, "log_distance", LOG_DISTANCE_W)
-        .unionByName(joined(left.where(lost), right, "log_elapsed", LOG_TIME_W))
-        .unionByName(joined(left, right.where(lost), "log_elapsed", LOG_TIME_W))
-    )
+    pairs = joined(left, right, "log_distance", LOG_DISTANCE_W)
+    for part in ("log_elapsed", "log_time"):  # either may be unknown on the other side too
+        pairs = pairs.unionByName(joined(left.where(lost), right, part, LOG_TIME_W)).unionByName(joined(left, right.where(lost), part, LOG_TIME_W))
     return pairs.dropDuplicates(["l_key", "r_key", "r_clock"])
 
 
@@ -151,7 +149,7 @@ def match_rides(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFr
     """(l_key, r_key, score, confidence): each ride's mutual best with confidence of ``least`` or more.
 
     ``left`` and ``right`` as for ``encode``, one row per key; ``right``'s clock may be an hour off.
-    Rides without a start, and rides without both distance and elapsed time, match nothing. Ties go
+    Rides without a start match nothing, nor do pairs that share neither distance nor either time. Ties go
     to the smaller clock error, then to the lesser key. Every candidate pair is scored.
     """
     a = encode(left)
