@@ -14,7 +14,7 @@ def exact(df: DataFrame) -> DataFrame:
     counts = df.where(F.col("id").isNotNull()).groupBy("id").agg(
         F.count("*").alias("copies"), F.min("import_timestamp").alias("first_import"), F.max("import_timestamp").alias("last_import")
     )
-    return df.join(counts, "id", "left").select(
+    return df.select("row_id", "id").join(counts, "id", "left").select(
         "row_id", "id", "copies", F.unix_micros("first_import").alias("first_import_us"), F.unix_micros("last_import").alias("last_import_us"),
         F.coalesce(F.col("copies") > 1, F.lit(False)).alias("is_duplicate"),
     )
@@ -74,7 +74,7 @@ def track_sources(df: DataFrame) -> DataFrame:
 def summary(df: DataFrame) -> DataFrame:
     """By file: rows, and rows whose id stands more than once."""
     ids = df.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1 and id is not null").select("id", F.lit(1).alias("dup"))
-    return df.join(ids, "id", "left").groupBy("file_source").agg(F.count("*").alias("total"), F.count_if(F.col("dup") == 1).alias("duplicates"))
+    return df.select("id", "file_source").join(ids, "id", "left").groupBy("file_source").agg(F.count("*").alias("total"), F.count_if(F.col("dup") == 1).alias("duplicates"))
 
 
 def ingest_order(df: DataFrame) -> DataFrame:

@@ -38,10 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where it is unset (tests, one machine) a folder of this machine is used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "wattloom-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or "file://" + os.path.join(tempfile.gettempdir(), "wattloom-shared")
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
