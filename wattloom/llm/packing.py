@@ -85,6 +85,7 @@ def improve(sizes: np.ndarray, of: np.ndarray, capacity: int) -> np.ndarray:
         free = np.where(others, capacity - fill, 0)
         if free.sum() < fill[b]:  # not even in small parts would it fit elsewhere
             break
+        before = fill[b]
         while fill[b] > 0:
             mine = np.flatnonzero(of == b)
             mine = mine[sizes[mine] > 0]
@@ -124,6 +125,8 @@ def improve(sizes: np.ndarray, of: np.ndarray, capacity: int) -> np.ndarray:
                 break
             tried[:] = False
         else:
+            if fill[b] != before:  # what moved may let other bins move again
+                tried[:] = False
             tried[b] = True
     return of
 
