@@ -40,6 +40,12 @@ def test_spike_within_coasting_and_touching_spikes():
     assert [i for i, x in enumerate(got) if x] == [10, 11, 12, 13, 50]
 
 
+def test_spikes_at_the_ends():
+    v = noisy(40)
+    v[0], v[1], v[39] = 1100, 1000, 900
+    assert [i for i, x in enumerate(judge(v)) if x] == [0, 1, 39]
+
+
 def test_heart_rate_both_ways():
     v = noisy(50, 150)
     v = [150 + (x % 3) for x in v]

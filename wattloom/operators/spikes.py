@@ -88,7 +88,7 @@ def _spikes(v: np.ndarray, limits: Limits) -> np.ndarray:
         s = side[a]
         if not s or b - a > 2 * SPIKE_READINGS:
             continue
-        jumps = [s * detail[a - 1]] * int(a > 0) + [-s * detail[b - 1]] * int(b < len(v))
+        jumps = ([s * detail[a - 1]] if a > 0 else []) + ([-s * detail[b - 1]] if b < len(v) else [])
         least = min(jumps, default=0.0)
         share = least / np.abs(rest[a:b]).max()
         if b - a > SPIKE_READINGS:
