@@ -16,29 +16,31 @@ ACTIVITY_SCHEMA = T.StructType(
     + [T.StructField("has_fit_data", B), T.StructField("import_timestamp", T.TimestampType()), T.StructField("updated_at", T.TimestampType())]
 )
 
-#: Rules of types by name, in order; the first part found in the name decides. Fixed values.
-REAL_PARTS = ("speed", "distance", "intensity", "ratio", "avg_", "average_", "percent", "_pct", "lat", "lon", "factor", "weight", "temp", "elevation", "efficiency", "variability")
-INTEGER_PARTS = ("_time", "_secs", "watts", "power", "heartrate", "_hr", "cadence", "count", "calories", "load", "ftp", "num_")
-BOOLEAN_PREFIXES = ("is_", "has_", "device_watts")
-TIMESTAMP_PARTS = ("timestamp", "_date", "_at")
-TEXT_PARTS = ("name", "type", "id", "source", "hash", "json", "data", "serial")
+# Words in column names that decide the stored type, in order of precedence.
+REAL_WORDS = (
+    "moving_time", "distance", "elapsed_time", "elevation_gain", "elevation_loss", "speed", "pace", "watts", "power", "joules", "intensity", "load",
+    "fitness", "fatigue", "variability", "efficiency", "cadence", "weight", "compliance", "temperature", "oscillation", "stride", "contact_time",
+    "contact_balance", "vertical_ratio", "duration", "normalized", "factor", "score", "vo2", "threshold",
+)
+INTEGER_WORDS = ("heartrate", "hr", "ftp", "lthr", "bpm", "calories", "count", "secs", "seconds", "lap_count", "event_count", "data_points")
+BOOLEAN_STARTS = ("has_", "is_", "trainer", "commute", "race", "ignore", "device_watts")
+TIMESTAMP_WORDS = ("date", "timestamp", "created_at", "updated_at", "import_timestamp")
+DEVICE_REAL_WORDS = ("avg", "max", "min", "std", "normalized", "vi", "gain")
+DEVICE_INTEGER_WORDS = ("count", "points")
 
 
 def type_of_name(name: str) -> T.DataType:
-    """REAL before INTEGER, then BOOLEAN (by prefix), TIMESTAMP, TEXT; device and zone columns are
-    REAL; anything else is TEXT."""
+    """The type of a new column by its name; what no word decides is text."""
     n = name.lower()
-    if any(p in n for p in REAL_PARTS):
-        return D
-    if any(p in n for p in INTEGER_PARTS):
-        return L
-    if n.startswith(BOOLEAN_PREFIXES):
-        return B
-    if any(p in n for p in TIMESTAMP_PARTS):
-        return T.TimestampType()
-    if any(p in n for p in TEXT_PARTS):
-        return S
-    return D if n.startswith("fit_") or "zone" in n else S
+    rules = [(REAL_WORDS, D), (INTEGER_WORDS, L), (BOOLEAN_STARTS, B), (TIMESTAMP_WORDS, T.TimestampType())]
+    for words, kind in rules:
+        if n.startswith(words) if kind == B else any(w in n for w in words):
+            return kind
+    if n.startswith("fit_"):
+        for words, kind in ((DEVICE_REAL_WORDS, D), (DEVICE_INTEGER_WORDS, L)):
+            if any(w in n for w in words):
+                return kind
+    return L if n.startswith("hr_z") else S
 
 
 def present_columns(df: DataFrame, schema: T.StructType = ACTIVITY_SCHEMA) -> list[str]:
