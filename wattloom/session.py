@@ -47,3 +47,10 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """For CPU-bound work on rows: a table that lies in far fewer pieces than there are cores (one
+    small file) is dealt out by the keys; anything larger stays as it was scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if 2 * df.rdd.getNumPartitions() <= cores else df
