@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.session import cut_lineage
+from wattloom.session import cut_lineage, spread
 
 #: Lengths of the contexts, in folded characters.
 ORDERS = (2, 3, 4, 6, 8, 11, 15)
@@ -77,32 +77,41 @@ def context_hashes(x: np.ndarray, orders: tuple[int, ...]) -> list[np.ndarray]:
             moved[k:] = x[: len(x) - k] + np.uint64(1)
         h = h * MULTIPLIER + moved
         if k + 1 in orders:
-            y = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k)
-            out.append(y ^ (y >> np.uint64(27)))
+            out.append(_mixed(h, k))
     return out
 
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    y = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k)
+    return y ^ (y >> np.uint64(27))
+
+
 ENDS = "doc_id long, lang string, source string, n_chars long, tail string, sure boolean, name boolean, h array<long>"
 
 
+def end_hashes(views: list[str], orders: tuple[int, ...]) -> np.ndarray:
+    """The hashes of ``context_hashes`` at the last position of each text, one column per order."""
+    reach = max(orders)
+    pad = "\x02" * reach
+    # the last characters suffice: the longest context spans no more
+    x = _codes("".join((pad + v)[-reach:] for v in views)).reshape(len(views), reach)
+    out, h = [], np.full(len(views), len(orders), np.uint64)
+    for k in range(reach):
+        h = h * MULTIPLIER + (x[:, reach - 1 - k] + np.uint64(1))
+        if k + 1 in orders:
+            out.append(_mixed(h, k))
+    return np.column_stack(out).astype(np.int64)
+
+
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pad = "\x02" * max(ORDERS)
     for pdf in batches:
-        hashes, tails, sure, name = [], [], [], []
-        for text in pdf["text"]:
-            sure.append(bool(BROKEN.search(text)))
-            text = strip_tail(text)
-            tails.append(text[-TAIL_CHARS:])
-            folded = fold(text)
-            name.append(folded.endswith("\x04"))
-            own = []
-            for orders, view in ((ORDERS, folded), (PLAIN_ORDERS, DIGITS.sub("0", text))):
-                # the last characters suffice: the longest context spans few of them
-                x = _codes((pad + view)[-max(orders) :])
-                own += [int(v[-1].astype(np.int64)) for v in context_hashes(x, orders)]
-            hashes.append(own)
+        texts = [strip_tail(t) for t in pdf["text"]]
+        folded = [fold(t) for t in texts]
+        plain = [DIGITS.sub("0", t) for t in texts]
+        hashes = np.hstack([end_hashes(folded, ORDERS), end_hashes(plain, PLAIN_ORDERS)])
         yield pd.DataFrame(
-            {c: pdf[c] for c in ("doc_id", "lang", "source", "n_chars")} | {"tail": tails, "sure": sure, "name": name, "h": hashes}
+            {c: pdf[c] for c in ("doc_id", "lang", "source", "n_chars")}
+            | {"tail": [t[-TAIL_CHARS:] for t in texts], "sure": [bool(BROKEN.search(t)) for t in pdf["text"]], "name": [f.endswith("\x04") for f in folded], "h": list(hashes)}
         )
 
 
@@ -187,6 +196,7 @@ def cut_scores(documents: DataFrame) -> DataFrame:
     texts = documents.where(F.col("text").isNotNull()).select(
         "doc_id", "text", lang.alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.length("text").cast("long").alias("n_chars")
     )
+    texts = spread(texts, "doc_id")
     ends = cut_lineage(texts.mapInPandas(_ends, ENDS), "text-ends")
     each = ends.select("tail", "h").distinct().select(F.explode("h").alias("h"))
     at_end = cut_lineage(each.groupBy("h").agg(F.count("*").alias("ends")), "contexts")
