@@ -90,7 +90,7 @@ def riders_zones(activities: DataFrame, athletes: DataFrame) -> DataFrame:
         .agg(F.min("utc_s").alias("utc_s"), F.count("*").alias("n"))
     )
     own = lost.where("zone is not null").groupBy("athlete_id", "zone").agg(F.count("*").alias("stated"))
-    zones = F.explode(F.array(*map(F.lit, T.known_zones()))).alias("zone")
+    zones = F.explode(F.split(F.lit(",".join(T.known_zones())), ",")).alias("zone")
     tried = seen.select("athlete_id", "utc_s", "offset", "n", zones).where(F.col("zone").rlike("^(Africa|America|Asia|Atlantic|Australia|Europe|Indian|Pacific)/"))
     wrong = tried.groupBy("athlete_id", "zone").agg(
         F.sum(F.when(T.zone_offset(F.col("utc_s"), F.col("zone")) != F.col("offset"), F.col("n")).otherwise(0)).alias("wrong")
