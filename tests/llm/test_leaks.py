@@ -62,6 +62,18 @@ def test_against_brute_force(spark):
     assert got == expected and len(expected) > 15
 
 
+def test_regions_do_not_depend_on_their_company(monkeypatch):
+    import pandas as pd
+
+    docs, items = corpus(3)
+    frame = pd.DataFrame(docs, columns=["doc_id", "text"])
+    results = []
+    for size in (500, 400_000):
+        monkeypatch.setattr(leaks, "CHARS_AT_ONCE", size)
+        results.append(sorted(r for x in leaks._search(leaks.ItemIndex(items))(iter([frame])) for r in x.itertuples(index=False, name=None)))
+    assert results[0] == results[1] and results[0]
+
+
 def test_altered_passages_come_out_as_regions(spark):
     rng = random.Random(6)
     item = sentence(rng, 30)

@@ -20,10 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.session import spread
+
 #: Words in a row that make a leak; q of the q-grams; edits that a region may hold.
 LEAST_WORDS, Q, EDITS = 12, 16, 1
 #: Items whose q-grams are sent to the tasks at once, and characters that are looked up at once.
 ITEMS_AT_ONCE, CHARS_AT_ONCE = 4096, 400_000
+FILTER_SLOTS = 1 << 22
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 TAG = re.compile(r"<[^<>]{0,200}>")
@@ -72,6 +75,12 @@ class ItemIndex:
         self.hashes, self.of, self.at = every[order], np.concatenate(of)[order], np.concatenate(at)[order]
         self.keys, self.first = np.unique(self.hashes, return_index=True)
         self.count = np.diff(np.r_[self.first, len(self.hashes)])
+        self.filter = np.zeros(FILTER_SLOTS, bool)  # keeps most grams from the search in the sorted keys
+        self.filter[self._slot(self.keys)] = True
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(FILTER_SLOTS - 1)).astype(np.int64)
 
     @staticmethod
     def _least(w: list[str]) -> int:
@@ -87,12 +96,14 @@ def regions(index: ItemIndex, texts: list[np.ndarray]) -> np.ndarray:
     x = np.concatenate([p for t in texts for p in (t, glue)]) if texts else glue
     starts = np.cumsum([0] + [len(t) + Q for t in texts])[:-1]
     h = gram_hashes(x, Q)
-    slot = np.searchsorted(index.keys, h)
+    hit = np.flatnonzero(index.filter[index._slot(h)])
+    slot = np.searchsorted(index.keys, h[hit])
     slot[slot == len(index.keys)] = 0
-    hit = np.flatnonzero(index.keys[slot] == h) if len(index.keys) else np.empty(0, int)
+    same = index.keys[slot] == h[hit] if len(index.keys) else np.zeros(0, bool)
+    hit, slot = hit[same], slot[same]
     if not len(hit):
         return np.empty((0, 5), np.int64)
-    n, first = index.count[slot[hit]], index.first[slot[hit]]
+    n, first = index.count[slot], index.first[slot]
     pos = np.repeat(hit, n)
     entry = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     item, at = index.of[entry].astype(np.int64), index.at[entry].astype(np.int64)
@@ -132,7 +143,7 @@ def banded_scores(index: ItemIndex, texts: list[np.ndarray], rows: np.ndarray) -
         text = np.full((len(part), long + width), 0xFFFFFFFF, np.uint32)
         for i, r in enumerate(part):
             t, k, low = rows[r, 0], rows[r, 1], rows[r, 2]
-            piece = index.codes[k][lo[i] : lo[i] + long]
+            piece = index.codes[k][lo[i] : lo[i] + span[r] + 2 * LEAST_WORDS]  # its own reach, whatever its company
             item[i, : len(piece)] = piece
             a = lo[i] + low
             piece = texts[t][max(0, a) : max(0, a + long + width)]
@@ -211,7 +222,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     documents each come out; whole texts are searched whatever their length.
     """
     spark = documents.sparkSession
-    rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    rows = spread(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"), "doc_id")
     known = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     blocks = max(1, -(-known.count() // (ITEMS_AT_ONCE // 2)))
     found = spark.createDataFrame([], SCHEMA)
