@@ -86,7 +86,7 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return y ^ (y >> np.uint64(27))
 
 
-ENDS = "doc_id long, lang string, source string, n_chars long, tail string, sure boolean, name boolean, h array<long>"
+ENDS = "doc_id long, lang string, source string, n_chars long, tail string, sure boolean, name boolean, stop boolean, h array<long>"
 
 
 def end_hashes(views: list[str], orders: tuple[int, ...]) -> np.ndarray:
@@ -111,12 +111,13 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = np.hstack([end_hashes(folded, ORDERS), end_hashes(plain, PLAIN_ORDERS)])
         yield pd.DataFrame(
             {c: pdf[c] for c in ("doc_id", "lang", "source", "n_chars")}
-            | {"tail": [t[-TAIL_CHARS:] for t in texts], "sure": [bool(BROKEN.search(t)) for t in pdf["text"]], "name": [f.endswith("\x04") for f in folded], "h": list(hashes)}
+            | {"tail": [t[-TAIL_CHARS:] for t in texts], "sure": [bool(BROKEN.search(t)) for t in pdf["text"]], "name": [f.endswith("\x04") for f in folded], "stop": [t.endswith((".", "!", "?")) for t in texts], "h": list(hashes)}
         )
 
 
 def _inside(bits: np.ndarray):
-    """(h, n) of the contexts in mid-text that pass the filter, summed within each piece of a batch."""
+    """(h, spaced, joined) of the contexts in mid-text that pass the filter: how often a blank follows
+    and how often not, summed within each piece of a batch."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pad = np.full(max(ORDERS), 2, np.uint64)
@@ -128,12 +129,14 @@ def _inside(bits: np.ndarray):
             x = np.concatenate(pieces)
             inner = x != 2
             inner[np.cumsum([len(p) for p in pieces])[1::2] - 1] = False  # the ends themselves
+            blank = np.r_[(x[1:] == 32) | (x[1:] == 10), False]
             for v in context_hashes(x, orders):
-                v = v[inner]
                 slot = v & np.uint64(FILTER_BITS - 1)
-                v = v[(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                keys, n = np.unique(v, return_counts=True)
-                yield pd.DataFrame({"h": keys.astype(np.int64), "n": n})
+                kept = inner & ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+                for name, where in (("spaced", kept & blank), ("joined", kept & ~blank)):
+                    keys, n = np.unique(v[where], return_counts=True)
+                    zero = np.zeros(len(n), np.int64)
+                    yield pd.DataFrame({"h": keys.astype(np.int64), "spaced": zero, "joined": zero} | {name: n})
 
         for pdf in batches:
             texts, size = [], 0
@@ -162,25 +165,26 @@ def _filter_of(contexts: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _odds(share: Column, texts: float, places: float) -> Column:
+def _odds(spaced: Column, joined: Column, start: float) -> Column:
     """Log-odds of a cut against an end, without the group's prior: hazards of a cut and of an end
-    after the context, the end's taken from what ends beyond the cuts' share, shorter contexts
-    leaning on longer ones."""
-    cut = share * F.lit(texts / places)
-    start = (F.lit(1.0) - share) * F.lit(texts / places)
+    after the context. A cut has one hazard (``spaced``) at ends of words, where ends of sentences are
+    apart, and another (``joined``) elsewhere; the end's is taken from what ends beyond the cuts' share, shorter contexts leaning on
+    longer ones."""
 
     def step(acc: Column, c: Column) -> Column:
-        goes_on, ends = c["goes_on"], c["ends"] - 1  # without the text itself
-        due = cut * goes_on
+        ends = c["ends"] - 1  # without the text itself
+        goes_on = c["spaced"] + c["joined"]
+        due = spaced * c["spaced"] + joined * c["joined"]
         chance = F.when(due > CHANCE_FROM, 1.0).otherwise(0.0)  # one more may be chance
         more = F.greatest(ends - due - 2 * F.sqrt(due) - chance, F.lit(0.0))
         times = goes_on + ends
         # a context seen nearly as often as the shorter one is the same evidence, not more of it
         base = F.when(times * 2 > acc["times"], acc["base"]).otherwise(acc["h"])
-        return F.struct(base.alias("base"), ((more + LEAN * base) / (times + LEAN)).alias("h"), times.alias("times"))
+        cut = F.when(goes_on > 0, due / goes_on).otherwise(acc["cut"])
+        return F.struct(base.alias("base"), ((more + LEAN * base) / (times + LEAN)).alias("h"), times.alias("times"), cut.alias("cut"))
 
-    first = F.struct(start.alias("base"), start.alias("h"), F.lit(places).alias("times"))
-    chain = lambda a, n: F.ln(cut) - F.ln(F.aggregate(F.slice(F.col("counts"), a, n), first, step)["h"])
+    first = F.struct(F.lit(start).alias("base"), F.lit(start).alias("h"), F.lit(1e18).alias("times"), joined.alias("cut"))
+    chain = lambda a, n: F.aggregate(F.slice(F.col("counts"), a, n), first, step, lambda x: F.ln(x["cut"]) - F.ln(x["h"]))
     folded, plain = chain(1, len(ORDERS)), chain(len(ORDERS) + 1, len(PLAIN_ORDERS))
     return F.when(F.col("sure"), F.lit(CERTAIN)).when(F.col("name"), F.greatest(folded, plain)).otherwise(folded)
 
@@ -200,8 +204,10 @@ def cut_scores(documents: DataFrame) -> DataFrame:
     ends = cut_lineage(texts.mapInPandas(_ends, ENDS), "text-ends")
     each = ends.select("tail", "h").distinct().select(F.explode("h").alias("h"))
     at_end = cut_lineage(each.groupBy("h").agg(F.count("*").alias("ends")), "contexts")
-    inside = texts.select("text").mapInPandas(_inside(_filter_of(at_end.select("h"))), "h long, n long").groupBy("h").agg(F.sum("n").alias("goes_on"))
-    model = at_end.join(inside, "h", "left").select("h", "ends", F.coalesce("goes_on", F.lit(0)).alias("goes_on"))
+    inside = texts.select("text").mapInPandas(_inside(_filter_of(at_end.select("h"))), "h long, spaced long, joined long")
+    inside = inside.groupBy("h").agg(F.sum("spaced").alias("spaced"), F.sum("joined").alias("joined"))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
+    model = at_end.join(inside, "h", "left").select("h", number("ends"), number("spaced"), number("joined"))
     tops = ends.groupBy("source").agg(F.max("n_chars").alias("top"))
     keyed = ends.withColumn("row", F.monotonically_increasing_id())
     keyed = cut_lineage(keyed, "text-rows")
@@ -209,34 +215,49 @@ def cut_scores(documents: DataFrame) -> DataFrame:
         keyed.select("row", F.posexplode("h").alias("order", "h"))
         .join(model, "h")
         .groupBy("row")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "goes_on", "ends"))), lambda c: F.struct(c["goes_on"].cast("double").alias("goes_on"), c["ends"].cast("double").alias("ends"))).alias("counts"))
-    )  # one list of len(ORDERS) per text
+        .agg(F.array_sort(F.collect_list(F.struct("order", "spaced", "joined", "ends"))).alias("counts"))
+    )  # one list of fixed length per text
     group = F.col("n_chars") >= 0.93 * F.col("top")
+    # at which kind of place the text ends, by its longest context that is not rare
+    seen = F.try_element_at(F.filter(F.slice("counts", 1, len(ORDERS)), lambda c: c["spaced"] + c["joined"] >= 5), F.lit(-1))
+    at_word = F.coalesce(seen["spaced"] * 2 >= seen["spaced"] + seen["joined"], F.lit(False))
+    rows = keyed.drop("h", "tail").join(counts, "row").join(tops, "source")
     judged = cut_lineage(
-        keyed.drop("h", "tail").join(counts, "row").join(tops, "source").select("doc_id", "lang", "source", "n_chars", "sure", "name", group.alias("long"), "counts"), "text-counts"
+        rows.select("doc_id", "lang", "source", "n_chars", "sure", "name", "stop", group.alias("long"), at_word.alias("at_word"), "counts"), "text-counts"
     )
     n, places = judged.agg(F.count("*"), F.sum("n_chars")).first()
     if not n:
         return judged.select("doc_id", "lang", "source", "n_chars", F.lit(0.0).alias("log_odds"))
-    places = max(float(places or 0), 1.0)
-    share = FIRST_SHARE
+    less = lambda pattern: F.sum(F.length("text") - F.length(F.regexp_replace("text", pattern, "")))
+    blanks, stops = texts.agg(less("[ \\n]"), less("[.!?](?=[ \\n])")).first()
+    # ends of words, ends of sentences, other places; and the share of texts that are cut at each
+    at = [max(float(x or 0), 1.0) for x in (blanks - stops, stops, places - blanks)]
+    shares = [FIRST_SHARE / 2, FIRST_SHARE / 100, FIRST_SHARE / 2]
     groups = None
     logit = lambda p: F.ln(p / (1 - p))
-    for _ in range(ROUNDS):
-        odds = _odds(F.lit(share), float(n), places)
+
+    def scored(shares: list[float], groups: DataFrame | None) -> DataFrame:
+        every = sum(shares)
+        word, sentence, other = (x * n / y for x, y in zip(shares, at, strict=True))
+        odds = _odds(F.when(F.col("stop"), F.lit(sentence)).otherwise(F.lit(word)), F.lit(other), (1 - every) * n / max(float(places), 1.0))
         if groups is None:
-            scored = judged.withColumn("log_odds", odds)
-        else:
-            scored = judged.join(groups, ["source", "lang", "long"]).withColumn("log_odds", odds + logit(F.col("share")) - F.lit(float(np.log(share / (1 - share)))))
+            return judged.withColumn("log_odds", odds)
+        prior = logit(F.col("share")) - F.lit(float(np.log(every / (1 - every))))
+        return judged.join(groups, ["source", "lang", "long"]).withColumn("log_odds", odds + prior)
+
+    for _ in range(ROUNDS):
         cut = 1 / (1 + F.exp(-F.col("log_odds")))
-        sums = scored.groupBy("source", "lang", "long").agg(F.sum(cut).alias("cut"), F.count("*").alias("n"))
-        sums = cut_lineage(sums, "cut-shares")
-        share = min(0.9, max(1e-4, sums.agg(F.sum("cut") / F.sum("n")).first()[0]))
+        kind = F.when(~F.col("at_word"), 2).when(F.col("stop"), 1).otherwise(0)
+        parts = scored(shares, groups).groupBy("source", "lang", "long").agg(
+            *[F.sum(F.when(kind == k, cut).otherwise(0.0)).alias(f"cut_{k}") for k in range(3)], F.count("*").alias("n")
+        )
+        sums = cut_lineage(parts.withColumn("cut", F.col("cut_0") + F.col("cut_1") + F.col("cut_2")), "cut-shares")
+        whole = sums.agg(*[F.sum(f"cut_{k}") / F.sum("n") for k in range(3)]).first()
+        shares = [min(0.3, max(1e-6, float(x))) for x in whole]
         own = F.sum("cut").over(_by("source", "long")) / F.sum("n").over(_by("source", "long"))
         leaned = (F.col("cut") + GROUP_LEAN * own) / (F.col("n") + GROUP_LEAN)
         groups = sums.select("source", "lang", "long", F.least(F.greatest(leaned, F.lit(1e-4)), F.lit(0.999)).alias("share"))
-    odds = _odds(F.lit(share), float(n), places) + logit(F.col("share")) - F.lit(float(np.log(share / (1 - share))))
-    return judged.join(groups, ["source", "lang", "long"]).select("doc_id", "lang", "source", "n_chars", odds.alias("log_odds"))
+    return scored(shares, groups).select("doc_id", "lang", "source", "n_chars", "log_odds")
 
 
 def _by(*columns: str):
