@@ -114,6 +114,26 @@ def test_pages():
     assert [r["id"] for r in files.fetch_pages(fetch, batch=10, seen={3})] == [i for i in range(25, 0, -1) if i != 3]
 
 
+def test_patience():
+    now, slept, fails = [0.0], [], [2]
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    def fetch(x):
+        if fails[0]:
+            fails[0] -= 1
+            raise OSError("later")
+        return x
+
+    call = files.patient(fetch, per_minute=5, clock=lambda: now[0], sleep=sleep)
+    assert [call(i) for i in range(5)] == list(range(5)) and slept[:2] == [1.0, 2.0] and max(slept) > 50
+    fails[0] = 9
+    with pytest.raises(OSError):
+        call(1)
+
+
 def test_archive(tmp_path):
     for _ in range(2):
         archive_file(write(tmp_path / "a.csv", "x"), str(tmp_path / "old"))

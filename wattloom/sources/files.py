@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -121,3 +122,25 @@ def fetch_pages(fetch: Callable[[str | None], list[dict]], key: str = "start_dat
         if len(page) < batch:
             return
         newest = page[-1][key]
+
+
+def patient(fetch: Callable, per_minute: int = 90, tries: int = 3, wait_s: float = 1.0, clock=time.monotonic, sleep=time.sleep) -> Callable:
+    """``fetch`` with at most so many calls a minute and retries with doubled waits; an error with
+    ``retry_after`` (seconds) waits that long."""
+    calls: list[float] = []
+
+    def call(*args):
+        for attempt in range(tries):
+            now = clock()
+            calls[:] = [t for t in calls if now - t < 60]
+            if len(calls) >= per_minute:
+                sleep(60 - (now - calls[0]))
+            calls.append(clock())
+            try:
+                return fetch(*args)
+            except Exception as e:  # noqa: BLE001
+                if attempt == tries - 1:
+                    raise
+                sleep(getattr(e, "retry_after", wait_s * 2**attempt))
+
+    return call
