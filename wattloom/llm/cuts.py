@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from wattloom.session import cut_lineage, spread
 
 #: Lengths of the contexts, in folded characters.
-ORDERS = (2, 3, 4, 6, 8, 11, 15)
+ORDERS = (2, 4, 6, 9, 14)
 #: Lengths of the contexts that keep names as written, for texts that end within or after a name.
-PLAIN_ORDERS = (2, 3, 4, 5, 7)
+PLAIN_ORDERS = (2, 4, 6)
 #: Bits of the filter that keeps only contexts that end some text; false positives only cost time.
 FILTER_BITS = 1 << 24
 #: Strength of the shorter context in the longer one, rounds of estimating the shares of cut texts,
