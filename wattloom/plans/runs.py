@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from wattloom.adapter import rides
 from wattloom.operators import forecast
-from wattloom.session import shared_dir, table
+from wattloom.session import shared_path, table
 from wattloom.streaming import ingest
 
 
@@ -18,7 +16,7 @@ def m(f, *args):
 
 def _landed(spark, sf_dir) -> str:
     """Activities written as files of a folder, in order of landing, for the streams to read."""
-    path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    path = shared_path(spark, "landed")
     table(spark, sf_dir, "activities").repartitionByRange(4, "row_id").sortWithinPartitions("row_id").write.parquet(path)
     return path
 
@@ -36,7 +34,7 @@ def stream_ingest_dedup(spark, sf_dir):
 def stream_hourly(spark, sf_dir):
     """Windowed loads of the events, worked out by a bounded stream in complete mode."""
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    path = shared_path(spark, "events")
     events.repartition(4).write.parquet(path)
     stream = ingest.file_stream(spark, path, events.schema, "parquet")
     out = f"{path}-hourly"

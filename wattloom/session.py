@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,10 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or "file://" + os.path.join(tempfile.gettempdir(), "wattloom-shared")
 
 
+_written: list[str] = []
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; what lies there is removed when this process ends, where the
+    folder is a mounted one."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+@atexit.register
+def _tidy() -> None:
+    for path in _written:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: survives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
