@@ -58,6 +58,14 @@ def test_nulls_ties_and_empty(spark):
     assert match.match_rides(df([]), df(same)).count() == 0 and match.match_rides(df([]), df([])).count() == 0
 
 
+def test_a_group_of_copies_forms_no_pairs(spark):
+    many = [ride(k, 90_000, 1e4, 2e3, 2e3, 150, 200, 100.0, "Same") for k in range(2000)]
+    other = [ride(5000, 500_000, 2e4, 4e3, 4e3, 140, 180, 50.0, "Other")]
+    df = spark.createDataFrame([*many, *other], SCHEMA)
+    assert match.one_of_copies(match.encode(df)).count() == 2
+    assert {(r.l_key, r.r_key) for r in match.match_rides(df, df).collect()} == {(0, 0), (5000, 5000)}
+
+
 def test_calibration_rises():
     a, b = match.calibrate([(45, 100, 1), (20, 2, 80), (30, 10, 10)])
     p = lambda x: 1 / (1 + 2.718281828 ** -(a + b * x))

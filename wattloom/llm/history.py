@@ -10,12 +10,10 @@ repeat a vector exactly are looked up once.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.session import cut_lineage, shared_dir
+from wattloom.session import cut_lineage, shared_path
 
 #: Scales of the vector: a difference of one scale in any part is a distance of 1, the radius.
 START_S, LOG_DISTANCE, LOG_TIME = 300, 0.012, 0.015
@@ -90,7 +88,7 @@ class RideCells:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/ride-cells-{uuid.uuid4().hex}"
+        self.path = path or shared_path(spark, "ride-cells")
         self.empty = True
 
     def cells(self) -> DataFrame:

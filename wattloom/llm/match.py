@@ -78,6 +78,13 @@ def encode(rides: DataFrame) -> DataFrame:
     )
 
 
+def one_of_copies(encoded: DataFrame) -> DataFrame:
+    """Of rides that are alike in every encoded field, the one of the least key: all others would
+    lose every tie to it, so no pair of copies needs to be formed."""
+    rest = [c for c in encoded.columns if c != "key"]
+    return encoded.groupBy(*rest).agg(F.min("key").alias("key"))
+
+
 def _substrings(df: DataFrame, part: str, width: float) -> DataFrame:
     """One row per shift: the hash of the cells of the start and of ``part`` on that shifted grid."""
     cells = [
@@ -152,10 +159,11 @@ def match_rides(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFr
     Rides without a start match nothing, nor do pairs that share neither distance nor either time. Ties go
     to the smaller clock error, then to the lesser key. Every candidate pair is scored.
     """
-    a = cut_lineage(encode(left), "rides-left")  # joined several times, read once
+    a = cut_lineage(one_of_copies(encode(left)), "rides-left")  # joined several times, read once
     late = right.withColumn("clock", F.explode(F.array(*[F.lit(c) for c in CLOCKS])))
     shifted = late.withColumn("start_s", F.col("start_s") + F.col("clock")).withColumn("key", F.struct("key", "clock"))
-    b = cut_lineage(encode(shifted).withColumn("clock", F.col("key.clock")).withColumn("key", F.col("key.key")), "rides-right")
+    b = encode(shifted).withColumn("clock", F.col("key.clock")).withColumn("key", F.col("key.key"))
+    b = cut_lineage(one_of_copies(b), "rides-right")
     scored = dice(close_pairs(a, b)).select("l_key", "r_key", F.abs("r_clock").alias("clock"), "score").where("score is not null")
     scored = scored.groupBy("l_key", "r_key").agg(F.max(F.struct("score", (-F.col("clock")).alias("clock"))).alias("best"))
     order = lambda key, other: Window.partitionBy(key).orderBy(F.desc("best"), other)
