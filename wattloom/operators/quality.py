@@ -18,6 +18,7 @@ RANGES = {
     "average_speed": (0, 30), "average_heartrate": (30, 220), "icu_average_watts": (0, 600), "icu_normalized_watts": (0, 700),
     "icu_training_load": (0, 600), "icu_intensity": (0, 2), "icu_ftp": (50, 500),
 }
+#: Words that stand for a truth value. Fixed values.
 TRUTHS = ("true", "false", "1", "0", "yes", "no", "t", "f")
 DATETIMES = (
     r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", r"^\d{1,2}/\d{1,2}/\d{4}", r"^\d{1,2}\.\d{1,2}\.\d{4}",
