@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.operators import activity as A
@@ -16,14 +18,22 @@ from wattloom.operators import activity as A
 FEATURES = ["days_training", "load_7", "load_28", "intensity_7", "intensity_28", "seconds_7", "seconds_28", "icu_fitness", "icu_fatigue"]
 
 
+#: Rows of models in order of time, the day first.
+ORDER = ("day", A.START, "id")
+#: Trees of a forest and rounds of boosting.
+TREES = ROUNDS = 100
+#: Fits that run side by side.
+FITS_AT_ONCE = 3
+
+
 def regressors(few: bool = False) -> dict:
     """Straight line, forest and boosting; only the line where rows are few."""
     line = {"linear": LinearRegression(labelCol="label", regParam=1e-3)}
     if few:
         return line
     return line | {
-        "forest": RandomForestRegressor(labelCol="label", numTrees=30, maxDepth=5, seed=7),
-        "boosting": GBTRegressor(labelCol="label", maxIter=20, maxDepth=3, seed=7),
+        "forest": RandomForestRegressor(labelCol="label", numTrees=TREES, maxDepth=5, seed=7),
+        "boosting": GBTRegressor(labelCol="label", maxIter=ROUNDS, maxDepth=3, seed=7),
     }
 
 
@@ -34,74 +44,162 @@ def pipeline(model, features: Sequence[str]) -> Pipeline:
 
 def folds(df: DataFrame, order: Sequence[str], k: int = 3) -> DataFrame:
     """``df`` with ``fold`` 0 to k in order: training on folds before i and testing on i is an
-    expanding split. Cut by quantile of a rank over distributed ranges, not by one sorted window."""
-    edges = df.agg(F.percentile_approx(F.col(order[0]).cast("double"), [i / (k + 1) for i in range(1, k + 1)], 10_000).alias("e")).first()["e"] or []
-    fold = F.lit(0)
-    for i, e in enumerate(edges):
-        fold = F.when(F.col(order[0]).cast("double") > e, i + 1).otherwise(fold)
-    return df.withColumn("fold", fold)
+    expanding split. Folds 1 to k have n // (k + 1) rows each, fold 0 the rest. ``order`` begins with
+    a number of few distinct values (a day): ranks are worked out within it and carried over by counts."""
+    first, *rest = order
+    counts = df.groupBy(first).agg(F.count("*").alias("_m"))
+    along = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(first, F.coalesce(F.sum("_m").over(along), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy()).alias("_n"))
+    within = F.row_number().over(Window.partitionBy(first).orderBy(*(rest or [first])))
+    ranked = df.withColumn("_within", within).join(before, first)
+    size = F.floor(F.col("_n") / (k + 1))
+    behind = F.col("_n") - F.col("_before") - F.col("_within")
+    fold = F.when(size > 0, F.greatest(F.lit(0), k - F.floor(behind / size))).otherwise(0).cast("int")
+    return ranked.withColumn("fold", fold).drop("_within", "_before", "_n")
 
 
 def cross_validated(df: DataFrame, features: Sequence[str], k: int = 3) -> dict[str, float]:
-    """R2 of each model, the mean over expanding folds that have rows on both sides."""
-    cut = folds(df, ["days_training"], k).persist()
+    """R2 of each model, the mean over expanding folds, in ``ORDER``, that have rows on both sides."""
+    cut = folds(df, ORDER, k).persist()
     few = cut.count() < 10
-    out = {}
     evaluator = RegressionEvaluator(labelCol="label", metricName="r2")
-    for name, model in regressors(few).items():
-        scores = []
-        for i in range(1, k + 1):
-            train, test = cut.where(F.col("fold") < i), cut.where(F.col("fold") == i)
-            if train.isEmpty() or test.isEmpty():
-                continue
-            scores.append(evaluator.evaluate(pipeline(model, features).fit(train).transform(test)))
-        out[name] = sum(scores) / len(scores) if scores else 0.0
+    sizes = {r["fold"]: r["count"] for r in cut.groupBy("fold").count().collect()}
+    usable = [i for i in range(1, k + 1) if sizes.get(i) and any(sizes.get(j) for j in range(i))]
+
+    def score(name: str, i: int) -> float:
+        fitted = pipeline(regressors(few)[name], features).fit(cut.where(F.col("fold") < i))
+        return evaluator.evaluate(fitted.transform(cut.where(F.col("fold") == i)))
+
+    names = list(regressors(few))
+    pairs = [(m, i) for m in names for i in usable]
+    scores = dict(zip(pairs, _together([lambda m=m, i=i: score(m, i) for m, i in pairs]), strict=True))
     cut.unpersist()
-    return out
+    return {m: sum(scores[m, i] for i in usable) / len(usable) if usable else 0.0 for m in names}
+
+
+def _together(tasks: Sequence[Callable]) -> list:
+    """Results of fits that do not depend on one another; their short jobs share the cores."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(lambda f: f(), tasks))
 
 
 def training_rows(rides: DataFrame) -> DataFrame:
-    rows = A.ftp_features(rides).withColumnRenamed("ftp", "label")
-    return rows.na.drop(subset=[*FEATURES, "label"])
+    """Features and label of the FTP models, with the columns of ``ORDER``."""
+    rows = A.ftp_features(rides).withColumnRenamed("ftp", "label").na.drop(subset=[*FEATURES, "label"])
+    return rows.join(rides.select("id", A.START, F.unix_date(F.col(A.START).cast("date")).alias("day")), "id")
+
+
+FORECAST = "day int, predicted double, lower double, upper double, models int, r2_linear double, r2_forest double, r2_boosting double, best_model string, current_ftp double, expected_gain double, expected_gain_pct double"
 
 
 def ftp_forecast(rides: DataFrame, days_ahead: int = 30) -> DataFrame:
     """(day, predicted, lower, upper, models): the latest state carried on day by day, the mean of the
-    models with 1.96 deviations between them. No rows below three distinct FTP values or three rows."""
-    rows = training_rows(rides)
+    models with 1.96 deviations between them. Beside each day stand the models' cross-validated R2
+    (null for a model that is not fitted), the best of them, the latest FTP and the gain on it by the
+    last day. No rows below three distinct FTP values or three rows."""
+    rows = training_rows(rides).persist()
     n, distinct = rows.agg(F.count("*"), F.count_distinct("label")).first()
     spark = rides.sparkSession
     if n < 3 or distinct < 3:
-        return spark.createDataFrame([], "day int, predicted double, lower double, upper double, models int")
-    last = rows.agg(F.max_by(F.struct(*FEATURES), F.struct("days_training", "id")).alias("s")).select("s.*")
-    ahead = last.select(F.explode(F.sequence(F.lit(1), F.lit(days_ahead))).alias("day"), *FEATURES).withColumn("days_training", F.col("days_training") + F.col("day"))
-    parts = [pipeline(m, FEATURES).fit(rows).transform(ahead).select("day", F.col("prediction").alias("p")) for m in regressors(n < 10).values()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        rows.unpersist()
+        return spark.createDataFrame([], FORECAST)
+    models = regressors(n < 10)
+    # two folds, none below four rows
+    scores = cross_validated(rows, FEATURES, 2) if n >= 4 else dict.fromkeys(models, 0.0)
+    last = rows.orderBy(*[F.desc(c) for c in ORDER]).first()
+    state = spark.createDataFrame([tuple(float(last[c]) for c in FEATURES)], ", ".join(f"{c} double" for c in FEATURES))
+    ahead = state.select(F.explode(F.sequence(F.lit(1), F.lit(days_ahead))).alias("day"), *FEATURES).withColumn("days_training", F.col("days_training") + F.col("day"))
+    fitted = _together([lambda m=m: pipeline(m, FEATURES).fit(rows) for m in models.values()])
+    every = reduce(DataFrame.unionByName, [f.transform(ahead).select("day", F.col("prediction").alias("p")) for f in fitted])
+    rows.unpersist()
     mean, std = F.avg("p"), F.coalesce(F.stddev_pop("p"), F.lit(0.0))
-    return every.groupBy("day").agg(mean.alias("predicted"), (mean - 1.96 * std).alias("lower"), (mean + 1.96 * std).alias("upper"), F.count("*").cast("int").alias("models"))
+    out = every.groupBy("day").agg(mean.alias("predicted"), (mean - 1.96 * std).alias("lower"), (mean + 1.96 * std).alias("upper"), F.count("*").cast("int").alias("models"))
+    current = F.lit(float(last["label"]))
+    gain = F.max_by("predicted", "day").over(Window.partitionBy()) - current
+    return out.select(
+        "*", *[F.lit(scores.get(m)).cast("double").alias(f"r2_{m}") for m in ("linear", "forest", "boosting")],
+        F.lit(max(scores, key=scores.get)).alias("best_model"), current.alias("current_ftp"), gain.alias("expected_gain"),
+        (F.try_divide(gain, current) * 100).alias("expected_gain_pct"),
+    )
 
 
 def weekly_milestones(rides: DataFrame) -> DataFrame:
     return ftp_forecast(rides, 28).where("day % 7 = 0")
 
 
-def power_models(rides: DataFrame, target: str = "icu_normalized_watts") -> DataFrame:
-    """(model, r2, feature, importance): cross-validated R2 of each model and the importances of the
-    best tree model, fitted on all rows."""
-    features = ["np_7", "np_14", "np_28", "hours", "load_7"]
-    rows = A.power_features(rides).join(rides.select("id", F.col(target).alias("label"), A.START), "id").na.drop(subset=[*features, "label"])
-    rows = rows.withColumn("days_training", F.unix_date(F.col(A.START).cast("date")))
-    scores = cross_validated(rows, features, 2)
-    spark = rides.sparkSession
-    trees = [m for m in scores if m != "linear"]
-    out = [(m, float(s), None, None) for m, s in scores.items()]
-    if trees:
-        best = max(trees, key=scores.get)
-        fitted = pipeline(regressors()[best], features).fit(rows).stages[-1]
-        out += [(best, float(scores[best]), f, float(x)) for f, x in zip(features, fitted.featureImportances.toArray(), strict=True)]
-    return spark.createDataFrame(out, "model string, r2 double, feature string, importance double")
+POWER_FEATURES = [
+    "avg_power", "normalized_power", "max_power", "left_right_balance", "left_torque_effectiveness", "right_torque_effectiveness", "left_pedal_smoothness",
+    "right_pedal_smoothness", "avg_cadence", "max_cadence", "avg_temperature", "max_temperature", "training_effect", "anaerobic_effect", "total_work_kj",
+    "avg_hr", "max_hr", "efficiency_factor", "variability_index", "intensity_factor", "duration_hours", "distance_km", "calculated_tss",
+    "avg_np_7d", "avg_np_14d", "avg_np_28d", "total_tss_7d", "total_tss_14d", "total_tss_28d",
+]
+
+
+def ftp_target(rides: DataFrame) -> DataFrame:
+    """``rides`` with ``target_ftp``: the first of the three FTP columns, in this order, that has any
+    value, for all rows; where none has, the estimate from normalised power."""
+    names = [c for c in ("threshold_power", "functional_threshold_power", "icu_ftp") if c in rides.columns]
+    known = rides.agg(*[F.count(c).alias(c) for c in names]).first() if names else {}
+    chosen = next((c for c in names if known[c]), None)
+    if chosen:
+        return rides.withColumn("target_ftp", F.col(chosen).cast("double"))
+    return rides.join(A.ftp_estimate(rides).select("id", F.col("estimated_ftp").alias("target_ftp")), "id", "left")
+
+
+def power_rows(rides: DataFrame) -> DataFrame:
+    """(id, start_date_local, day, label, POWER_FEATURES) of rides with power: what a ride or the
+    table lacks takes the value that stands for unknown, history is the rider's rides before it. The
+    label is the target FTP, else the ride's normalised power; rides with neither are left out."""
+    kinds = set(rides.columns)
+
+    def known(*names: str) -> Column:
+        """The first of the columns that is there, not null and not 0."""
+        return F.coalesce(*[F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in names if c in kinds], F.lit(None).cast("double"))
+
+    def value(default: float, *names: str) -> Column:
+        return F.coalesce(known(*names), F.lit(default))
+
+    np_, avg = ("icu_normalized_watts", "normalized_power"), ("icu_average_watts", "average_power")
+    of = [c for c in (*np_, *avg) if c in kinds]
+    rows = ftp_target(rides).where(F.coalesce(*of).isNotNull())
+    target, seconds, hr = F.nullif("target_ftp", F.lit(0.0)), known("moving_time"), known("average_heartrate", "avg_heart_rate")
+    own_np = F.coalesce(*[F.col(c).cast("double") for c in np_ if c in kinds], F.lit(None).cast("double"))
+    before = lambda k: Window.partitionBy("athlete_id").orderBy(A.START, "id").rowsBetween(-k, -1)
+    n = lambda k: F.count(F.lit(1)).over(before(k))
+    stress = seconds * known(*np_) * (known(*np_) / target) / (target * 3600) * 100
+    return rows.select(
+        "id", A.START, F.unix_date(F.col(A.START).cast("date")).alias("day"), F.coalesce(target, known(*np_)).alias("label"),
+        value(0.0, *avg).alias("avg_power"), value(0.0, *np_).alias("normalized_power"), value(0.0, "max_power").alias("max_power"),
+        value(50.0, "left_right_balance").alias("left_right_balance"),
+        *[value(0.0, f"avg_{c}").alias(c) for c in POWER_FEATURES[4:8]],
+        value(0.0, "avg_cadence", "average_cadence").alias("avg_cadence"), value(0.0, "max_cadence").alias("max_cadence"),
+        value(20.0, "avg_temperature").alias("avg_temperature"), value(25.0, "max_temperature").alias("max_temperature"),
+        value(0.0, "training_effect", "total_training_effect").alias("training_effect"),
+        value(0.0, "anaerobic_training_effect", "total_anaerobic_training_effect").alias("anaerobic_effect"),
+        (value(0.0, "total_work") / 1000).alias("total_work_kj"), F.coalesce(hr, F.lit(0.0)).alias("avg_hr"),
+        value(0.0, "max_heartrate", "max_heart_rate").alias("max_hr"),
+        F.when((hr > 0) & (known(*avg) > 0), known(*avg) / hr).otherwise(0.0).alias("efficiency_factor"),
+        F.coalesce(known(*np_) / known(*avg), F.lit(1.0)).alias("variability_index"), value(0.0, "intensity_factor", "icu_intensity").alias("intensity_factor"),
+        (value(0.0, "moving_time") / 3600).alias("duration_hours"), (value(0.0, "distance") / 1000).alias("distance_km"),
+        F.when(stress.isNotNull(), F.least(F.lit(500.0), stress)).otherwise(0.0).alias("calculated_tss"),
+        *[F.when(n(k) > 0, F.coalesce(F.avg(own_np).over(before(k)), F.lit(0.0))).otherwise(value(0.0, *np_)).alias(f"avg_np_{k}d") for k in (7, 14, 28)],
+        *[(n(k) * 50).cast("double").alias(f"total_tss_{k}d") for k in (7, 14, 28)],
+    ).where("label is not null")
+
+
+def power_models(rides: DataFrame) -> DataFrame:
+    """(model, r2, best, feature, importance): R2 of each model over three expanding folds, which is
+    best, and the importances of the best tree model, fitted on all rows."""
+    rows = power_rows(rides).persist()
+    scores = cross_validated(rows, POWER_FEATURES, 3)
+    best = max(scores, key=scores.get)
+    out = [(m, float(s), m == best, None, None) for m, s in scores.items()]
+    if trees := [m for m in scores if m != "linear"]:
+        tree = max(trees, key=scores.get)
+        fitted = pipeline(regressors()[tree], POWER_FEATURES).fit(rows).stages[-1]
+        out += [(tree, float(scores[tree]), tree == best, f, float(x)) for f, x in zip(POWER_FEATURES, fitted.featureImportances.toArray(), strict=True)]
+    rows.unpersist()
+    return rides.sparkSession.createDataFrame(out, "model string, r2 double, best boolean, feature string, importance double")
 
 
 def save_model(model, path: str) -> None:
