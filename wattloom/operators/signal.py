@@ -127,9 +127,15 @@ def coherence(records: DataFrame) -> DataFrame:
     return _features(records, ["power", "heart_rate"], ["coherence"], 100, lambda x, y: (mean_coherence(x, y),))
 
 
+def _heart_and_power(records: DataFrame, name: str, least: int, of: Callable) -> DataFrame:
+    """``name`` of heart rate, and of power beside it."""
+    heart = _features(records, ["heart_rate"], [name], least, of)
+    return heart.join(_features(records, ["power"], [f"power_{name}"], least, of), KEY, "full")
+
+
 def entropy(records: DataFrame) -> DataFrame:
-    return _features(records, ["power"], ["sample_entropy"], 10, lambda x: (sample_entropy(x),))
+    return _heart_and_power(records, "sample_entropy", 10, lambda x: (sample_entropy(x),))
 
 
 def dfa(records: DataFrame) -> DataFrame:
-    return _features(records, ["power"], ["alpha"], 16, lambda x: (fluctuation_slope(x),))
+    return _heart_and_power(records, "alpha", 16, lambda x: (fluctuation_slope(x),))
