@@ -48,9 +48,9 @@ def brute_dfa(x):
 
 def brute_coherence(x, y):
     x, y = np.asarray(x, float), np.asarray(y, float)
-    w = np.hanning(64)
-    at = range(0, len(x) - 63, 32)
-    fx, fy = ([np.fft.rfft((v[i : i + 64] - v[i : i + 64].mean()) * w) for i in at] for v in (x, y))
+    w = np.hanning(257)[:-1]
+    at = range(0, len(x) - 255, 128)
+    fx, fy = ([np.fft.rfft((v[i : i + 256] - v[i : i + 256].mean()) * w) for i in at] for v in (x, y))
     fx, fy = np.array(list(fx)), np.array(list(fy))
     return (abs((fx * fy.conj()).mean(0)) ** 2 / (abs(fx) ** 2).mean(0) / (abs(fy) ** 2).mean(0)).mean()
 
@@ -95,3 +95,8 @@ def test_a_short_tail_joins_the_segment_before(spark, monkeypatch):
     monkeypatch.setattr(signal, "SEGMENT", 2048)
     assert signal.spectral(recording(spark, power, heart)).first().spectral_entropy == pytest.approx(h)
 
+
+def test_one_window_of_coherence_says_nothing():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(2, 383))
+    assert signal.mean_coherence(x, y) == pytest.approx(1.0) and signal.mean_coherence(np.tile(x, 9), np.tile(y, 9)) < 0.6

@@ -20,7 +20,7 @@ from wattloom.operators.records import KEY, ordered
 SEGMENT = 1 << 20
 #: Readings of a chunk, a multiple of half a window of coherence and longer than a window.
 CHUNK = 1 << 16
-LAGS, WINDOW = 60, 64
+LAGS, WINDOW = 60, 256
 
 
 def dominant_frequency(x: np.ndarray) -> tuple[float, float]:
@@ -59,8 +59,8 @@ def autocorrelation_period(x: np.ndarray, lags: int = LAGS) -> float:
 
 def _cross_sums(n: int, start: int, own: int, x: np.ndarray, y: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Sums of cross and own spectra over the windows that begin in the ``own`` readings."""
-    window = window if n >= 2 * window else max(8, n // 4)
-    step, taper = window // 2, np.hanning(window)
+    window = min(window, n)
+    step, taper = max(1, window - window // 2), np.hanning(window + 1)[:-1]
 
     def spectra(v: np.ndarray) -> np.ndarray:
         if len(v) < window:
@@ -80,7 +80,8 @@ def _cross_merge(n: int, parts: list[np.ndarray]) -> tuple[float]:
 
 
 def mean_coherence(x: np.ndarray, y: np.ndarray, window: int = WINDOW) -> float:
-    """Mean squared coherence of two series from half-overlapping Hann windows."""
+    """Mean squared coherence of two series from half-overlapping Hann windows; 1 where there is room
+    for one window only."""
     n = min(len(x), len(y))
     return _cross_merge(n, [_cross_sums(n, 0, n, x[:n], y[:n], window)])[0]
 
