@@ -53,6 +53,17 @@ def power(df: DataFrame, mass_kg: float = 70.0, crank_m: float = 0.1725, cadence
     )
 
 
+def session_power(sessions: DataFrame, activities: DataFrame, athletes: DataFrame, crank_m: float = 0.1725) -> DataFrame:
+    """Force from a recording's own cadence and power for its rider's weight; null where not known."""
+    riders = activities.where("id is not null").groupBy("id").agg(F.min("athlete_id").alias("athlete_id"))
+    weights = athletes.groupBy("athlete_id").agg(F.max("weight_kg").alias("weight_kg"))
+    s = sessions.join(riders, sessions.activity_id == riders.id, "left").join(weights, "athlete_id", "left")
+    return s.select(
+        "session_id", r9(some("avg_power") * 60 / (some("avg_cadence") * 2 * math.pi * crank_m)).alias("force_n"),
+        r9(ratio("avg_power", "weight_kg")).alias("watts_per_kg"), r9(ratio("normalized_power", "weight_kg")).alias("np_per_kg"),
+    )
+
+
 def heart(df: DataFrame) -> DataFrame:
     return df.select(
         "id", r9(ratio("icu_average_watts", "average_heartrate")).alias("power_per_beat"), r9(ratio("icu_normalized_watts", "average_heartrate")).alias("np_per_beat"),
