@@ -2,7 +2,7 @@
 
 Texts are read by shape with built-in expressions. What the text leaves open is estimated from the
 data: the order of day and month of each exporting system, the zone of riders without one (the
-zone whose history of offsets contradicts fewest of their known offsets and ingestion times), the
+zone whose history of offsets contradicts fewest of their known offsets), the
 epoch of bare numbers, and which side of a clock change a repeated hour lies on (the order of the
 recording). Rows that need no estimate never pass through a window.
 """
