@@ -1,40 +1,50 @@
 """New batches against everything accepted before (problem 2).
 
 Accepted rides live in a persisted inverted file: each cell holds one rider's rides of one span of
-time with their full vectors (start, distance, moving time; nulls kept). A new ride probes its own
-cell and then those whose lower bound on the distance, the time to the cell's edge, is within the
-radius; beyond it no match can lie. Matches are reranked exactly and new rides are appended to their
-cells. Cells are partitioned by month, so a batch reads only the months it touches, and rows that
-repeat a vector exactly are looked up once.
+time and one step of distance with their full vectors (start, distance, moving time; nulls kept). A
+new ride probes its own cell, then the others in order of their lower bound on the distance, until
+the bound passes the nearest match so far or the radius: no nearer match is possible beyond. Matches
+are reranked exactly, and only rides that repeat none become heads and are appended to their cells.
+Accepted file hashes are persisted beside them in buckets.
+
+Rides of a batch are taken in order of landing, and only heads are matched against, so the same rows
+come out however the landed rows are cut into batches. A batch is appended under its own name:
+taking it in again, after a failure or by mistake, changes nothing. Cells are partitioned by month,
+and a batch reads only the months that it touches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.session import cut_lineage, shared_path
 
 #: Scales of the vector: a difference of one scale in any part is a distance of 1, the radius.
 START_S, LOG_DISTANCE, LOG_TIME = 300, 0.012, 0.015
-CELL_S = 600
 MONTH_S = 30 * 86400
+#: A task settles the rides of one rider and block of time; it also sees those a margin before and after.
+BLOCK_S, MARGIN_S = 6 * 3600, 3600
+HASH_BUCKETS = 16
 
 VECTOR = ["rider", "start_s", "distance", "moving_time"]
+PAIRS = "key_a long, key_b long"
 
 
-def same_file(history: DataFrame) -> DataFrame:
-    """(key_a, key_b): taken-in attempts b with the content of a, the first taken-in attempt.
+def file_digests(history: DataFrame) -> DataFrame:
+    """(id, digest) of taken-in attempts with a hash.
 
     A hash is compared without case, blanks or a prefix such as ``sha256:``. Failed attempts, null
     and blank hashes never count.
     """
     digest = F.regexp_replace(F.lower(F.trim(F.col("file_hash"))), r"^[a-z0-9_-]+:\s*|\s", "")
-    taken = (
-        history.where(F.lower(F.trim("status")).isin("success", "warning")).select("id", digest.alias("digest")).where("digest != ''")
-    )
-    first = taken.groupBy("digest").agg(F.min("id").alias("key_a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return taken.join(first, "digest").where("id > key_a").select("key_a", F.col("id").alias("key_b"))
+    taken = F.lower(F.trim("status")).isin("success", "warning")
+    return history.where(taken).select("id", digest.alias("digest")).where("digest != '' and id is not null")
 
 
 def ride_vectors(starts: DataFrame, activities: DataFrame) -> DataFrame:
@@ -48,90 +58,223 @@ def ride_vectors(starts: DataFrame, activities: DataFrame) -> DataFrame:
     )
     return (
         starts.join(size, "row_id")
-        .where("athlete_id is not null and utc_s is not null")
+        .where("row_id is not null and athlete_id is not null and utc_s is not null")
         .select("row_id", F.col("athlete_id").alias("rider"), F.col("utc_s").alias("start_s"), "distance", "moving_time")
     )
 
 
-def _cell(seconds: Column) -> Column:
-    return F.floor(seconds / CELL_S).cast("long")
+class _Kept:
+    """A persisted table under ``path``, in folders by ``part`` and then by batch."""
 
+    SCHEMA, PART = "", ""
 
-def _month(cell: Column) -> Column:
-    return F.floor(cell * CELL_S / MONTH_S).cast("int")
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or shared_path(spark, "accepted")
 
+    def accepted(self, parts: Iterable[int] | None = None, but: str | None = None) -> DataFrame:
+        """What lies under the path now, of the given parts, without the batch named ``but``."""
+        try:
+            kept = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            kept = self.spark.createDataFrame([], self.SCHEMA)
+        if parts is not None:
+            kept = kept.where(F.col(self.PART).isin(list(parts)))
+        return kept if but is None else kept.where(F.col("batch") != but)
 
-def _distance(a: str, b: str) -> Column:
-    """The largest scaled difference of the parts known on both sides."""
-    parts = [F.abs(F.col(f"{a}start_s") - F.col(f"{b}start_s")) / START_S]
-    for name, scale in (("distance", LOG_DISTANCE), ("moving_time", LOG_TIME)):
-        parts.append(F.coalesce(F.abs(F.ln(F.col(a + name) / F.col(b + name))) / scale, F.lit(0.0)))
-    return F.greatest(*parts)
+    def append(self, rows: DataFrame, batch: str) -> None:
+        """Write the rows of a batch; those it wrote before in the same parts are replaced."""
+        out = rows.withColumn("batch", F.lit(batch)).hint("rebalance", F.col(self.PART))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.PART, "batch").parquet(self.path)
 
 
-def _probe(queries: DataFrame, cells: DataFrame, only_earlier: bool) -> DataFrame:
-    """(q_row_id, row_id): of each query, the first accepted ride within the radius."""
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("row_id", *VECTOR)])
-    near = F.sequence(_cell(F.col("q_start_s") - START_S), _cell(F.col("q_start_s") + START_S))
-    q = q.withColumn("q_cell", F.explode(near)).withColumn("q_month", _month(F.col("q_cell")))
-    on = (F.col("q_month") == F.col("month")) & (F.col("q_rider") == F.col("rider")) & (F.col("q_cell") == F.col("cell"))
-    pairs = q.join(cells, on).where(_distance("q_", "") <= 1)
-    if only_earlier:
-        pairs = pairs.where("row_id < q_row_id")
-    return pairs.groupBy("q_row_id").agg(F.min("row_id").alias("row_id"))
+class FileHashes(_Kept):
+    """Accepted file contents: the digest and the first attempt that brought it."""
 
+    SCHEMA = "digest string, id long, bucket int, batch string"
+    PART = "bucket"
 
-class RideCells:
-    """The persisted cells under ``path`` (by default a new folder of the shared one)."""
+    def take_in(self, batch: DataFrame, name: str) -> DataFrame:
+        """(key_a, key_b): attempts of the batch (id, digest) whose content was accepted before, or came
+        earlier in the batch, with the attempt that first brought it; the rest is appended."""
+        bucket = F.pmod(F.xxhash64("digest"), F.lit(HASH_BUCKETS)).cast("int")
+        first = batch.groupBy("digest").agg(F.min("id").alias("id")).withColumn("bucket", bucket)
+        old = self.accepted(but=name).select("bucket", "digest", F.col("id").alias("old_id"))
+        heads = cut_lineage(first.join(old, ["bucket", "digest"], "left"), "file-heads")
+        self.append(heads.where("old_id is null").select("digest", "id", "bucket"), name)
+        keyed = heads.select("digest", F.coalesce("old_id", "id").alias("key_a"))
+        return batch.join(keyed, "digest").where("id != key_a").select("key_a", F.col("id").alias("key_b"))
 
-    SCHEMA = "row_id long, rider string, start_s long, distance double, moving_time double, cell long, month int"
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or shared_path(spark, "ride-cells")
-        self.empty = True
+def _month(start: Column) -> Column:
+    return F.floor(start / MONTH_S).cast("int")
 
-    def cells(self) -> DataFrame:
-        if self.empty:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+#: States of a ride: not settled yet, a head, a repeat of one.
+OPEN, HEAD, REPEAT = 0, 1, 2
+SETTLED = "row_id long, rider string, start_s long, distance double, moving_time double, state int, key_a long"
+
+
+class _Cells:
+    """Inverted cells of one rider and block, in memory: a span of START_S seconds and a step of
+    LOG_DISTANCE each; rides of unknown distance have cells of their own."""
+
+    def __init__(self):
+        self.spans: dict[int, dict[int | None, list[tuple]]] = {}
 
     @staticmethod
-    def placed(vectors: DataFrame) -> DataFrame:
-        return vectors.select("row_id", *VECTOR, _cell(F.col("start_s")).alias("cell")).withColumn("month", _month(F.col("cell")))
-
-    def take_in(self, batch: DataFrame) -> DataFrame:
-        """(key_a, key_b): rides of the batch (vectors) that repeat an accepted ride or an earlier
-        one of the batch; the rest is appended to the cells."""
-        key = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(f"k_{c}") for c in VECTOR]
-        keyed = batch.select("row_id", *VECTOR, F.xxhash64(*key).alias("v"))
-        ones = cut_lineage(
-            keyed.groupBy("v", *VECTOR).agg(F.min("row_id").alias("row_id")), "ride-batch"
-        )  # one row per vector, however often it repeats
-        known = cut_lineage(_probe(ones, self.cells(), only_earlier=True), "ride-known")
-        fresh = ones.join(known, ones["row_id"] == known["q_row_id"], "left_anti")
-        within = _probe(fresh, self.placed(fresh), only_earlier=True)
-        first = cut_lineage(known.unionByName(within), "ride-first")
-        new = fresh.join(first, fresh["row_id"] == first["q_row_id"], "left_anti")
-        self.placed(new).repartition("month").write.mode("append").partitionBy("month").parquet(self.path)
-        self.empty = False
-        heads = ones.join(first, ones["row_id"] == first["q_row_id"], "left").select(
-            "v", F.coalesce(first["row_id"], ones["row_id"]).alias("key_a")
+    def _near(x: float, width: float) -> list[tuple[int, float]]:
+        """The cells within one width of x, each with the scaled distance to its nearer edge."""
+        c = math.floor(x / width)
+        return [(c - 1, x / width - c), (c, 0.0), (c + 1, c + 1 - x / width)]
+
+    def add(self, ride: tuple) -> None:
+        _, start, d, _, _ = ride
+        span = self.spans.setdefault(math.floor(start / START_S), {})
+        span.setdefault(None if d is None else math.floor(d / LOG_DISTANCE), []).append(ride)
+
+    def nearest(self, start: int, d: float | None, m: float | None) -> tuple[int | None, bool]:
+        """The nearest head within the radius, the least row of equals, and whether a ride as near as it
+        is still open. Cells are probed in order of their lower bound."""
+        cells = []
+        for c, low in self._near(start, START_S):
+            span = self.spans.get(c)
+            if span:
+                if d is None:
+                    cells += [(low, held) for held in span.values()]
+                else:
+                    cells += [(max(low, b), span[k]) for k, b in [*self._near(d, LOG_DISTANCE), (None, 0.0)] if k in span]
+        best, who, doubt = math.inf, None, math.inf
+        for low, held in sorted(cells, key=lambda x: x[0]):
+            if low > min(best, 1):
+                break  # nothing nearer is possible
+            for row, s, x, y, state in held:
+                far = abs(start - s) / START_S
+                if d is not None and x is not None:
+                    far = max(far, abs(d - x) / LOG_DISTANCE)
+                if m is not None and y is not None:
+                    far = max(far, abs(m - y) / LOG_TIME)
+                if far > 1:
+                    continue
+                if state == OPEN:
+                    doubt = min(doubt, far)
+                elif far < best or (far == best and row < who):
+                    best, who = far, row
+        return who, doubt < math.inf and doubt <= best
+
+
+def _settle(rows: list[tuple]) -> Iterator[tuple]:
+    """SETTLED rows of one rider and block, in order of landing, accepted heads first. A ride near the
+    window's edges, or with an open ride as near as its nearest head, stays open for another round."""
+    cells = _Cells()
+    for block, accepted, row, rider, start, distance, moving, state, key in rows:
+        # unknown numbers arrive as NaN
+        d = math.log(distance) if distance == distance else None
+        m = math.log(moving) if moving == moving else None
+        if not accepted and state == OPEN:
+            lo, hi = block * BLOCK_S - MARGIN_S, (block + 1) * BLOCK_S + MARGIN_S
+            if start - START_S >= lo and start + START_S < hi:
+                who, unsettled = cells.nearest(start, d, m)
+                if not unsettled:
+                    state, key = (HEAD, row) if who is None else (REPEAT, who)
+        if state != REPEAT:
+            cells.add((row, start, d, m, state))
+        if not accepted and start // BLOCK_S == block:
+            yield row, rider, start, distance, moving, state, key
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by rider, block, accepted first and landing; one group of them at a time."""
+    names = [x.split()[0] for x in SETTLED.split(", ")]
+
+    held, of, found = [], None, []
+    for pdf in batches:
+        columns = [pdf[c].tolist() for c in ("block", "accepted", *names)]
+        for row in zip(*columns, strict=True):
+            at = row[3], row[0]
+            if at != of:
+                found += _settle(held)
+                held, of = [], at
+                if len(found) > 20_000:
+                    yield pd.DataFrame(found, columns=names)
+                    found = []
+            held.append(row)
+    found += _settle(held)
+    if found:
+        yield pd.DataFrame(found, columns=names)
+
+
+class RideCells(_Kept):
+    """Accepted rides (heads) with their vectors, by month and batch."""
+
+    SCHEMA = "row_id long, rider string, start_s long, distance double, moving_time double, month int, batch string"
+    PART = "month"
+
+    def take_in(self, batch: DataFrame, name: str) -> DataFrame:
+        """(key_a, key_b): rides of the batch (vectors) that repeat an accepted ride or an earlier one
+        of the batch, with the nearest head; the rest is appended to the cells.
+
+        Accepted rides come before the batch whatever their row_id. Rides with equal vectors are looked
+        up once. An empty batch gives no rows.
+        """
+        ones = batch.groupBy(*VECTOR).agg(F.min("row_id").alias("row_id"))
+        reach = F.array_distinct(F.array(_month(F.col("start_s") - BLOCK_S - MARGIN_S), _month(F.col("start_s") + BLOCK_S + MARGIN_S)))
+        months = [r[0] for r in batch.select(F.explode(reach).alias("m")).distinct().collect()]  # bounded by the calendar
+        heads = self.accepted(months, but=name)
+        near = F.sequence(F.floor((F.col("start_s") - MARGIN_S) / BLOCK_S), F.floor((F.col("start_s") + MARGIN_S) / BLOCK_S))
+        placed = lambda df, accepted, state, key: df.select(
+            F.explode(near).alias("block"), F.lit(accepted).alias("accepted"), "row_id", *VECTOR, state.alias("state"), key.alias("key_a")
         )
-        rows = keyed.select("v", F.col("row_id").alias("key_b")).join(heads, "v").where("key_b != key_a")
-        return cut_lineage(rows.select("key_a", "key_b"), "ride-repeats")
+        old = placed(heads, True, F.lit(HEAD), F.col("row_id"))
+        rows = placed(ones, False, F.lit(OPEN), F.col("row_id"))
+        while True:
+            walked = (
+                rows.unionByName(old)
+                .repartition("rider", "block")
+                .sortWithinPartitions("rider", "block", F.desc("accepted"), "row_id")
+                .mapInPandas(_walk, SETTLED)
+            )
+            seen = Observation()
+            settled = cut_lineage(walked.observe(seen, F.count_if(F.col("state") == OPEN).alias("open")), "ride-settled")
+            if not seen.get.get("open"):
+                break
+            # chains that reach beyond a window need another round; the first open ride always settles
+            rows = placed(settled, False, F.col("state"), F.col("key_a"))
+        unknown = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
+        settled = settled.select("row_id", "rider", "start_s", unknown("distance"), unknown("moving_time"), "state", "key_a")
+        fresh = settled.where(F.col("state") == HEAD).select("row_id", *VECTOR, _month(F.col("start_s")).alias("month"))
+        self.append(fresh, name)
+        same = [batch[c].eqNullSafe(settled[c]) for c in VECTOR]
+        v = lambda df: F.xxhash64(*[F.coalesce(df[c].cast("string"), F.lit("-")) for c in VECTOR])
+        rows = batch.join(settled, [v(batch) == v(settled), *same]).where(batch["row_id"] != settled["key_a"])
+        return rows.select(settled["key_a"], batch["row_id"].alias("key_b"))
 
 
-def same_rides(vectors: DataFrame, batches: int = 3) -> DataFrame:
-    """(key_a, key_b) of all rides, taken in as ``batches`` batches in order of landing."""
-    spark = vectors.sparkSession
-    vectors = cut_lineage(vectors, "ride-vectors")
-    lo, hi = vectors.agg(F.min("row_id"), F.max("row_id")).first()
-    found = spark.createDataFrame([], "key_a long, key_b long")
+def _in_batches(keyed: DataFrame, key: str, index: _Kept, batches: int) -> DataFrame:
+    """(key_a, key_b) of all rows, taken in as ``batches`` ranges of ``key``, the order of landing."""
+    spark = keyed.sparkSession
+    lo, hi = keyed.agg(F.min(key), F.max(key)).first()
+    found = spark.createDataFrame([], PAIRS)
     if lo is None:
         return found
-    cells, step = RideCells(spark), (hi - lo) // batches + 1
+    step = (hi - lo) // batches + 1
     for i in range(batches):
         a = lo + i * step
-        found = found.unionByName(cells.take_in(vectors.where((F.col("row_id") >= a) & (F.col("row_id") < a + step))))
+        # opened anew for each batch, as by a process of its own
+        part = keyed.where((F.col(key) >= a) & (F.col(key) < a + step))
+        found = found.unionByName(type(index)(spark, index.path).take_in(part, f"{a:020d}"))
     return found
+
+
+def same_rides(vectors: DataFrame, batches: int = 3, index: RideCells | None = None) -> DataFrame:
+    """(key_a, key_b): rides (vectors) and the accepted ride that they repeat."""
+    index = index or RideCells(vectors.sparkSession)
+    return _in_batches(cut_lineage(vectors, "ride-vectors"), "row_id", index, batches)
+
+
+def same_file(history: DataFrame, batches: int = 3, index: FileHashes | None = None) -> DataFrame:
+    """(key_a, key_b): taken-in attempts b with the content of a, the first taken-in attempt."""
+    index = index or FileHashes(history.sparkSession)
+    return _in_batches(cut_lineage(file_digests(history), "file-digests"), "id", index, batches)

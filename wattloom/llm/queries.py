@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions import timetext
-from wattloom.llm import cuts, history, leaks, match, packing
+from wattloom.llm import cuts, history, leaks, match, packing, sql
 from wattloom.operators import instants
 from wattloom.session import table
 
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
