@@ -55,6 +55,41 @@ def test_history_and_versions(spark, tmp_path):
     assert store.schema_version() == 3
 
 
+def test_attempts_without_a_hash_are_all_kept(spark, tmp_path):
+    store = RideStore(spark, f"file://{tmp_path}/on-any-file-system")
+    cols = "file_hash string, status string, ingestion_timestamp timestamp"
+    at = datetime(2024, 1, 1)
+    store.record_ingestion(spark.createDataFrame([(None, "error", at), (None, "error", at), ("a", "success", at)], cols))
+    store.record_ingestion(spark.createDataFrame([(None, "error", at)], cols))
+    assert store.read("ingestion").count() == 4
+    assert (tmp_path / "on-any-file-system").exists()
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    store = RideStore(spark, str(tmp_path))
+    store.save(rides(spark, THREE))
+    before = store.read()
+    store.save(rides(spark, [("new", *THREE[0][1:])]))
+    assert before.count() == 3 and store.read().count() == 4
+    for k in range(4):
+        store.save(rides(spark, [(f"new{k}", *THREE[0][1:])]))
+    assert store.read().count() == 8 and len(store._versions("rides")) == 3
+    used = {p.split("/")[0] for v in store._versions("rides") for p in json.loads(store.files.read(v)).values()}
+    assert {x for x in store.files.names() if x.startswith("rides-")} <= used | {p.split("/")[0] for p in store._folders("rides").values()}
+
+
+def test_steps_of_a_file(spark, tmp_path):
+    store = RideStore(spark, str(tmp_path))
+    assert store.status("a.csv") is None
+    for step in ("PENDING", "PROCESSING", "ERROR", "PROCESSING", "SUCCESS", "ARCHIVED"):
+        store.set_status("a.csv", step, error="x" if step == "ERROR" else None, record_count=5)
+    assert store.status("a.csv") == "ARCHIVED" and store.steps().count() == 6
+    with pytest.raises(ValueError):
+        store.set_status("a.csv", "PROCESSING")
+    with pytest.raises(ValueError):
+        store.set_status("b.csv", "ARCHIVED")
+
+
 def test_types_by_name_and_conform(spark):
     expected = {"average_speed": "DoubleType", "moving_time": "DoubleType", "has_notes": "BooleanType", "is_heartrate": "LongType", "import_timestamp": "TimestampType", "name": "StringType", "fit_max_x": "DoubleType", "z1_secs": "LongType", "misc": "StringType"}
     assert {n: type(S.type_of_name(n)).__name__ for n in expected} == expected

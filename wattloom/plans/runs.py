@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wattloom.adapter import rides
 from wattloom.operators import forecast
 from wattloom.session import shared_path, table
+from wattloom.store import RideStore
 from wattloom.streaming import ingest
 
 
@@ -15,33 +16,44 @@ def m(f, *args):
 
 
 def _landed(spark, sf_dir) -> str:
-    """Activities written as files of a folder, in order of landing, for the streams to read."""
+    """A folder of the shared one with the activities as files, in order of landing, for the streams to read."""
     path = shared_path(spark, "landed")
-    table(spark, sf_dir, "activities").repartitionByRange(4, "row_id").sortWithinPartitions("row_id").write.parquet(path)
+    rows = table(spark, sf_dir, "activities")
+    rows.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").write.parquet(f"{path}/rows")
     return path
 
 
 def stream_ingest_dedup(spark, sf_dir):
-    """Each id of the landed rows once, by a bounded stream with a checkpoint."""
+    """Each id with its first landed row, by a bounded stream that keeps no state: each micro-batch is
+    held against the rows written before."""
     path = _landed(spark, sf_dir)
     schema = table(spark, sf_dir, "activities").schema
-    stream = ingest.file_stream(spark, path, schema, "parquet").select("id", "import_timestamp").dropDuplicates(["id"])
-    out = f"{path}-once"
-    ingest.run_once(stream, out, f"{path}-checkpoint")
-    return spark.read.parquet(out).select("id")
+    stream = ingest.file_stream(spark, f"{path}/rows", schema, "parquet").select("id", "row_id", "import_timestamp")
+    ingest.append_unseen(stream, f"{path}/once", f"{path}/checkpoint", order="row_id")
+    return spark.read.parquet(f"{path}/once").select("id", "row_id")
+
+
+def stream_foreach_upsert(spark, sf_dir):
+    """The store after the landed rows came in by a stream twice: a batch that comes again changes nothing."""
+    path = _landed(spark, sf_dir)
+    schema = table(spark, sf_dir, "activities").schema
+    store = RideStore(spark, f"{path}/store")
+    for turn in ("first", "again"):
+        stream = ingest.file_stream(spark, f"{path}/rows", schema, "parquet")
+        ingest.upsert_new(stream, store, f"{path}/checkpoint-{turn}")
+    return store.read().groupBy("id").agg(F.count("*").alias("rides"), F.max("moving_time").alias("moving_time"))
 
 
 def stream_hourly(spark, sf_dir):
     """Windowed loads of the events, worked out by a bounded stream in complete mode."""
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     path = shared_path(spark, "events")
-    events.repartition(4).write.parquet(path)
-    stream = ingest.file_stream(spark, path, events.schema, "parquet")
-    out = f"{path}-hourly"
-    save = lambda df, _: df.write.mode("overwrite").parquet(out)
+    events.repartition(4).write.parquet(f"{path}/rows")
+    stream = ingest.file_stream(spark, f"{path}/rows", events.schema, "parquet")
+    save = lambda df, _: df.write.mode("overwrite").parquet(f"{path}/hourly")
     windowed = stream.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("events"))
-    windowed.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
+    windowed.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/hourly").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 
 def event_sessions(spark, sf_dir):
@@ -60,7 +72,9 @@ QUERIES = {
     "ftp_forecast": (m(forecast.ftp_forecast), None),
     "ftp_milestones": (m(forecast.weekly_milestones), None),
     "power_models": (m(forecast.power_models), None),
-    "stream_ingest_dedup": (stream_ingest_dedup, "SELECT DISTINCT id FROM activities"),
+    "stream_ingest_dedup": (stream_ingest_dedup, "SELECT id, min(row_id) AS row_id FROM activities WHERE id IS NOT NULL GROUP BY id"),
+    "stream_foreach_upsert": (stream_foreach_upsert, """SELECT id, 1 AS rides, moving_time FROM activities WHERE id IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY import_timestamp DESC NULLS LAST, file_source DESC NULLS LAST) = 1"""),
     "stream_windows": (stream_hourly, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2"),
     "event_sessions": (event_sessions, """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS events FROM n GROUP BY user_id, k"""),

@@ -3,60 +3,98 @@
 from __future__ import annotations
 
 import json
-import os
 import shutil
 import time
 import uuid
 from collections.abc import Sequence
+from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattloom.operators import activity, quality
 from wattloom.schema import ACTIVITY_SCHEMA, conform
+from wattloom.session import Files
 
 ARCHIVE_STRATEGIES = ("MOVE", "COPY", "LEAVE", "DELETE")
+#: What may follow each step of a file's way; a failed file may be tried again.
+STEPS = {
+    None: ("PENDING", "PROCESSING"), "PENDING": ("PROCESSING", "ERROR"), "PROCESSING": ("SUCCESS", "WARNING", "ERROR"),
+    "SUCCESS": ("ARCHIVED",), "WARNING": ("ARCHIVED",), "ERROR": ("PENDING", "PROCESSING", "ARCHIVED"), "ARCHIVED": (),
+}
+
+
+#: Folders by hash of the key in which a table is rewritten, and versions that readers may still be scanning.
+BUCKETS, KEPT_VERSIONS = 16, 3
 
 
 class RideStore:
-    """Rides under a folder, each version a folder of its own; a pointer names the current one, so a
-    reader never sees half a write and a lost job leaves the old version in place."""
+    """Tables under a folder of any file system. A table is held in buckets by hash of its key; a write
+    makes new folders of the buckets it touches and then a numbered list of all current folders, so a
+    reader never sees half a write, a lost job leaves the old version in place, and of two writers at once
+    the second fails. The folders of the last versions stay for readers that began with them."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
+        self.spark, self.files = spark, Files(spark, str(root))
+        self.files.make()
+
+    def _versions(self, name: str) -> list[str]:
+        return [x for x in self.files.names() if x.startswith(f"{name}.v") and x.endswith(".json")]
 
-    def _pointer(self, name: str) -> Path:
-        return self.root / f"{name}.current"
+    def _folders(self, name: str) -> dict[str, str]:
+        """The current folder of each bucket that is not empty."""
+        versions = self._versions(name)
+        return json.loads(self.files.read(versions[-1])) if versions else {}
 
-    def read(self, name: str = "rides", schema=ACTIVITY_SCHEMA) -> DataFrame:
-        p = self._pointer(name)
-        if not p.exists():
+    def read(self, name: str = "rides", schema=ACTIVITY_SCHEMA, buckets: Sequence[int] | None = None) -> DataFrame:
+        wanted = None if buckets is None else {str(b) for b in buckets}
+        paths = [f"{self.files.root}/{p}" for b, p in self._folders(name).items() if wanted is None or b in wanted]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.option("mergeSchema", True).parquet(str(self.root / p.read_text()))
-
-    def _write(self, df: DataFrame, name: str) -> None:
-        version = f"{name}-{uuid.uuid4().hex}"
-        df.write.parquet(str(self.root / version))
-        old = self._pointer(name).read_text() if self._pointer(name).exists() else None
-        fresh = self.root / f".{name}.{uuid.uuid4().hex}"
-        fresh.write_text(version)
-        os.replace(fresh, self._pointer(name))
-        if old:
-            shutil.rmtree(self.root / old, ignore_errors=True)
+        return self.spark.read.option("mergeSchema", True).parquet(*paths)
+
+    @staticmethod
+    def _bucket(key: str):
+        return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+    def _touched(self, df: DataFrame, key: str) -> list[int]:
+        return [r[0] for r in df.select(self._bucket(key)).distinct().collect()]  # at most BUCKETS
+
+    def _write(self, df: DataFrame, name: str, key: str, buckets: Sequence[int]) -> None:
+        """``df`` is all that the given buckets hold from now on."""
+        fresh = f"{name}-{uuid.uuid4().hex}"
+        df.withColumn("bucket", self._bucket(key)).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.files.root}/{fresh}")
+        versions, folders = self._versions(name), self._folders(name)
+        for b in buckets:
+            folders.pop(str(b), None)
+            if self.files.exists(f"{fresh}/bucket={b}"):
+                folders[str(b)] = f"{fresh}/bucket={b}"
+        number = 1 + int(versions[-1].split(".v")[1].removesuffix(".json")) if versions else 1
+        self.files.write(f"{name}.v{number:012d}.json", json.dumps(folders))
+        kept = [f"{name}.v{number:012d}.json", *reversed(versions)][:KEPT_VERSIONS]
+        used = {p.split("/")[0] for v in kept for p in json.loads(self.files.read(v)).values()}
+        for old in self.files.names():
+            stale = old.startswith(f"{name}.v") and old not in kept
+            if stale or (old.startswith(f"{name}-") and old not in used and old != fresh and not self._being_written(old)):
+                self.files.remove(old)
+
+    def _being_written(self, folder: str) -> bool:
+        return not self.files.exists(f"{folder}/_SUCCESS")
 
     def save(self, rides: DataFrame, refresh_metrics: bool = False, least_quality: float | None = None) -> dict[str, int]:
         """Adds new ids and marks known ones: of a known id only updated_at, file_source and
         all_file_sources change unless ``refresh_metrics``. Repeated ids in one batch count once, the
-        last imported. Rows without an id are skipped. {saved, updated, skipped}."""
+        last imported. Rows without an id are skipped. Only the buckets of the batch's ids are read and
+        rewritten. {saved, updated, skipped}."""
         if least_quality is not None:
             quality.require_quality(rides, least_quality)
         total = rides.count()
         batch = conform(rides).where("id is not null")
         newest = Window.partitionBy("id").orderBy(F.col("import_timestamp").desc_nulls_last(), F.col("file_source").desc_nulls_last())
         batch = batch.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
-        old = conform(self.read())
+        buckets = self._touched(batch, "id")
+        old = conform(self.read(buckets=buckets))
         names = [f.name for f in ACTIVITY_SCHEMA]
         n, o = batch.alias("n"), old.alias("o")
         both = n.join(o, F.col("n.id") == F.col("o.id"), "full")
@@ -76,9 +114,12 @@ class RideStore:
                 return F.coalesce(kept, fresh)
             return F.when(known, F.coalesce(fresh, kept) if refresh_metrics else kept).otherwise(fresh)
 
-        counts = both.agg(F.count_if(coming & ~known).alias("saved"), F.count_if(coming & known).alias("updated")).first()
-        self._write(both.select(*[column(c).alias(c) for c in names]), "rides")
-        saved, updated = int(counts["saved"]), int(counts["updated"])
+        if not buckets:
+            return {"saved": 0, "updated": 0, "skipped": total}
+        counts = Observation()
+        marked = both.observe(counts, F.count_if(coming & ~known).alias("saved"), F.count_if(coming & known).alias("updated"))
+        self._write(marked.select(*[column(c).alias(c) for c in names]), "rides", "id", buckets)
+        saved, updated = int(counts.get["saved"]), int(counts.get["updated"])
         return {"saved": saved, "updated": updated, "skipped": total - saved - updated}
 
     def activities(self, start: str | None = None, end: str | None = None, kind: str | None = None, limit: int | None = None) -> DataFrame:
@@ -96,10 +137,38 @@ class RideStore:
         return df.limit(limit) if limit else df
 
     def record_ingestion(self, rows: DataFrame) -> None:
-        """Attempts by file_hash; the last of a hash replaces those before."""
-        every = self.read("ingestion", rows.schema).unionByName(rows, allowMissingColumns=True)
-        last = Window.partitionBy("file_hash").orderBy(F.col("ingestion_timestamp").desc_nulls_last())
-        self._write(every.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n"), "ingestion")
+        """Attempts by file_hash; the last of a hash replaces those before. Attempts without a hash are all kept."""
+        buckets = self._touched(rows, "file_hash")
+        every = self.read("ingestion", rows.schema, buckets).unionByName(rows, allowMissingColumns=True).drop("bucket")
+        # each attempt without a hash stands for itself
+        own = F.when(F.col("file_hash").isNull(), F.monotonically_increasing_id())
+        last = Window.partitionBy("file_hash", "__own").orderBy(F.col("ingestion_timestamp").desc_nulls_last())
+        latest = every.withColumn("__own", own).withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__own")
+        if buckets:
+            self._write(latest, "ingestion", "file_hash", buckets)
+
+    def set_status(self, file_name: str, status: str, error: str | None = None, **counts: int) -> None:
+        """One step of a file's way: PENDING, PROCESSING, then SUCCESS, WARNING or ERROR, then ARCHIVED.
+        A step that does not follow from the last one is refused."""
+        before = self.status(file_name)
+        if status not in STEPS[before]:
+            raise ValueError(f"{file_name}: {status} does not follow {before}")
+        cols = "file_name string, status string, error_message string, record_count long, new_activities long, at timestamp, step int"
+        steps = self.read("steps", cols, self._touched(self.spark.createDataFrame([(file_name,)], "file_name string"), "file_name")).drop("bucket")
+        number = steps.where(F.col("file_name") == file_name).count()
+        row = (file_name, status, error, counts.get("record_count"), counts.get("new_activities"), datetime.now(timezone.utc), number)
+        fresh = self.spark.createDataFrame([row], cols)
+        self._write(steps.unionByName(fresh), "steps", "file_name", self._touched(fresh, "file_name"))
+
+    def status(self, file_name: str) -> str | None:
+        """The last step of a file, null before the first."""
+        steps = self.steps().where(F.col("file_name") == file_name)
+        row = steps.select(F.max_by("status", "step").alias("status")).first()
+        return row["status"]
+
+    def steps(self) -> DataFrame:
+        """Every step of every file."""
+        return self.read("steps", "file_name string, status string, error_message string, record_count long, new_activities long, at timestamp, step int")
 
     def unprocessed(self, files: DataFrame) -> DataFrame:
         """Files (with file_hash) that no taken-in attempt has."""
@@ -112,11 +181,10 @@ class RideStore:
         return self.read().join(df.select("id", *extra), "id", "left") if extra else self.read()
 
     def schema_version(self) -> int:
-        p = self.root / "schema.json"
-        return json.loads(p.read_text())["version"] if p.exists() else 0
+        return json.loads(self.files.read("schema.json"))["version"] if self.files.exists("schema.json") else 0
 
     def set_schema_version(self, version: int) -> None:
-        (self.root / "schema.json").write_text(json.dumps({"version": version}))
+        self.files.write("schema.json", json.dumps({"version": version}), overwrite=True)
 
 
 def write_time_series(records: DataFrame, path: str, buckets: int = 64) -> None:
@@ -164,21 +232,28 @@ def export_csv(rides: DataFrame, folder: str, sheets: Sequence[str] = ("activiti
     return [f"{folder}/{n}" for n in sheets]
 
 
-def export_excel(rides: DataFrame, path: str, rows: int = 100_000) -> str:
-    """The sheets in one workbook, or, without its library, as CSV folders beside it. A sheet holds at
-    most ``rows`` rows, which is what the format is for."""
+#: Rows that the workbook format has room for in one sheet, without the header.
+SHEET_ROWS = 1_048_575
+
+
+def export_excel(rides: DataFrame, path: str, rows: int = SHEET_ROWS) -> str:
+    """The sheets in one workbook, or, without its library, as CSV folders beside it. What exceeds a
+    sheet's room goes on in further sheets of the same name with a number."""
     try:
         import openpyxl
     except ImportError:
         export_csv(rides, str(Path(path).with_suffix("")), list(export_sheets(rides)))
         return str(Path(path).with_suffix(""))
-    book = openpyxl.Workbook()
-    book.remove(book.active)
+    book = openpyxl.Workbook(write_only=True)
     for name, df in export_sheets(rides).items():
-        sheet = book.create_sheet(name)
-        sheet.append(df.columns)
-        for row in df.limit(rows).toLocalIterator():
+        sheet = None
+        for i, row in enumerate(df.toLocalIterator()):
+            if i % rows == 0:
+                sheet = book.create_sheet(name if not i else f"{name}_{i // rows + 1}")
+                sheet.append(df.columns)
             sheet.append(list(row))
+        if sheet is None:
+            book.create_sheet(name).append(df.columns)
     book.save(path)
     return path
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,25 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def append_unseen(stream: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "import_timestamp") -> None:
+    """Writes each key once, with the first of ``order`` among the rows that arrive together; ends when
+    nothing is new. No state is kept in the stream: a micro-batch meets the keys written before, however
+    late it comes. Each has a folder of its own, so one that is run again changes nothing. Null keys are
+    skipped."""
+
+    def save(df: DataFrame, batch: int) -> None:
+        new = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("x")).select("x.*")
+        try:
+            new = new.join(df.sparkSession.read.parquet(path).where(F.col("batch") != batch).select(key), key, "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        new.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    kept = stream.where(F.col(key).isNotNull())
+    kept.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def upsert_new(stream: DataFrame, store: RideStore, checkpoint: str) -> list[dict]:
     """Saves each micro-batch into the store; a batch that is run again changes nothing."""
     done: list[dict] = []
