@@ -28,6 +28,17 @@ P2_FOUND = f"""WITH {STARTS}, {DIGESTS},
  q AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY far, a) AS k FROM p)
  SELECT 'file' AS dup_level, key_a, key_b FROM f WHERE key_a <> key_b UNION ALL SELECT 'activity', a, b FROM q WHERE k = 1"""
 
+#: Words without case, accents, tags and punctuation, and every twelve of them in a row.
+CLEAN = r"""regexp_replace(replace(lower(strip_accents(nfc_normalize(regexp_replace(replace(text, chr(160), ' '), '<([/?]?[A-Za-z]|!)[^<>]*>', ' ', 'g')))), 'ß', 'ss'), '[^a-z0-9\s]+', '', 'g')"""
+
+
+def _shingles(name: str, key: str) -> str:
+    words = f"SELECT {key}, list_filter(regexp_split_to_array({CLEAN}, '\\s+'), lambda x: x <> '') AS w FROM {name} WHERE text IS NOT NULL"
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i+11], ' ') AS s FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - 11)) AS i FROM ({words}) WHERE len(w) >= 12)"
+
+
+P9_FOUND = f"SELECT DISTINCT d.doc_id, i.item_id FROM ({_shingles('documents', 'doc_id')}) d JOIN ({_shingles('eval_items', 'item_id')}) i ON d.s = i.s"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND}
+    return {"p2_found": P2_FOUND, "p9_found": P9_FOUND}
