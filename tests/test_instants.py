@@ -55,6 +55,39 @@ def test_starts(spark):
     assert got["j"].utc_s is None and got["k"].utc_s == utc(2024, 7, 1, 8)
 
 
+def landed(spark, rows):
+    """(athlete_id, start_date_local, start_date, timezone, landed)."""
+    full = [(i, str(i), r[0], r[1], r[2], r[3], "x_1.csv", r[4], "z", True) for i, r in enumerate(rows, 1)]
+    return spark.createDataFrame(full, ACT)
+
+
+def test_zone_is_estimated_from_landing_times(spark):
+    """Wall clocks only, landed soon after the start, on both sides of clock changes."""
+    rows, ny, rome = [], ZoneInfo("America/New_York"), ZoneInfo("Europe/Rome")
+    for who, zone in (("ny", ny), ("rome", rome)):
+        for month, day in ((1, 15), (3, 15), (3, 28), (7, 1), (10, 30), (11, 4), (12, 1)):
+            start = datetime(2024, month, day, 9, 30, tzinfo=zone)
+            rows.append((who, f"2024-{month:02d}-{day:02d}T09:30:00", None, None, datetime.fromtimestamp(start.timestamp() + 120)))
+        rows.append((who, "2024-05-01T09:30:00", None, None, datetime(2024, 9, 1)))  # landed late: says nothing
+    rows += [("late", "2024-05-01T09:30:00", None, None, datetime(2024, 9, 1)), ("said", "2024-05-01T09:30:00", None, "Asia/Tokyo", datetime(2024, 9, 1)), ("none", None, None, None, None)]
+    df = landed(spark, rows)
+    zones = {r.athlete_id: r.home for r in instants.riders_zones(df, athletes(spark)).collect()}
+    same = lambda a, z: all(
+        datetime(2024, m, d, 12, tzinfo=ZoneInfo(a)).utcoffset() == datetime(2024, m, d, 12, tzinfo=z).utcoffset() for m in range(1, 13) for d in (1, 12, 28)
+    )
+    assert same(zones["ny"], ny) and same(zones["rome"], rome) and zones["said"] == "Asia/Tokyo"
+    assert "late" not in zones and "none" not in zones
+    starts = {(r.athlete_id, r.wall.month): r.utc_s for r in instants.activity_instants(df, athletes(spark)).where("athlete_id = 'ny'").collect()}
+    assert starts["ny", 7] == utc(2024, 7, 1, 13, 30) and starts["ny", 1] == utc(2024, 1, 15, 14, 30)
+
+
+def test_known_offsets_outweigh_a_single_late_landing(spark):
+    rows = [("x", f"2024-0{m}-10T08:00:00", f"2024-0{m}-10T0{h}:00:00Z", None, datetime(2025, 1, 1)) for m, h in ((1, 7), (2, 7), (7, 6))]
+    rows.append(("x", "2024-07-20T08:00:00", None, None, datetime(2024, 7, 20, 5, 0)))  # before its start in that zone
+    zones = {r.athlete_id: r.home for r in instants.riders_zones(landed(spark, rows), athletes(spark)).collect()}
+    assert ZoneInfo(zones["x"]).utcoffset(datetime(2024, 7, 1)).total_seconds() == 7200
+
+
 def test_zone_is_estimated_from_known_offsets(spark):
     rows = [("a", "x", f"2024-{m:02d}-10T08:00:00", f"2024-{m:02d}-09T{h}:30:00Z", None, "i_1.csv") for m, h in ((1, "21"), (7, "22"))]
     zones = {r.athlete_id: r.home for r in instants.riders_zones(activities(spark, rows), athletes(spark)).collect()}

@@ -1,14 +1,16 @@
 """Mixed timestamp formats and time zones to one UTC instant (problem 5).
 
 Texts are read by shape with built-in expressions. What the text leaves open is estimated from the
-data: the order of day and month of each exporting system, the zone of riders without one (the
-zone whose history of offsets contradicts fewest of their known offsets), the
-epoch of bare numbers, and which side of a clock change a repeated hour lies on (the order of the
+data: the order of day and month of each exporting system, the zone of riders without one (the zone
+whose history of offsets contradicts fewest of their known offsets and landing times), the epoch of
+bare numbers, and which side of a clock change a repeated hour lies on (the order of the
 recording). Rows that need no estimate never pass through a window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ MILLIS_FROM, MICROS_FROM = 1e11, 1e14
 UNIX_FROM = 1_200_000_000
 #: Changes of the clock that are looked for, in seconds.
 CHANGES = (3600, 1800, 7200)
+#: Zones that riders live in, the largest offset from UTC, and the delay up to which a landing speaks for a zone.
+REGIONS = ("Africa", "America", "Asia", "Atlantic", "Australia", "Europe", "Indian", "Pacific")
+MOST_OFFSET, PROMPT_S = 50400, 6 * 3600
 
 
 def system_of(file_source: Column) -> Column:
@@ -62,43 +67,73 @@ def number_seconds(x: Column, near: Column | None = None) -> Column:
     return T.let(x / unit, lambda s: F.floor(F.when(nearer(s) & (x == s), device(s)).otherwise(s)).cast("long"))
 
 
+def _offsets(hours: DataFrame, offset: Callable[[Column, Column], Column]) -> DataFrame:
+    """(hour, offset, zones): of each hour the zones by their offset. As many rows as there are distinct
+    hours and offsets, whatever the number of riders."""
+    names = [z for z in T.known_zones() if z.split("/")[0] in REGIONS]
+    zone = F.explode(F.split(F.lit(",".join(names)), ",")).alias("zone")
+    every = hours.select("hour", zone).select("hour", "zone", offset(F.col("hour") * 3600, F.col("zone")).alias("offset"))
+    return every.groupBy("hour", "offset").agg(F.collect_list("zone").alias("zones"))
+
+
 def riders_zones(activities: DataFrame, athletes: DataFrame) -> DataFrame:
     """(athlete_id, home): the zone of each rider: the one stated for them, else the estimate.
 
-    The estimate takes, of all zones stated in the activities, the one whose offsets disagree with
-    the fewest of the rider's own known offsets (rows that have both the UTC and the wall-clock
-    start); ties go to the zone stated more often by the rider, then to the lesser name. Only riders
-    without a stated zone are looked at, and each of their distinct (day, offset) once.
+    The estimate takes, of all known zones, the one whose history of offsets makes the fewest
+    violations: rows that have both the UTC and the wall-clock start and another offset between them,
+    and rows with only the wall clock that would have started (or, where elapsed_time is known, ended)
+    after they landed. Ties go to the zone stated more often by the rider, then to the one that brings
+    the wall clocks nearest to their landing, then to the lesser name. Rows that landed more than PROMPT_S
+    after the latest possible start say nothing. Only riders without a stated zone are looked at; those
+    without any evidence get no row.
     """
     stated = (
         athletes.where(F.col("athlete_id").isNotNull())
         .groupBy("athlete_id")
         .agg(F.min(T.zone_name(F.col("timezone"))).alias("home"))
     )
-    read = activities.select(
-        "athlete_id",
-        T.zone_name(F.col("timezone")).alias("zone"),
-        T.read_time(F.col("start_date"), F.lit(False)).alias("u"),
-        T.read_time(F.col("start_date_local"), F.lit(False)).alias("w"),
-    )
-    lost = read.join(stated.where("home is not null"), "athlete_id", "left_anti").where(F.col("athlete_id").isNotNull())
+    took = F.col("elapsed_time").cast("double") if "elapsed_time" in activities.columns else F.lit(0.0)
+    lost = activities.select(
+        "athlete_id", "timezone", "start_date", "start_date_local", F.unix_micros("import_timestamp").alias("landed"),
+        F.when(took > 0, took).otherwise(0.0).alias("took"),
+    ).where("athlete_id is not null").join(stated.where("home is not null"), "athlete_id", "left_anti")
+    read = lost.select(
+        "athlete_id", "took", (F.col("landed") / 1e6).alias("landed"), T.zone_name(F.col("timezone")).alias("zone"),
+        T.read_time(F.col("start_date"), F.lit(False)).alias("u"), T.read_time(F.col("start_date_local"), F.lit(False)).alias("w"),
+    )
     utc = F.coalesce(number_seconds(F.col("u.number")), T.wall_seconds(F.col("u.wall")) - F.coalesce(F.col("u.offset_s"), F.lit(0)))
-    seen = (
-        lost.select("athlete_id", utc.alias("utc_s"), (F.round((T.wall_seconds(F.col("w.wall")) - utc) / 900) * 900).alias("offset"))
-        .where(F.col("offset").between(-50400, 50400))
-        .groupBy("athlete_id", F.floor(F.col("utc_s") / 86400).alias("day"), "offset")
-        .agg(F.min("utc_s").alias("utc_s"), F.count("*").alias("n"))
+    read = read.select("athlete_id", "zone", "took", "landed", utc.alias("utc_s"), T.wall_seconds(F.col("w.wall")).alias("wall_s"))
+    hour = lambda c: F.floor(F.col(c) / 3600).alias("hour")
+
+    known = (
+        read.select("athlete_id", "utc_s", (F.round((F.col("wall_s") - F.col("utc_s")) / 900) * 900).cast("long").alias("offset"))
+        .where(F.abs("offset") <= MOST_OFFSET)
+        .groupBy("athlete_id", hour("utc_s"), "offset")
+        .agg(F.count("*").alias("n"))
     )
-    own = lost.where("zone is not null").groupBy("athlete_id", "zone").agg(F.count("*").alias("stated"))
-    zones = F.explode(F.split(F.lit(",".join(T.known_zones())), ",")).alias("zone")
-    tried = seen.select("athlete_id", "utc_s", "offset", "n", zones).where(F.col("zone").rlike("^(Africa|America|Asia|Atlantic|Australia|Europe|Indian|Pacific)/"))
-    wrong = tried.groupBy("athlete_id", "zone").agg(
-        F.sum(F.when(T.zone_offset(F.col("utc_s"), F.col("zone")) != F.col("offset"), F.col("n")).otherwise(0)).alias("wrong")
+    agree = known.join(_offsets(known.select("hour").distinct(), T.zone_offset), ["hour", "offset"]).select("athlete_id", F.explode("zones").alias("zone"), "n")
+    # what agrees is taken off, so that zones which agree with nothing need no rows
+    marks = agree.select("athlete_id", "zone", (-F.col("n")).alias("wrong"), F.lit(0.0).alias("delay"))
+
+    least = F.col("wall_s") + F.col("took") - F.col("landed")  # a smaller offset puts the ride after its landing
+    prompt = (
+        read.where("utc_s is null").select("athlete_id", hour("wall_s"), least.alias("least"))
+        .where(F.col("least").between(-MOST_OFFSET - PROMPT_S, MOST_OFFSET))
+        .groupBy("athlete_id", "hour", (F.ceil(F.col("least") / 900) * 900).alias("least"))
+        .agg(F.count("*").alias("n"))
     )
+    local = _offsets(prompt.select("hour").distinct(), lambda wall, zone: wall - T.zoned_seconds(T.wall_of(wall), zone))
+    weighed = prompt.join(local, "hour").select(
+        "athlete_id", F.explode("zones").alias("zone"),
+        F.when(F.col("offset") < F.col("least"), F.col("n")).otherwise(0).alias("wrong"), (F.col("n") * (F.col("offset") - F.col("least"))).cast("double").alias("delay"),
+    )
+    own = read.where("zone is not null").groupBy("athlete_id", "zone").agg(F.count("*").alias("stated"))
+    sums = marks.unionByName(weighed).groupBy("athlete_id", "zone").agg(F.sum("wrong").alias("wrong"), F.sum("delay").alias("delay"))
+    none = F.lit(0)
     best = (
-        wrong.join(own, ["athlete_id", "zone"], "full")
+        sums.join(own, ["athlete_id", "zone"], "full")
         .groupBy("athlete_id")
-        .agg(F.min(F.struct(F.coalesce("wrong", F.lit(0)).alias("wrong"), (-F.coalesce("stated", F.lit(0))).alias("s"), "zone"))["zone"].alias("guess"))
+        .agg(F.min(F.struct(F.coalesce("wrong", none).alias("wrong"), (-F.coalesce("stated", none)).alias("s"), F.coalesce("delay", F.lit(0.0)).alias("delay"), "zone"))["zone"].alias("guess"))
     )
     return stated.where("home is not null").unionByName(best.select("athlete_id", F.col("guess").alias("home")))
 
