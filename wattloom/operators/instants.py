@@ -92,11 +92,15 @@ def riders_zones(activities: DataFrame, athletes: DataFrame) -> DataFrame:
         .groupBy("athlete_id")
         .agg(F.min(T.zone_name(F.col("timezone"))).alias("home"))
     )
+    home = stated.where("home is not null")
+    who = activities.select("athlete_id").where("athlete_id is not null").join(home, "athlete_id", "left_anti")
+    if who.isEmpty():  # a look at one column spares the scans of the estimate
+        return home
     took = F.col("elapsed_time").cast("double") if "elapsed_time" in activities.columns else F.lit(0.0)
     lost = activities.select(
         "athlete_id", "timezone", "start_date", "start_date_local", F.unix_micros("import_timestamp").alias("landed"),
         F.when(took > 0, took).otherwise(0.0).alias("took"),
-    ).where("athlete_id is not null").join(stated.where("home is not null"), "athlete_id", "left_anti")
+    ).where("athlete_id is not null").join(home, "athlete_id", "left_anti")
     read = lost.select(
         "athlete_id", "took", (F.col("landed") / 1e6).alias("landed"), T.zone_name(F.col("timezone")).alias("zone"),
         T.read_time(F.col("start_date"), F.lit(False)).alias("u"), T.read_time(F.col("start_date_local"), F.lit(False)).alias("w"),
@@ -135,7 +139,7 @@ def riders_zones(activities: DataFrame, athletes: DataFrame) -> DataFrame:
         .groupBy("athlete_id")
         .agg(F.min(F.struct(F.coalesce("wrong", none).alias("wrong"), (-F.coalesce("stated", none)).alias("s"), F.coalesce("delay", F.lit(0.0)).alias("delay"), "zone"))["zone"].alias("guess"))
     )
-    return stated.where("home is not null").unionByName(best.select("athlete_id", F.col("guess").alias("home")))
+    return home.unionByName(best.select("athlete_id", F.col("guess").alias("home")))
 
 
 def activity_instants(activities: DataFrame, athletes: DataFrame) -> DataFrame:
