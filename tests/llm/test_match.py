@@ -33,18 +33,42 @@ def test_matches(spark):
     assert got == truth and all(0.5 <= r.confidence <= 1 for r in rows)
 
 
-def test_close_pairs_are_all_found(spark):
-    """Every pair within the tolerance agrees in a substring."""
+def code(start, size, step):
+    """The whole code of a ride as one number, by the definition."""
+    import math
+
+    q, p, out = math.floor(start / match.START_STEP), math.floor(size / step), 0
+    for j in range(match.SUBSTRINGS):
+        x, y = (q + j) // match.SUBSTRINGS, (p + j) // match.SUBSTRINGS
+        out = out << 64 | (x ^ x >> 1) << 24 | (y ^ y >> 1)
+    return out
+
+
+def test_close_pairs_are_those_within_the_radius(spark):
+    """Exactly the pairs within the Hamming radius, and so every pair within the tolerance."""
+    import math
+
     rng = random.Random(8)
     left, right = [], []
-    for k in range(400):
-        s, d = rng.randrange(10**9), rng.uniform(1e3, 1e5)
-        left.append(ride(k, s, d, None, None, None, None, None, None))
-        right.append(ride(k, s + rng.randrange(-390, 391), d * rng.uniform(0.9945, 1.0055), None, None, None, None, None, None))
+    for k in range(500):
+        s, d, t = rng.randrange(10**9), rng.uniform(1e3, 1e5), rng.uniform(1e3, 1e4)
+        wide = rng.choice([1, 1, 1, 3])
+        left.append(ride(k, s, d if k % 3 else None, t if k % 2 == 0 else None, None, None, None, None, None))
+        right.append(ride(k, s + wide * rng.randrange(-300, 301), d * math.exp(wide * rng.uniform(-0.006, 0.006)), t * math.exp(rng.uniform(-0.012, 0.012)), None, None, None, None, None))
     a = match.encode(spark.createDataFrame(left, SCHEMA))
     b = match.encode(spark.createDataFrame(right, SCHEMA)).selectExpr("*", "0 as clock")
-    found = {r.l_key for r in match.close_pairs(a, b).where("l_key = r_key").select("l_key").collect()}
-    assert found == set(range(400))
+    found = {(r.l_key, r.r_key) for r in match.close_pairs(a, b).collect()}
+    sizes = ((2, "log_distance"), (3, "log_time"))
+    expected = {
+        (x[0], y[0]) for x in left for y in right
+        if abs(x[1] - y[1]) < 5000 and any(
+            x[c] and y[c] and (code(x[1], math.log(x[c]), match.SIZE_STEPS[f]) ^ code(y[1], math.log(y[c]), match.SIZE_STEPS[f])).bit_count() <= match.RADIUS
+            for c, f in sizes
+        )
+    }
+    assert found == expected
+    near = {x[0] for x, y in zip(left, right) if abs(x[1] - y[1]) <= 300 and x[2] and abs(math.log(x[2] / y[2])) <= 0.006}
+    assert {(k, k) for k in near} <= found and len(near) > 200
 
 
 def test_nulls_ties_and_empty(spark):
@@ -66,6 +90,28 @@ def test_a_group_of_copies_forms_no_pairs(spark):
     assert {(r.l_key, r.r_key) for r in match.match_rides(df, df).collect()} == {(0, 0), (5000, 5000)}
 
 
+def test_confidence_tells_how_many_are_right(spark):
+    """Rides known to one source only, beside riders who start nearby by chance."""
+    rng = random.Random(21)
+    left, right = [], []
+    start = lambda: 1_700_000_000 + 86400 * rng.randrange(20) + rng.randrange(3000)
+    for k in range(4000):
+        s, d, t = start(), rng.uniform(2e4, 3e4), rng.uniform(3000, 4500)
+        h, p = rng.randrange(120, 180), rng.randrange(90, 260)
+        left.append(ride(k, s, d, t, t, h, p, None, None))
+        if k % 2 == 0:
+            right.append(ride(k, s + rng.randrange(-200, 200), d * rng.uniform(0.997, 1.003), t * rng.uniform(0.994, 1.006), None, h + rng.randrange(-2, 3), None, None, None))
+        else:
+            right.append(ride(k, start(), rng.uniform(2e4, 3e4), rng.uniform(3000, 4500), None, rng.randrange(120, 180), None, None, None))
+    rows = match.match_rides(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), least=0.0).collect()
+    for low, high in ((0.0, 0.5), (0.5, 0.9), (0.9, 1.01)):
+        part = [r for r in rows if low <= r.confidence < high]
+        if len(part) > 100:
+            share, said = sum(r.l_key == r.r_key for r in part) / len(part), sum(r.confidence for r in part) / len(part)
+            print(low, len(part), round(share, 3), round(said, 3))
+            assert abs(share - said) < 0.2
+
+
 def test_calibration_rises():
     a, b = match.calibrate([(45, 100, 1), (20, 2, 80), (30, 10, 10)])
     p = lambda x: 1 / (1 + 2.718281828 ** -(a + b * x))

@@ -2,10 +2,13 @@
 
 Every attribute of a ride becomes a fixed bit vector: numbers as overlapping grams of a grid, so
 that near numbers share bits, names as hashed character bigrams. Close pairs come from multi-index
-hashing: start and distance are coded on several shifted grids, one substring per shift; a pair
-within the tolerance differs in fewer substrings than there are, so it agrees in one and is found by
-an equi-join, exactly. Pairs are scored by field-weighted Dice, scores become confidences by a
-logistic curve fitted to a fixed number of score bins, and each ride keeps its mutual best.
+hashing: the start and one size of a ride (distance, elapsed or moving time) are read on SUBSTRINGS
+shifted grids, and the Gray codes of their cells are the substrings of one long code. Each step that
+two rides are apart crosses the boundary of one grid and so changes one bit of one substring; rides
+within RADIUS = SUBSTRINGS - 1 bits agree in a substring, and an equi-join on substrings finds them
+all. Candidates are verified by their Hamming distance, scored by field-weighted Dice of the vectors,
+and the scores become confidences by a logistic curve through scores of true and displaced clocks.
+Each ride keeps its mutual best.
 """
 
 from __future__ import annotations
@@ -17,12 +20,16 @@ from pyspark.sql import functions as F
 
 from wattloom.session import cut_lineage
 
-#: Shifted grids (substrings) and widths of the cells. Rides within a quarter of a width in each
-#: part differ in at most two of the four substrings.
-SHIFTS = 4
-START_W, LOG_DISTANCE_W, LOG_TIME_W = 1600, 0.024, 0.08
+#: Substrings of the code (a power of two), the Hamming radius that they find exactly, and the steps of start and sizes:
+#: rides within 300 s and four steps of a size (0.6 % of distance, 1.2 % of time) are at most 7 bits apart.
+SUBSTRINGS = 8
+RADIUS = SUBSTRINGS - 1
+START_STEP = 100.0
+SIZE_STEPS = {"log_distance": 0.0015, "log_elapsed": 0.003, "log_time": 0.003}
 #: Errors of a device's clock that are tried, in seconds.
 CLOCKS = (0, -3600, 3600)
+#: A clock so far off matches only by chance; one ride in DECOY_SHARE shows the scores that chance gives.
+DISPLACED, DECOY_SHARE = 2 * 86400, 4
 
 #: field: (weight, grid step, grams on either side).
 NUMBERS = {
@@ -85,30 +92,41 @@ def one_of_copies(encoded: DataFrame) -> DataFrame:
     return encoded.groupBy(*rest).agg(F.min("key").alias("key"))
 
 
-def _substrings(df: DataFrame, part: str, width: float) -> DataFrame:
-    """One row per shift: the hash of the cells of the start and of ``part`` on that shifted grid."""
-    cells = [
-        F.struct(F.lit(j).alias("j"), F.floor(F.col("start") / START_W + j / SHIFTS).alias("t"), F.floor(F.col(part) / width + j / SHIFTS).alias("p"))
-        for j in range(SHIFTS)
-    ]
-    out = df.where(F.col("start").isNotNull() & F.col(part).isNotNull())
-    return out.withColumn("c", F.explode(F.array(*cells))).withColumn("code", F.xxhash64("c.j", "c.t", "c.p"))
+def _gray(x: Column) -> Column:
+    return x.bitwiseXOR(F.call_function("shiftright", x, F.lit(1)))
 
 
-def close_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs of encoded rides that agree in a substring: of start and distance, or, where
-    one side's distance is unknown, of start and elapsed or moving time. Columns l_* and r_*."""
-    name = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns if c != "c"])
+def _substring(start: Column, size: Column, j: Column | int) -> Column:
+    """Substring j of the code of a ride at so many steps of start and size: the Gray codes of the two
+    cells on grid j, side by side."""
+    j = j if isinstance(j, Column) else F.lit(j)
+    cell = lambda q: _gray(F.call_function("shiftright", q + j, F.lit(SUBSTRINGS.bit_length() - 1)))
+    return F.call_function("shiftleft", cell(start), F.lit(24)).bitwiseXOR(cell(size).bitwiseAND(F.lit((1 << 24) - 1).cast("long")))
+
+
+def _indexed(df: DataFrame, p: str, *keys: str) -> DataFrame:
+    """One row per ride, known size and substring, narrow: (keys, steps, kind, j, code), names after ``p``."""
+    at = lambda c, step: F.floor(F.col(c) / step).cast("long")
+    kinds = [
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("kind"), at(c, step).alias("size"))) for k, (c, step) in enumerate(SIZE_STEPS.items())
+    ]
+    rows = df.where("start is not null").select(*keys, at("start", START_STEP).alias("at"), F.explode(F.array_compact(F.array(*kinds))).alias("x"))
+    rows = rows.select(*keys, "at", "x.kind", "x.size", F.explode(F.sequence(F.lit(0), F.lit(SUBSTRINGS - 1))).alias("j"))
+    rows = rows.withColumn("code", _substring(F.col("at"), F.col("size"), F.col("j")))
+    return rows.select(*[F.col(c).alias(p + c) for c in rows.columns])
 
-    def joined(a: DataFrame, b: DataFrame, part: str, width: float) -> DataFrame:
-        x, y = name(_substrings(a, part, width), "l_"), name(_substrings(b, part, width), "r_")
-        return x.join(y, F.col("l_code") == F.col("r_code")).drop("l_code", "r_code")
 
-    lost = "log_distance is null"
-    pairs = joined(left, right, "log_distance", LOG_DISTANCE_W)
-    for part in ("log_elapsed", "log_time"):  # either may be unknown on the other side too
-        pairs = pairs.unionByName(joined(left.where(lost), right, part, LOG_TIME_W)).unionByName(joined(left, right.where(lost), part, LOG_TIME_W))
-    return pairs.dropDuplicates(["l_key", "r_key", "r_clock"])
+def close_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l_key, r_key, r_clock): distinct pairs of encoded rides within RADIUS bits for one of the sizes
+    that both know. No pair within it is missed."""
+    a, b = _indexed(left, "l_", "key"), _indexed(right, "r_", "key", "clock")
+    on = (F.col("l_code") == F.col("r_code")) & (F.col("l_j") == F.col("r_j")) & (F.col("l_kind") == F.col("r_kind"))
+    both = [(_substring(F.col("l_at"), F.col("l_size"), j), _substring(F.col("r_at"), F.col("r_size"), j)) for j in range(SUBSTRINGS)]
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in both), F.lit(0))
+    first = F.lit(None).cast("int")  # a pair counts at the first substring in which it agrees
+    for j, (x, y) in reversed(list(enumerate(both))):
+        first = F.when(x == y, F.lit(j)).otherwise(first)
+    return a.join(b, on).where((apart <= RADIUS) & (first == F.col("l_j"))).select("l_key", "r_key", "r_clock").distinct()
 
 
 def dice(pairs: DataFrame) -> DataFrame:
@@ -119,7 +137,7 @@ def dice(pairs: DataFrame) -> DataFrame:
         a, b = F.col(f"l_b_{field}"), F.col(f"r_b_{field}")
         d = 2.0 * F.bit_count(a.bitwiseAND(b)) / (F.bit_count(a) + F.bit_count(b))
         if field == "start":
-            d = d * F.when(F.col("r_clock") == 0, 1.0).otherwise(CLOCK_FACTOR)
+            d = d * F.when(F.col("r_clock").isin(0, DISPLACED), 1.0).otherwise(CLOCK_FACTOR)
         both = a.isNotNull() & b.isNotNull()
         total = total + F.when(both, d * weight).otherwise(0.0)
         weights = weights + F.when(both, F.lit(weight)).otherwise(0.0)
@@ -157,26 +175,34 @@ def match_rides(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFr
 
     ``left`` and ``right`` as for ``encode``, one row per key; ``right``'s clock may be an hour off.
     Rides without a start match nothing, nor do pairs that share neither distance nor either time. Ties go
-    to the smaller clock error, then to the lesser key. Every candidate pair is scored.
+    to the smaller clock error, then to the lesser key. Every candidate pair is scored. The confidence is
+    the share of rides whose best score is no chance, as told by rides with a displaced clock.
     """
-    a = cut_lineage(one_of_copies(encode(left)), "rides-left")  # joined several times, read once
-    late = right.withColumn("clock", F.explode(F.array(*[F.lit(c) for c in CLOCKS])))
+    a = cut_lineage(one_of_copies(encode(left)), "rides-left")  # read by the index and by the scores
+    decoy = F.pmod(F.xxhash64("key"), F.lit(DECOY_SHARE)) == 0
+    tried = F.array(*map(F.lit, CLOCKS))
+    clocks = F.when(decoy, F.concat(tried, F.array(*[F.lit(DISPLACED + c) for c in CLOCKS]))).otherwise(tried)
+    late = right.withColumn("clock", F.explode(clocks))
     shifted = late.withColumn("start_s", F.col("start_s") + F.col("clock")).withColumn("key", F.struct("key", "clock"))
     b = encode(shifted).withColumn("clock", F.col("key.clock")).withColumn("key", F.col("key.key"))
     b = cut_lineage(one_of_copies(b), "rides-right")
-    scored = dice(close_pairs(a, b)).select("l_key", "r_key", F.abs("r_clock").alias("clock"), "score").where("score is not null")
-    scored = scored.groupBy("l_key", "r_key").agg(F.max(F.struct("score", (-F.col("clock")).alias("clock"))).alias("best"))
-    order = lambda key, other: Window.partitionBy(key).orderBy(F.desc("best"), other)
+    named = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns if c.startswith("b_") or c in ("key", "clock")])
+    pairs = close_pairs(a, b).join(named(a, "l_"), "l_key").join(named(b, "r_"), ["r_key", "r_clock"])
+    scored = dice(pairs).where("score is not null").select("l_key", "r_key", "score", (F.col("r_clock") > DISPLACED // 2).alias("decoy"), F.col("r_clock").alias("clock"))
+    error = -F.abs(F.when(F.col("decoy"), F.col("clock") - DISPLACED).otherwise(F.col("clock")))
+    scored = scored.groupBy("l_key", "r_key", "decoy").agg(F.max(F.struct("score", error.alias("clock"))).alias("best"))
+    order = lambda key, other: Window.partitionBy(key, "decoy").orderBy(F.desc("best"), other)
     ranked = cut_lineage(
         scored.withColumn("l_rank", F.row_number().over(order("l_key", "r_key"))).withColumn("r_rank", F.row_number().over(order("r_key", "l_key"))),
         "ride-pairs",
     )
-    mutual = (F.col("l_rank") == 1) & (F.col("r_rank") == 1)
     bins = (
-        ranked.groupBy(F.least(F.floor(F.col("best.score") * BINS), F.lit(BINS - 1)).alias("bin"))
-        .agg(F.count_if(mutual).alias("p"), F.count_if(~mutual).alias("n"))
+        ranked.where("r_rank = 1")
+        .groupBy(F.least(F.floor(F.col("best.score") * BINS), F.lit(BINS - 1)).alias("bin"))
+        .agg(F.count_if(~F.col("decoy")).alias("all"), (DECOY_SHARE * F.count_if("decoy")).alias("chance"))
         .collect()  # at most BINS rows
     )
-    x, y = calibrate([tuple(map(int, r)) for r in bins])
+    x, y = calibrate([(int(r["bin"]), max(0, r["all"] - r["chance"]), min(r["all"], r["chance"])) for r in bins])
     confidence = 1 / (1 + F.exp(-(F.lit(x) + F.lit(y) * F.col("best.score"))))
-    return ranked.where(mutual).select("l_key", "r_key", F.col("best.score").alias("score"), confidence.alias("confidence")).where(F.col("confidence") >= least)
+    mutual = ranked.where("l_rank = 1 and r_rank = 1 and not decoy")
+    return mutual.select("l_key", "r_key", F.col("best.score").alias("score"), confidence.alias("confidence")).where(F.col("confidence") >= least)
