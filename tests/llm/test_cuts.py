@@ -1,6 +1,9 @@
 import random
 
-from wattloom.llm import cuts
+import numpy as np
+import pandas as pd
+
+from wattloom.llm import bloom, cuts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, h string"
 SUBJECTS = ["the group from {}", "coach {}", "the file of {}", "load at {}", "the road to {}"]
@@ -50,12 +53,35 @@ def test_folding_and_tails():
 
 
 def test_hashes_depend_on_the_context_only():
-    a, b = (cuts.context_hashes(cuts._codes(t), cuts.ORDERS) for t in ("x" * 20 + "the end", "y" * 30 + "the end"))
+    every = np.full(1 << 10, 2**64 - 1, np.uint64)  # a filter that passes all
+    both = [list(cuts.context_hashes(x := cuts._codes(t), cuts.ORDERS, np.arange(len(x)), every)) for t in ("x" * 20 + "the end", "y" * 30 + "the end")]
+    a, b = ([h for _, h in v] for v in both)
     ends = cuts.end_hashes(["x" * 20 + "the end", "", "d"], cuts.ORDERS).astype("uint64")
     assert ends[0].tolist() == [int(v[-1]) for v in a] and len(set(ends[:, 0].tolist())) == 3
     assert a[0][-1] == b[0][-1] and a[2][-1] == b[2][-1] and a[-1][-1] != b[-1][-1]
 
 
+def test_counts_of_contexts_match_brute_force():
+    """Every context that ends a text is counted at all its places, whatever the filter lets pass."""
+    rng = random.Random(4)
+    texts = [text(rng, 3) for _ in range(40)]
+    folded = [cuts.fold(cuts.strip_tail(t)) for t in texts]
+    ends = cuts.end_hashes(folded, cuts.ORDERS)
+    keys = np.unique(ends.astype("uint64"))
+    got = pd.concat(cuts._inside(bloom.of_keys(keys))(iter([pd.DataFrame({"text": texts})]))).groupby("h").sum()
+    for i, k in ((0, 2), (3, 4), (7, 6), (11, 14)):
+        context = ("\x02" * k + folded[i])[-k:]
+        spaced = joined = 0
+        for t in folded:
+            padded = "\x02" * 14 + t
+            for e in range(15, len(padded)):
+                if padded[:e].endswith(context):
+                    spaced, joined = (spaced + 1, joined) if padded[e] in " \n" else (spaced, joined + 1)
+        row = got.loc[ends[i, cuts.ORDERS.index(k)]] if ends[i, cuts.ORDERS.index(k)] in got.index else None
+        assert (0, 0) == (spaced, joined) if row is None else (row.spaced, row.joined) == (spaced, joined)
+    assert got.loc[cuts.PLACES].spaced == sum(t.count(" ") + t.count("\n") for t in texts)
+
+
 def test_nulls_empty_and_long(spark):
     rows = [(1, None, None, None, 0, 1, "x"), (2, "", None, None, 0, 1, "x"), (3, " ", "en", "s", 1, 1, "x"), (4, "word " * 100_000, "en", "s", 500_000, 1, "x"), (4, "twice", "en", "s", 5, 1, "x"), (4, "twice", "en", "s", 5, 1, "x"), (None, "a b", "en", "s", 3, 1, "x")]
     got = cuts.cut_scores(spark.createDataFrame(rows, SCHEMA)).collect()

@@ -18,14 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.llm import bloom
 from wattloom.session import cut_lineage, spread
 
 #: Lengths of the contexts, in folded characters.
 ORDERS = (2, 4, 6, 9, 14)
 #: Lengths of the contexts that keep names as written, for texts that end within or after a name.
 PLAIN_ORDERS = (2, 4, 6)
-#: Bits of the filter that keeps only contexts that end some text; false positives only cost time.
-FILTER_BITS = 1 << 24
 #: Strength of the shorter context in the longer one, rounds of estimating the shares of cut texts,
 #: texts that a group's share leans on, and the share to begin with.
 LEAN, ROUNDS, GROUP_LEAN, FIRST_SHARE = 20.0, 4, 10.0, 0.1
@@ -41,44 +40,52 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 DIGITS = re.compile(r"\d+")
 NAME = re.compile(r"(?<=[^\W\d_] )[A-ZÀ-Þ][\w’']*")
 #: Marks of omission, blanks and the sign of a broken character at the end say nothing themselves.
-TAIL = re.compile(r"[\s�…]+$|\.\.\.[\s�]*$")
+BROKEN = re.compile(r"�\s*$|[.!?]\s*(?:…|\.\.\.)[\s�]*$")
 
 
-BROKEN = re.compile(r"�\s*$|[.!?]\s*(?:…|\.\.\.)[\s�]*$")
+SAYS_NOTHING = "".join(chr(i) for i in range(0x3001) if chr(i).isspace()) + "\ufffd…"
 
 
 def strip_tail(text: str) -> str:
-    while (m := TAIL.search(text)) and m.group():
-        text = text[: m.start()]
-    return text
+    """The text without marks of omission, blanks and broken characters at its end."""
+    while True:
+        text = text.rstrip(SAYS_NOTHING)
+        if not text.endswith("..."):
+            return text
+        text = text[:-3]
 
 
 def fold(text: str) -> str:
     """Folded text: addresses, hashtags and numbers become one sign each, a capitalised word after
     a word becomes one sign (a name)."""
-    text = re.sub(r"https?://(\S*)", lambda m: "\x01" + re.sub(r"\w", "u", m.group(1))[-4:], text)
-    text = re.sub(r"#\w+", "\x03", text)
-    text = DIGITS.sub("0", text)
-    return NAME.sub("\x04", text)
+    if "http" in text:
+        text = re.sub(r"https?://(\S*)", lambda m: "\x01" + re.sub(r"\w", "u", m.group(1))[-4:], text)
+    if "#" in text:
+        text = re.sub(r"#\w+", "\x03", text)
+    return NAME.sub("\x04", DIGITS.sub("0", text))
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
 
 
-def context_hashes(x: np.ndarray, orders: tuple[int, ...]) -> list[np.ndarray]:
-    """For each order, the hash of the context that ends at each position; the two sets of orders
-    give different hashes."""
-    out, h = [], np.full(len(x), len(orders), np.uint64)
-    for k in range(max(orders)):
-        # the character k places back, times a power of the multiplier
-        moved = np.zeros(len(x), np.uint64)
-        if k < len(x):
-            moved[k:] = x[: len(x) - k] + np.uint64(1)
-        h = h * MULTIPLIER + moved
+def context_hashes(x: np.ndarray, orders: tuple[int, ...], wanted: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, (places, hashes) of the contexts at the ``wanted`` places that pass the filter. A
+    context that ends some text has shorter ones that do, so a place that fails is not looked at again.
+    The two sets of orders give different hashes."""
+    reach = max(orders)
+    padded = np.concatenate((np.zeros(reach, np.uint64), x + np.uint64(1)))  # 0 before the beginning
+    at, h, dense = wanted, np.full(len(x), len(orders), np.uint64), True
+    for k in range(reach):
+        # the character k places back; all places in a row as long as many are left
+        h = h * MULTIPLIER + (padded[reach - k : len(padded) - k] if dense else padded[at + (reach - k)])
         if k + 1 in orders:
-            out.append(_mixed(h, k))
-    return out
+            v = _mixed(h[at] if dense else h, k)
+            kept = bloom.passes(words, v)
+            at, h = at[kept], h if dense else h[kept]
+            yield at, v[kept]
+            if dense and 2 * len(at) < len(x):
+                h, dense = h[at], False
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -115,9 +122,13 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def _inside(bits: np.ndarray):
+#: The key under which the numbers of blanks and of sentence ends before them are summed.
+PLACES = 0
+
+
+def _inside(words: np.ndarray):
     """(h, spaced, joined) of the contexts in mid-text that pass the filter: how often a blank follows
-    and how often not, summed within each piece of a batch."""
+    and how often not, summed within each piece of a batch; under PLACES the blanks and sentence ends."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pad = np.full(max(ORDERS), 2, np.uint64)
@@ -130,41 +141,32 @@ def _inside(bits: np.ndarray):
             inner = x != 2
             inner[np.cumsum([len(p) for p in pieces])[1::2] - 1] = False  # the ends themselves
             blank = np.r_[(x[1:] == 32) | (x[1:] == 10), False]
-            for v in context_hashes(x, orders):
-                slot = v & np.uint64(FILTER_BITS - 1)
-                kept = inner & ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1)
-                for name, where in (("spaced", kept & blank), ("joined", kept & ~blank)):
+            for at, v in context_hashes(x, orders, np.flatnonzero(inner), words):
+                for name, where in (("spaced", blank[at]), ("joined", ~blank[at])):
                     keys, n = np.unique(v[where], return_counts=True)
-                    zero = np.zeros(len(n), np.int64)
-                    yield pd.DataFrame({"h": keys.astype(np.int64), "spaced": zero, "joined": zero} | {name: n})
+                    yield pd.DataFrame({"h": keys.view(np.int64), "spaced": np.zeros(len(n), np.int64), "joined": np.zeros(len(n), np.int64)} | {name: n})
+
+        def pieces(texts: list[str]) -> Iterator[pd.DataFrame]:
+            blanks = sum(t.count(" ") + t.count("\n") for t in texts)
+            stops = sum(t.count(a + b) for t in texts for a in ".!?" for b in " \n")
+            yield pd.DataFrame({"h": [PLACES], "spaced": [blanks], "joined": [stops]})
+            texts = [strip_tail(t) for t in texts]
+            yield from flush([fold(t) for t in texts], ORDERS)
+            yield from flush([DIGITS.sub("0", t) for t in texts], PLAIN_ORDERS)
 
+        texts, size = [], 0
         for pdf in batches:
-            texts, size = [], 0
-            for i, text in enumerate(pdf["text"]):
-                texts.append(strip_tail(text))
+            for text in pdf["text"]:
+                texts.append(text)
                 size += len(text)
-                if size >= CHARS_AT_ONCE or i == len(pdf) - 1:
-                    yield from flush([fold(t) for t in texts], ORDERS)
-                    yield from flush([DIGITS.sub("0", t) for t in texts], PLAIN_ORDERS)
+                if size >= CHARS_AT_ONCE:
+                    yield from pieces(texts)
                     texts, size = [], 0
+        yield from pieces(texts)
 
     return walk
 
 
-def _filter_of(contexts: DataFrame) -> np.ndarray:
-    """The filter's bits, of FILTER_BITS / 8 bytes whatever the data's size."""
-    slot = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
-    rows = (
-        contexts.select(slot.alias("s"))
-        .groupBy((F.col("s") / 32).cast("long").alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int"))).alias("bits"))
-        .toPandas()
-    )
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out.view(np.uint8)
-
-
 def _odds(spaced: Column, joined: Column, start: float) -> Column:
     """Log-odds of a cut against an end, without the group's prior: hazards of a cut and of an end
     after the context. A cut has one hazard (``spaced``) at ends of words, where ends of sentences are
@@ -202,10 +204,14 @@ def cut_scores(documents: DataFrame) -> DataFrame:
     )
     texts = spread(texts, "doc_id")
     ends = cut_lineage(texts.mapInPandas(_ends, ENDS), "text-ends")
-    each = ends.select("tail", "h").distinct().select(F.explode("h").alias("h"))
-    at_end = cut_lineage(each.groupBy("h").agg(F.count("*").alias("ends")), "contexts")
-    inside = texts.select("text").mapInPandas(_inside(_filter_of(at_end.select("h"))), "h long, spaced long, joined long")
-    inside = inside.groupBy("h").agg(F.sum("spaced").alias("spaced"), F.sum("joined").alias("joined"))
+    # contexts with names as written weigh only where a text ends in a name; others need no counts inside
+    each = ends.select("tail", "name", "h").distinct().select(F.posexplode("h").alias("order", "h"), "name")
+    weighs = F.bool_or(F.col("name") | (F.col("order") < len(ORDERS))).alias("weighs")
+    at_end = cut_lineage(each.groupBy("h").agg(F.count("*").alias("ends"), weighs), "contexts")
+    sought = at_end.where("weighs")
+    words = bloom.of_column(sought, "h", sought.count())
+    inside = texts.select("text").mapInPandas(_inside(words), "h long, spaced long, joined long")
+    inside = cut_lineage(inside.groupBy("h").agg(F.sum("spaced").alias("spaced"), F.sum("joined").alias("joined")), "mid-text")
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
     model = at_end.join(inside, "h", "left").select("h", number("ends"), number("spaced"), number("joined"))
     tops = ends.groupBy("source").agg(F.max("n_chars").alias("top"))
@@ -228,8 +234,7 @@ def cut_scores(documents: DataFrame) -> DataFrame:
     n, places = judged.agg(F.count("*"), F.sum("n_chars")).first()
     if not n:
         return judged.select("doc_id", "lang", "source", "n_chars", F.lit(0.0).alias("log_odds"))
-    less = lambda pattern: F.sum(F.length("text") - F.length(F.regexp_replace("text", pattern, "")))
-    blanks, stops = texts.agg(less("[ \\n]"), less("[.!?](?=[ \\n])")).first()
+    blanks, stops = inside.where(F.col("h") == PLACES).select("spaced", "joined").first()
     # ends of words, ends of sentences, other places; and the share of texts that are cut at each
     at = [max(float(x or 0), 1.0) for x in (blanks - stops, stops, places - blanks)]
     shares = [FIRST_SHARE / 2, FIRST_SHARE / 100, FIRST_SHARE / 2]
