@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions import timetext
 from wattloom.operators.activity import r6
+from wattloom.operators.units import balance_unit
 
 #: Field and what it falls back to. Fixed values.
 FALLBACKS = {
@@ -17,8 +18,36 @@ FALLBACKS = {
     "icu_normalized_watts": "normalized_power", "icu_training_load": "training_stress_score",
 }
 
-#: Least and greatest values of device fields. Fixed values.
-CONSTRAINTS = {"heart_rate": (0, 255), "power": (0, 2000), "cadence": (0, 255), "temperature": (-100, 100), "altitude": (-500, 10000)}
+#: Least and greatest values of a reading's fields, null where there is no bound. Fixed values.
+CONSTRAINTS = {
+    "position_lat": (-90, 90), "position_long": (-180, 180), "distance": (0, None), "enhanced_speed": (0, None), "speed": (0, None),
+    "heart_rate": (0, 255), "cadence": (0, 255), "fractional_cadence": (0, 255), "power": (0, 2000),
+    "left_torque_effectiveness": (0, 100), "right_torque_effectiveness": (0, 100), "left_pedal_smoothness": (0, 100),
+    "right_pedal_smoothness": (0, 100), "combined_pedal_smoothness": (0, 100), "temperature": (-100, 100), "grade": (-100, 100),
+    "calories": (0, None), "gps_accuracy": (0, None), "vertical_oscillation": (0, None), "stance_time_percent": (0, 100),
+    "stance_time": (0, None), "vertical_ratio": (0, None), "stance_time_balance": (0, 100), "step_length": (0, None),
+    "battery_soc": (0, 100), "motor_power": (0, None),
+}
+#: Session fields that replace an activity's where they are there. Fixed values.
+SESSION_OVERWRITES = (
+    "threshold_power", "functional_threshold_power", "avg_cadence", "max_cadence", "avg_fractional_cadence", "max_fractional_cadence",
+    "avg_temperature", "max_temperature", "left_right_balance", "avg_left_torque_effectiveness", "avg_right_torque_effectiveness",
+    "avg_left_pedal_smoothness", "avg_right_pedal_smoothness", "avg_left_power_phase", "avg_right_power_phase", "avg_left_power_phase_peak",
+    "avg_right_power_phase_peak", "total_anaerobic_training_effect", "total_training_effect", "intensity_factor", "training_stress_score",
+    "avg_vam", "total_work",
+)
+#: Of these only values that are not 0 or empty count. Fixed values.
+SESSION_TRUTHY = ("threshold_power", "functional_threshold_power", "avg_left_power_phase", "avg_right_power_phase", "avg_left_power_phase_peak", "avg_right_power_phase_peak")
+#: Activity field and the session's that fills it where it is empty or 0. Fixed values.
+SESSION_FILLS = {
+    "average_power": "avg_power", "max_power": "max_power", "normalized_power": "normalized_power", "average_heartrate": "avg_heart_rate",
+    "max_heartrate": "max_heart_rate",
+}
+#: Device fields by the names that an activity bears them under. Fixed values.
+DEVICE_FIELDS = {
+    "device_manufacturer": ("manufacturer",), "device_product": ("product", "product_name"), "device_serial_number": ("serial_number",),
+    "device_software_version": ("software_version",),
+}
 
 
 def blank_to_null(c: Column) -> Column:
@@ -69,8 +98,11 @@ def degrees(c: Column) -> Column:
 
 
 def balance(c: Column) -> Column:
-    """Left share in percent: above 1000 in thousandths, above 100 in hundredths of percent."""
-    return F.when(c > 10000, c / 1000).when(c > 1000, c / 100).when(c > 128, c - 128).otherwise(c)
+    """Left share in percent, by the scale that ``units.balance_unit`` finds; NaN gives null."""
+    unit = balance_unit(c)
+    return (
+        F.when(unit == "offset128", c - 128).when(unit == "percent_x100", c / 100).when(unit == "percent_x1000", c / 1000).when(unit == "percent", c)
+    )
 
 
 def fit_unit_repair(sessions: DataFrame) -> DataFrame:
@@ -78,10 +110,23 @@ def fit_unit_repair(sessions: DataFrame) -> DataFrame:
 
 
 def fit_constraints(records: DataFrame) -> DataFrame:
-    """Rows of each field outside its constraints."""
-    bad = [F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c) for c, (lo, hi) in CONSTRAINTS.items()]
-    sums = records.agg(*bad)
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("rejected")) for c in CONSTRAINTS])).alias("x")).select("x.*")
+    """Rows of each field that is there outside its constraints; positions are read in degrees."""
+    there = [c for c in CONSTRAINTS if c in records.columns]
+    sums = records.agg(*[F.count_if(_outside(c)).alias(c) for c in there])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("rejected")) for c in there])).alias("x")).select("x.*")
+
+
+def _outside(c: str) -> Column:
+    lo, hi = CONSTRAINTS[c]
+    x = degrees(F.col(c)) if c.startswith("position_") else F.col(c)
+    return F.coalesce(x < lo if hi is None else (x < lo) | (x > hi), F.lit(False))
+
+
+def quarantined(records: DataFrame, key: str = "record_id") -> DataFrame:
+    """(key, violations): rows with a field outside its constraints, and the names of those fields."""
+    there = [c for c in CONSTRAINTS if c in records.columns]
+    broken = F.concat_ws(",", *[F.when(_outside(c), F.lit(c)) for c in there])
+    return records.select(key, F.nullif(broken, F.lit("")).alias("violations")).where("violations is not null")
 
 
 def nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -96,9 +141,19 @@ def json_text(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
 def json_zones(df: DataFrame, column: str = "zones", prefix: str = "z") -> DataFrame:
     """Seconds of zones 1 to 7 from a JSON list of {zoneNumber, secsInZone}; malformed text and other
     numbers give null."""
+    return df.select("*", *_zone_columns(column, lambda k: f"{prefix}{k}_secs"))
+
+
+def _zone_columns(column: str, name) -> list[Column]:
     zones = F.from_json(F.col(column), "array<struct<zoneNumber:int,secsInZone:double>>")
     at = lambda k: F.get(F.filter(zones, lambda z: z["zoneNumber"] == k), F.lit(0))["secsInZone"]
-    return df.select("*", *[at(k).alias(f"{prefix}{k}_secs") for k in range(1, 8)])
+    return [at(k).alias(name(k)) for k in range(1, 8)]
+
+
+def all_zones(df: DataFrame, power: str = "power_zones", heart: str = "hr_zones") -> DataFrame:
+    """The fourteen columns of zone times, z1_secs to z7_secs of power and hr_z1_secs to hr_z7_secs of
+    heart rate, in place of the two lists."""
+    return df.select("*", *_zone_columns(power, lambda k: f"z{k}_secs"), *_zone_columns(heart, lambda k: f"hr_z{k}_secs")).drop(power, heart)
 
 
 def latest_sessions(sessions: DataFrame) -> DataFrame:
@@ -106,34 +161,85 @@ def latest_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.where("activity_id is not null").groupBy("activity_id").agg(F.max_by(F.struct(*[c for c in sessions.columns if c != "activity_id"]), "session_id").alias("s")).select("activity_id", "s.*")
 
 
+def _json_if_nested(df: DataFrame, c: str) -> Column:
+    kind = dict(df.dtypes)[c]
+    return F.to_json(F.col(c)) if kind.startswith(("array", "map", "struct")) else F.col(c)
+
+
+def device_columns(sessions: DataFrame) -> dict[str, Column]:
+    """What a session brings to an activity, by the activity's column, of the fields that are there: null
+    where it brings nothing. Nested values become JSON, the serial number text."""
+    has = set(sessions.columns)
+    out = {}
+    for c in SESSION_OVERWRITES:
+        if c in has:
+            kind = dict(sessions.dtypes)[c]
+            value = _json_if_nested(sessions, c)
+            out[c] = F.when(F.col(c) != 0, value) if c in SESSION_TRUTHY and not kind.startswith(("array", "map", "struct", "string")) else value
+    for c, names in DEVICE_FIELDS.items():
+        there = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in has]
+        if there:
+            out[c] = F.coalesce(*there)
+    for c, n in (("lap_data", "lap_data"), ("zones_config", "zones")):
+        if n in has:
+            out[c] = _json_if_nested(sessions, n)
+    return out
+
+
 def fit_merge(activities: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Activities with their session: device fields overwrite if present, others fill what is empty."""
-    s = latest_sessions(sessions).withColumnRenamed("activity_id", "sid")
-    a = activities.join(s, activities["id"] == s["sid"], "left")
-    return a.select(
-        "row_id", "id", F.coalesce(F.col("normalized_power").cast("long"), F.col("icu_normalized_watts")).alias("normalized_watts"),
-        F.coalesce(F.nullif(F.col("average_heartrate"), F.lit(0)), F.col("avg_heart_rate").cast("long")).alias("heartrate"),
-        F.coalesce(F.nullif(F.col("icu_average_watts"), F.lit(0)), F.col("avg_power").cast("long")).alias("watts"),
-        F.col("serial_number").alias("device_serial"), F.col("sid").isNotNull().alias("has_fit_data"),
-    )
+    """Activities with their session, found by garmin_activity_id, where there is one, else by id: a
+    session's fields replace an activity's if present, power and heart rate only fill what is empty or
+    0. Nested values are kept as JSON text, the serial number as text. fit_parse_error is passed on. All rows and
+    columns of the activities are kept; repeated sessions count once, the last parsed."""
+    s = latest_sessions(sessions)
+    brought = device_columns(s)
+    fills = {c: F.nullif(F.col(n), F.lit(0)) for c, n in SESSION_FILLS.items() if n in s.columns}
+    error = [F.col("fit_parse_error").alias("s_fit_parse_error")] if "fit_parse_error" in s.columns else []
+    s = s.select(F.col("activity_id").cast("string").alias("s_key"), *[x.alias(f"s_{c}") for c, x in (brought | fills).items()], *error)
+    ids = [F.col(c).cast("string") for c in ("garmin_activity_id", "id") if c in activities.columns]
+    a = activities.withColumn("s_own", F.coalesce(*ids)).join(s, F.col("s_own") == F.col("s_key"), "left")
+    kinds = dict(activities.dtypes)
+    out = {}
+    for c in brought:
+        out[c] = F.coalesce(f"s_{c}", F.col(c).cast(dict(a.dtypes)[f"s_{c}"])) if c in kinds else F.col(f"s_{c}")
+    for c in fills:
+        out[c] = F.coalesce(F.nullif(F.col(c), F.lit(0)), F.col(f"s_{c}").cast(kinds[c])) if c in kinds else F.col(f"s_{c}")
+    if error:
+        out["fit_parse_error"] = F.col("s_fit_parse_error")
+    kept = [c for c in activities.columns if c not in out]
+    return a.select(*kept, *[x.alias(c) for c, x in out.items()], F.col("s_key").isNotNull().alias("has_fit_data"))
 
 
 def fit_update_or_join(activities: DataFrame, sessions: DataFrame) -> DataFrame:
-    """For each session the first activity whose id it names, or, failing that, whose file it stems
-    from; two equi-joins instead of one with OR."""
-    a = activities.select("row_id", "id", "file_hash")
-    by_id = sessions.join(a, sessions["activity_id"] == a["id"]).select("session_id", "row_id", F.lit(0).alias("rank"))
-    by_hash = sessions.join(a, sessions["activity_id"] == a["file_hash"]).select("session_id", "row_id", F.lit(1).alias("rank"))
-    return by_id.unionByName(by_hash).groupBy("session_id").agg(F.min(F.struct("rank", "row_id"))["row_id"].alias("row_id"))
+    """For each session the first activity whose garmin_activity_id or id it names; two equi-joins
+    instead of one with OR."""
+    s = sessions.where("activity_id is not null").select("session_id", F.col("activity_id").cast("string").alias("key"))
+    found = [
+        s.join(activities.select("row_id", F.col(c).cast("string").alias("key")), "key").select("session_id", "row_id")
+        for c in ("garmin_activity_id", "id") if c in activities.columns
+    ]
+    return union_diagonal(*found).groupBy("session_id").agg(F.min("row_id").alias("row_id"))
 
 
 def fit_flatten(sessions: DataFrame) -> DataFrame:
-    """Session fields with the prefix fit_, one map entry per column."""
-    stats = F.create_map(F.lit("power"), F.col("avg_power"), F.lit("heart_rate"), F.col("avg_heart_rate"))
-    return sessions.withColumn("stats", stats).select(
-        "session_id", F.col("total_calories").alias("fit_calories"), F.col("stats")["power"].alias("fit_stats_power"),
-        F.col("stats")["heart_rate"].alias("fit_stats_heart_rate"), F.size(F.map_keys("stats")).alias("fit_stats_count"),
-    )
+    """One flat row per session: every column with the prefix fit_, structs and maps a column per part
+    (fit_{map}_{part}; parts of maps are all that occur, which is bounded by the zones of a device),
+    arrays as their number of entries (fit_{name}_count), and has_fit_analysis."""
+    out = []
+    for f in sessions.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if f.name == "session_id":
+            continue
+        if kind == "struct":
+            out += [c[p.name].alias(f"fit_{f.name}_{p.name}") for p in f.dataType.fields]
+        elif kind == "map":
+            parts = sorted(r[0] for r in sessions.select(F.explode(F.map_keys(c))).distinct().collect())
+            out += [F.try_element_at(c, F.lit(p)).alias(f"fit_{f.name}_{p}") for p in parts]
+        elif kind == "array":
+            out.append(F.coalesce(F.size(c), F.lit(0)).alias(f"fit_{f.name.removesuffix('s')}_count"))
+        else:
+            out.append(c.alias(f"fit_{f.name}"))
+    return sessions.select("session_id", *out, F.lit(True).alias("has_fit_analysis"))
 
 
 def semi_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -149,8 +255,3 @@ def union_diagonal(*frames: DataFrame) -> DataFrame:
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
-
-
-def first_known(df: DataFrame, key: str, columns: Sequence[str], order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return df.select(key, order, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns])

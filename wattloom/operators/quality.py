@@ -11,18 +11,24 @@ from wattloom.operators.activity import r6
 
 CORE = ("id", "name", "type", "start_date_local", "moving_time", "distance")
 EXPECTED = ("total_elevation_gain", "average_heartrate")
-POWER = ("icu_average_watts", "icu_normalized_watts", "icu_ftp")
+#: Columns that tell of a power meter. Fixed values.
+POWER = (
+    "icu_average_watts", "icu_training_load", "threshold_power", "avg_cadence", "avg_temperature", "left_right_balance", "normalized_power",
+)
 #: Least and greatest plausible values. Fixed values.
 RANGES = {
-    "moving_time": (0, 86400), "elapsed_time": (0, 172800), "distance": (0, 500000), "total_elevation_gain": (0, 10000),
-    "average_speed": (0, 30), "average_heartrate": (30, 220), "icu_average_watts": (0, 600), "icu_normalized_watts": (0, 700),
-    "icu_training_load": (0, 600), "icu_intensity": (0, 2), "icu_ftp": (50, 500),
+    "distance": (0, 1000000), "moving_time": (0, 86400), "elapsed_time": (0, 86400), "total_elevation_gain": (0, 10000),
+    "average_heartrate": (50, 220), "max_heartrate": (80, 250), "average_speed": (0, 30), "max_speed": (0, 50),
+    "average_cadence": (30, 180), "max_cadence": (50, 220), "average_watts": (0, 2000), "max_watts": (0, 3000),
+    "normalized_power": (0, 2000), "weighted_average_power": (0, 2000), "training_stress_score": (0, 1000),
+    "intensity_factor": (0, 2.0), "calories": (0, 10000),
 }
 #: Words that stand for a truth value. Fixed values.
 TRUTHS = ("true", "false", "1", "0", "yes", "no", "t", "f")
-DATETIMES = (
-    r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", r"^\d{1,2}/\d{1,2}/\d{4}", r"^\d{1,2}\.\d{1,2}\.\d{4}",
-)
+#: Shapes of dates. Fixed values.
+DATETIMES = (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", r"^\d{4}-\d{2}-\d{2}$", r"^\d{2}/\d{2}/\d{4}")
+#: Columns of which the first may not exceed the second. Fixed values.
+ORDERED = (("moving_time", "elapsed_time", "ERROR"), ("average_watts", "max_watts", "WARNING"), ("average_heartrate", "max_heartrate", "WARNING"))
 
 
 def _long(sums: DataFrame, columns: Sequence[str], *parts: str) -> DataFrame:
@@ -46,8 +52,9 @@ def quality_expected(df: DataFrame, columns: Sequence[str] = EXPECTED) -> DataFr
 
 
 def equipment_coverage(df: DataFrame, columns: Sequence[str] = POWER) -> DataFrame:
-    shares = [F.count_if(F.coalesce(F.col(c) != 0, F.lit(False))) * 100.0 / F.count("*") for c in columns]
-    mean = sum(shares[1:], shares[0]) / len(shares)
+    """Mean share of known values over those of the columns that are there and known anywhere."""
+    shares = F.filter(F.array(*[_known(c) for c in columns if c in df.columns]), lambda x: x > 0)
+    mean = F.coalesce(F.aggregate(shares, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(shares), F.lit(0)), F.lit(0.0))
     return df.agg(F.round(mean, 1).alias("coverage"), F.when(mean > 80, "has_power_meter").when(mean > 0, "partial").otherwise("none").alias("power"))
 
 
@@ -120,28 +127,36 @@ def check_datetime(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def check_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Rows below and above the bounds of each column that is there."""
     rules = {c: r for c, r in (ranges or RANGES).items() if c in df.columns}
     sums = df.agg(*[F.struct(F.count_if(F.col(c) < lo).alias("below"), F.count_if(F.col(c) > hi).alias("above")).alias(c) for c, (lo, hi) in rules.items()])
     return _long(sums, list(rules), "below", "above")
 
 
 def check_consistency(df: DataFrame) -> DataFrame:
-    rules = [("moving_time", "elapsed_time", "ERROR"), ("icu_average_watts", "icu_normalized_watts", "WARNING")]
+    """Rows that break each rule whose two columns are there."""
+    rules = [r for r in ORDERED if r[0] in df.columns and r[1] in df.columns]
+    if not rules:
+        return df.sparkSession.createDataFrame([], "rule string, severity string, broken long")
     sums = df.agg(*[F.count_if(F.col(a) > F.col(b)).alias(f"{a}_{b}") for a, b, _ in rules])
     rows = [F.struct(F.lit(f"{a}<={b}").alias("rule"), F.lit(s).alias("severity"), F.col(f"{a}_{b}").alias("broken")) for a, b, s in rules]
     return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def validation_report(df: DataFrame) -> DataFrame:
-    """Issues by severity over the range and consistency checks, the status, and a score of 0 to 100."""
+    """Issues by severity over the critical columns and the range and consistency checks, the status,
+    and a score of 0 to 100. Null ids and starts are critical."""
+    lost = coverage(df, [c for c in ("id", "start_date_local") if c in df.columns])
+    critical = lost.select(F.lit("CRITICAL").alias("severity"), (df.agg(F.count("*")).scalar() - F.col("known")).alias("rows"))
     ranges = check_ranges(df).select(F.lit("WARNING").alias("severity"), (F.col("below") + F.col("above")).alias("rows"))
     rules = check_consistency(df).select("severity", F.col("broken").alias("rows"))
-    every = ranges.unionByName(rules).where("rows > 0")
-    a = every.agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"), F.coalesce(F.sum("rows"), F.lit(0)).alias("issues"))
+    every = critical.unionByName(ranges).unionByName(rules).where("rows > 0")
+    of = lambda s: F.count_if(F.col("severity") == s)
+    a = every.agg(of("CRITICAL").alias("criticals"), of("ERROR").alias("errors"), of("WARNING").alias("warnings"), F.coalesce(F.sum("rows"), F.lit(0)).alias("issues"))
     cells = df.agg(F.count("*")).scalar() * len(df.columns)
-    score = 100 - F.col("issues") / cells * 100 - 5 * F.col("errors") - F.col("warnings")
-    status = F.when(F.col("errors") > 0, "error").when(F.col("warnings") > 0, "warning").otherwise("success")
-    return a.select("errors", "warnings", "issues", status.alias("status"), r6(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).alias("score"))
+    score = 100 - F.col("issues") / cells * 100 - 10 * F.col("criticals") - 5 * F.col("errors") - F.col("warnings")
+    status = F.when(F.col("criticals") > 0, "critical").when(F.col("errors") > 0, "error").when(F.col("warnings") > 0, "warning").otherwise("success")
+    return a.select("criticals", "errors", "warnings", "issues", status.alias("status"), r6(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).alias("score"))
 
 
 def feature_gaps(df: DataFrame, columns: Sequence[str], least: int = 10) -> DataFrame:
