@@ -41,9 +41,13 @@ def latest(df: DataFrame) -> Column:
     return df.agg(F.max(START)).scalar()
 
 
-def since(df: DataFrame, days: int) -> DataFrame:
-    """Rows from ``days`` days before the last start on."""
-    return df.where(F.col(START) >= latest(df) - F.make_dt_interval(F.lit(days)))
+def since(df: DataFrame, days: int, as_of: str | None = None) -> DataFrame:
+    """Rows from ``days`` days before the last start on, or, with ``as_of`` (a date or time), of the days
+    up to it."""
+    if as_of is None:
+        return df.where(F.col(START) >= latest(df) - F.make_dt_interval(F.lit(days)))
+    end = F.lit(as_of).cast("timestamp_ntz")
+    return df.where((F.col(START) >= end - F.make_dt_interval(F.lit(days))) & (F.col(START) <= end))
 
 
 def unified_ftp(df: DataFrame) -> Column:
@@ -365,9 +369,11 @@ def power_features(df: DataFrame) -> DataFrame:
 # --- rules and forecasts -----------------------------------------------------------------------------
 
 
-def readiness(df: DataFrame, days: int = 14) -> DataFrame:
-    """Form, consistency and intensity over the last days, their mean, and its label."""
-    a = since(df, days).agg(F.avg("icu_fitness").alias("ctl"), F.avg("icu_fatigue").alias("atl"), F.avg("icu_intensity").alias("i"), F.count("*").alias("n"))
+def readiness(df: DataFrame, days: int = 14, as_of: str | None = None) -> DataFrame:
+    """Form, consistency, intensity and, where a resting heart rate is known, recovery over the last
+    days (before ``as_of``, if given), their mean, and its label."""
+    resting = F.avg("icu_resting_hr") if "icu_resting_hr" in df.columns else F.lit(None).cast("double")
+    a = since(df, days, as_of).agg(resting.alias("resting"), F.avg("icu_fitness").alias("ctl"), F.avg("icu_fatigue").alias("atl"), F.avg("icu_intensity").alias("i"), F.count("*").alias("n"))
     tsb = F.col("ctl") - F.col("atl")
     form = (
         F.when(F.col("ctl").isNull() | F.col("atl").isNull(), 50.0)
@@ -378,8 +384,9 @@ def readiness(df: DataFrame, days: int = 14) -> DataFrame:
     steady = F.least(F.lit(100.0), F.col("n") / (14.0 / 3) * 100)
     i = F.col("i")
     hard = F.when(i.isNull(), 50.0).when(i.between(0.75, 0.85), 100.0).otherwise(F.greatest(F.lit(50.0), 100 - 200 * F.least(F.abs(i - 0.75), F.abs(i - 0.85))))
-    out = a.select(form.alias("form"), steady.alias("consistency"), hard.alias("intensity"))
-    overall = (F.col("form") + F.col("consistency") + F.col("intensity")) / 3
+    calm = F.when(F.col("resting") < 50, 100.0).when(F.col("resting") < 60, 85.0).when(F.col("resting") < 70, 70.0).when(F.col("resting").isNotNull(), 50.0)
+    out = a.select(form.alias("form"), steady.alias("consistency"), hard.alias("intensity"), calm.alias("recovery"))
+    overall = (F.col("form") + F.col("consistency") + F.col("intensity") + F.coalesce("recovery", F.lit(0.0))) / F.when(F.col("recovery").isNull(), 3).otherwise(4)
     advice = F.array_compact(F.array(
         F.when(F.col("form") < 50, "reduce load").when(F.col("form") <= 60, "maintain load").when(F.col("form") > 90, "excellent form"),
         F.when(F.col("consistency") < 70, "ride more often"), F.when(F.col("intensity") < 70, "adjust intensity"),

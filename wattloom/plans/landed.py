@@ -204,7 +204,8 @@ QUERIES = {
     "validation_report": (lambda s, d: Q.validation_report(_checked(s, d)), f"WITH e AS (SELECT 'CRITICAL' AS severity, count(*) - count(id) AS n FROM activities UNION ALL SELECT 'CRITICAL', count(*) - count(start_date_local) FROM activities UNION ALL SELECT 'WARNING', below + above FROM ({RANGES}) UNION ALL SELECT severity, broken FROM ({BROKEN})), k AS (SELECT count(*) FILTER (WHERE severity = 'CRITICAL') AS criticals, count(*) FILTER (WHERE severity = 'ERROR') AS errors, count(*) FILTER (WHERE severity = 'WARNING') AS warnings, CAST(coalesce(sum(n),0) AS BIGINT) AS issues FROM e WHERE n > 0) SELECT criticals, errors, warnings, issues, CASE WHEN criticals > 0 THEN 'critical' WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'warning' ELSE 'success' END AS status, round(greatest(0.0, least(100.0, 100 - issues/((SELECT count(*) FROM activities)*26)*100 - 10*criticals - 5*errors - warnings)),6) AS score FROM k"),
     "feature_gaps": (q(Q.feature_gaps, ["icu_ftp", "icu_intensity", "icu_training_load"]), long_sql([(c, f"count({c}) AS known, count({c}) < 10 AS missing") for c in ("icu_ftp", "icu_intensity", "icu_training_load")])),
     "feat_gross": (_sessions(X.gross_efficiency), "SELECT session_id, round(nullif(avg_power,0)*nullif(total_timer_time,0)/(nullif(total_calories,0)*4184)*100,9) AS gross_efficiency, round(nullif(normalized_power,0)/nullif(avg_power,0),9) AS vi FROM fit_sessions"),
-    "feat_pedaling": (_sessions(X.pedaling), f"SELECT session_id, round({BAL},9) AS left_share, round(abs(50-({BAL})),9) AS asymmetry, round(nullif(avg_power,0)/nullif(avg_cadence,0),9) AS watts_per_rpm FROM fit_sessions"),
+    "feat_pedaling": (_sessions(X.pedaling), f"SELECT session_id, round({BAL},9) AS left_share, round(abs(50-({BAL})),9) AS asymmetry, round(nullif(avg_power,0)/nullif(avg_cadence,0),9) AS watts_per_rpm, CAST(NULL AS DOUBLE) AS torque_effectiveness, CAST(NULL AS DOUBLE) AS pedal_smoothness FROM fit_sessions"),
+    "feat_sensors": (two(X.sensors, "fit_sessions", "fit_records"), "SELECT session_id, r.n AS data_points, CAST(coalesce(avg_power <> 0, false) AS INT) AS has_power, CAST(coalesce(avg_heart_rate <> 0, false) AS INT) AS has_hr, CAST(coalesce(avg_cadence <> 0, false) AS INT) AS has_cadence, CAST(coalesce(avg_temperature <> 0, false) AS INT) AS has_temperature FROM fit_sessions s LEFT JOIN (SELECT activity_id, count(*) AS n FROM fit_records GROUP BY 1) r ON s.activity_id = r.activity_id"),
     "feat_environment": (_sessions(X.environment), "SELECT session_id, CASE WHEN avg_temperature < 0 THEN 1 WHEN avg_temperature < 10 THEN 2 WHEN avg_temperature < 20 THEN 3 WHEN avg_temperature < 30 THEN 4 WHEN avg_temperature IS NOT NULL THEN 5 END AS temp_zone, round(abs(CAST(avg_temperature AS DOUBLE)-12.5),9) AS temp_stress FROM fit_sessions"),
     "feat_session_power": (lambda s, d: X.session_power(*[table(s, d, t) for t in ("fit_sessions", "activities", "athletes")]), "SELECT session_id, round(nullif(avg_power,0)*60/(nullif(avg_cadence,0)*2*pi()*0.1725),9) AS force_n, round(nullif(avg_power,0)/nullif(weight_kg,0),9) AS watts_per_kg, round(nullif(normalized_power,0)/nullif(weight_kg,0),9) AS np_per_kg FROM fit_sessions s LEFT JOIN (SELECT id, min(athlete_id) AS athlete_id FROM activities GROUP BY id) a ON s.activity_id = a.id LEFT JOIN (SELECT athlete_id, max(weight_kg) AS weight_kg FROM athletes GROUP BY athlete_id) t ON a.athlete_id = t.athlete_id"),
     "feat_device": (_sessions(X.device), None),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wattloom.operators import features as X
 from wattloom.operators import records as T
 from wattloom.operators import signal as S
 from wattloom.session import table
@@ -36,7 +37,15 @@ HR = ["p < 60", "p >= 60 AND p < 70", "p >= 70 AND p < 80", "p >= 80 AND p < 90"
 PW = ["p < 55", "p >= 55 AND p <= 75", "p > 75 AND p <= 90", "p > 90 AND p <= 105", "p > 105 AND p <= 120", "p > 120 AND p <= 150", "p > 150"]
 STATS = [f"round(avg({f}),6) AS avg_{f}, max(CAST({f} AS DOUBLE)) AS max_{f}, min(CAST({f} AS DOUBLE)) AS min_{f}" for f in ("cadence", "speed", "altitude", "temperature")]
 
+HR_ZONES = D(", z AS (SELECT activity_id, heart_rate*100.0/max(heart_rate) OVER (PARTITION BY activity_id) AS p FROM o), s AS (SELECT activity_id, " + ", ".join(f"round(count(*) FILTER (WHERE {c})*100.0/count(*),6) AS z{k}" for k, c in enumerate(HR, 1)) + " FROM z GROUP BY 1), m AS (SELECT *, " + "+".join(f"z{k}" for k in range(1, 6)) + """ AS t FROM s),
+ y AS (SELECT activity_id, z1, z2, z3, z4, z5, [z1/t-0.2, z2/t-0.2, z3/t-0.2, z4/t-0.2, z5/t-0.2] AS d, list_filter([z1/t, z2/t, z3/t, z4/t, z5/t], lambda x: x > 0) AS q FROM m)
+ SELECT activity_id, round(sqrt(list_avg(list_transform(d, lambda x: x*x)))*100,6) AS hr_zone_std, round(list_avg(list_transform(d, lambda x: x*x*x))/pow(list_avg(list_transform(d, lambda x: x*x)),1.5),6) AS hr_zone_skew,
+  round(-list_sum(list_transform(q, lambda x: x*ln(x))),6) AS hr_zone_entropy, round((z1+z5)/(z2+z3+z4+0.01),6) AS hr_polarization FROM y""", "heart_rate", "heart_rate IS NOT NULL")
+RECORDING = "SELECT activity_id, round(1/(1+stddev_pop(cadence) FILTER (WHERE cadence > 0)),6) AS cadence_consistency, round(stddev_pop(power),6) AS power_variability, round(stddev_pop(power)/nullif(avg(power),0),6) AS power_cv, round(stddev_pop(heart_rate)/nullif(avg(heart_rate),0),6) AS hr_cv, round(stddev_pop(cadence) FILTER (WHERE cadence > 0)/nullif(avg(cadence) FILTER (WHERE cadence > 0),0),6) AS cadence_cv, " + ", ".join(f"round(count(*) FILTER (WHERE power > {w})*100.0/nullif(count(power),0),6) AS above_{w}w_pct" for w in (100, 150, 200, 250, 300, 350, 400, 450, 500)) + ", round(avg(altitude),6) AS avg_altitude, CAST(max(temperature)-min(temperature) AS DOUBLE) AS temp_variation, count(*) AS data_points, CASE WHEN avg(altitude) < 500 THEN 1 WHEN avg(altitude) < 1500 THEN 2 WHEN avg(altitude) < 2500 THEN 3 WHEN avg(altitude) IS NOT NULL THEN 4 END AS altitude_zone FROM fit_records WHERE activity_id IS NOT NULL GROUP BY 1"
+
 QUERIES = {
+    "feat_hr_zones": (q(X.heart_zones), HR_ZONES),
+    "feat_recording": (q(X.recording), RECORDING),
     "elapsed_time": (q(T.elapsed_time), D("SELECT record_id, activity_id, round(t - min(t) OVER (PARTITION BY activity_id),6) AS elapsed_s FROM o")),
     "record_interval": (q(T.record_interval), D("SELECT activity_id, round(max(t)-min(t),6) AS elapsed_s, round(quantile_cont(t-p_t,0.5),6) AS median_gap_s, count(*) AS readings FROM o GROUP BY 1")),
     "hr_stats": (q(T.field_stats, "heart_rate", True), D("SELECT activity_id, round(avg(heart_rate),6) AS avg_heart_rate, max(heart_rate) AS max_heart_rate, min(heart_rate) AS min_heart_rate, round(stddev_samp(heart_rate),6) AS std_heart_rate FROM o GROUP BY 1", "heart_rate", "heart_rate IS NOT NULL")),

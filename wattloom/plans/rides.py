@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from wattloom.adapter import RIDES_SQL, rides
 from wattloom.operators import activity as A
 from wattloom.operators import features as X
+from wattloom.operators import forecast as M
 
 
 def R(sql: str) -> str:
@@ -35,10 +38,35 @@ HISTORY = f"""SELECT id, athlete_id, {", ".join(f"round(avg(icu_normalized_watts
  {", ".join(f"count(*) {W.format(f'{k} PRECEDING', '1 PRECEDING')}*50 AS load_{k}" for k in (7, 14, 28))} FROM rides WHERE icu_normalized_watts IS NOT NULL"""
 SEASON = f"""SELECT strftime(date_trunc('month', start_date_local), '%Y-%m-%d') AS month, count(*) AS rides, sum(icu_training_load) AS load,
  max({FTP}) AS max_ftp, avg(icu_average_watts) AS avg_watts FROM rides GROUP BY 1"""
+def _power_training(df):
+    rows = M.power_rows(df)
+    return rows.select("id", *[F.round(c, 6).alias(c) for c in ("label", *M.POWER_FEATURES)])
+
+
+def _readiness(when: str, resting: str) -> str:
+    return f""", a AS (SELECT avg(icu_fitness) AS c, avg(icu_fatigue) AS t, avg(icu_intensity) AS i, count(*) AS n, {resting} AS h FROM rides WHERE {when}),
+        b AS (SELECT CASE WHEN c IS NULL OR t IS NULL THEN 50.0 WHEN c-t BETWEEN -10 AND 5 THEN least(100.0, 90+c-t) WHEN c-t > 5 THEN greatest(60.0, 90-2*(c-t-5)) ELSE greatest(30.0, 70+2*(c-t)) END AS form, least(100.0, n/(14.0/3)*100) AS consistency,
+         CASE WHEN i IS NULL THEN 50.0 WHEN i BETWEEN 0.75 AND 0.85 THEN 100.0 ELSE greatest(50.0, 100-200*least(abs(i-0.75),abs(i-0.85))) END AS intensity,
+         CASE WHEN h < 50 THEN 100.0 WHEN h < 60 THEN 85.0 WHEN h < 70 THEN 70.0 WHEN h IS NOT NULL THEN 50.0 END AS recovery FROM a), o AS (SELECT *, CASE WHEN recovery IS NULL THEN (form+consistency+intensity)/3 ELSE (form+consistency+intensity+recovery)/4 END AS overall FROM b)
+        SELECT round(form,6) AS form, round(consistency,6) AS consistency, round(intensity,6) AS intensity, round(recovery,6) AS recovery, round(overall,6) AS overall, CASE WHEN overall >= 80 THEN 'ready' WHEN overall >= 60 THEN 'moderate' ELSE 'rest' END AS level,
+         concat_ws('; ', CASE WHEN form < 50 THEN 'reduce load' WHEN form <= 60 THEN 'maintain load' WHEN form > 90 THEN 'excellent form' END, CASE WHEN consistency < 70 THEN 'ride more often' END, CASE WHEN intensity < 70 THEN 'adjust intensity' END) AS advice FROM o"""
+
+
 some = lambda c: f"nullif({c},0)"
+#: The label and the features of power models; the ride view has no pedalling, cadence, temperature, effect or work.
+POWER_VIEWS = f""", f AS (SELECT *, CASE WHEN (SELECT count(threshold_power) FROM rides) > 0 THEN threshold_power WHEN (SELECT count(functional_threshold_power) FROM rides) > 0 THEN functional_threshold_power ELSE icu_ftp END AS target FROM rides WHERE coalesce(icu_normalized_watts, icu_average_watts) IS NOT NULL),
+ h AS (SELECT *, {", ".join(f"count(*) {W.format(f'{k} PRECEDING', '1 PRECEDING')} AS n{k}, avg(icu_normalized_watts) {W.format(f'{k} PRECEDING', '1 PRECEDING')} AS a{k}" for k in (7, 14, 28))} FROM f)"""
+POWER_TRAINING = f"""SELECT id, coalesce(nullif(target,0), nullif(icu_normalized_watts,0)) AS label, coalesce(icu_average_watts,0) AS avg_power, coalesce(icu_normalized_watts,0) AS normalized_power, coalesce(max_power,0) AS max_power, 50.0::DOUBLE AS left_right_balance,
+  {", ".join(f"0.0::DOUBLE AS {c}" for c in ("left_torque_effectiveness", "right_torque_effectiveness", "left_pedal_smoothness", "right_pedal_smoothness", "avg_cadence", "max_cadence", "training_effect", "anaerobic_effect", "total_work_kj"))}, 20.0::DOUBLE AS avg_temperature, 25.0::DOUBLE AS max_temperature,
+  coalesce(average_heartrate,0) AS avg_hr, coalesce(CAST(max_heartrate AS DOUBLE),0) AS max_hr, coalesce(nullif(icu_average_watts,0)/nullif(average_heartrate,0),0) AS efficiency_factor, coalesce(nullif(icu_normalized_watts,0)/nullif(icu_average_watts,0),1) AS variability_index, coalesce(icu_intensity,0) AS intensity_factor,
+  coalesce(moving_time,0)/3600 AS duration_hours, coalesce(distance,0)/1000 AS distance_km, CASE WHEN moving_time*icu_normalized_watts <> 0 AND target <> 0 THEN least(500.0, moving_time*icu_normalized_watts*(icu_normalized_watts/target)/(target*3600)*100) ELSE 0.0 END AS calculated_tss,
+  {", ".join(f"CASE WHEN n{k} > 0 THEN coalesce(a{k},0) ELSE coalesce(icu_normalized_watts,0) END AS avg_np_{k}d, CAST(n{k}*50 AS DOUBLE) AS total_tss_{k}d" for k in (7, 14, 28))} FROM h WHERE coalesce(nullif(target,0), nullif(icu_normalized_watts,0)) IS NOT NULL"""
 NZ = " + ".join(f"coalesce(z{k}_secs,0)" for k in range(1, 8))
 
 
+M2 = "((" + " + ".join(f"(p{k}-1.0/7)*(p{k}-1.0/7)" for k in range(1, 8)) + ")/7)"
+
+
 def _p(k: int) -> str:
     return f"(coalesce(z{k}_secs,0)/t)"
 
@@ -114,11 +142,10 @@ QUERIES = {
     "history_features": (q(A.history_features), R(HISTORY)),
     "power_features": (q(A.power_features), R(f""", h AS ({HISTORY}) SELECT r.id, round(coalesce(least(500.0, moving_time*icu_normalized_watts*(icu_normalized_watts/nullif({FTP},0))/nullif({FTP}*3600,0)*100),0),9) AS tss, round(icu_normalized_watts/nullif(average_heartrate,0),9) AS ef,
         round(icu_normalized_watts/nullif(icu_average_watts,0),9) AS vi, round(moving_time/3600,9) AS hours, round(distance/nullif(moving_time,0),9) AS speed, np_7, np_14, np_28, load_7, load_14, load_28 FROM rides r JOIN h ON r.id = h.id""")),
-    "readiness": (q(A.readiness), R(f""", a AS (SELECT avg(icu_fitness) AS c, avg(icu_fatigue) AS t, avg(icu_intensity) AS i, count(*) AS n FROM rides WHERE {_since(14)}),
-        b AS (SELECT CASE WHEN c IS NULL OR t IS NULL THEN 50.0 WHEN c-t BETWEEN -10 AND 5 THEN least(100.0, 90+c-t) WHEN c-t > 5 THEN greatest(60.0, 90-2*(c-t-5)) ELSE greatest(30.0, 70+2*(c-t)) END AS form, least(100.0, n/(14.0/3)*100) AS consistency,
-         CASE WHEN i IS NULL THEN 50.0 WHEN i BETWEEN 0.75 AND 0.85 THEN 100.0 ELSE greatest(50.0, 100-200*least(abs(i-0.75),abs(i-0.85))) END AS intensity FROM a), o AS (SELECT *, (form+consistency+intensity)/3 AS overall FROM b)
-        SELECT round(form,6) AS form, round(consistency,6) AS consistency, round(intensity,6) AS intensity, round(overall,6) AS overall, CASE WHEN overall >= 80 THEN 'ready' WHEN overall >= 60 THEN 'moderate' ELSE 'rest' END AS level,
-         concat_ws('; ', CASE WHEN form < 50 THEN 'reduce load' WHEN form <= 60 THEN 'maintain load' WHEN form > 90 THEN 'excellent form' END, CASE WHEN consistency < 70 THEN 'ride more often' END, CASE WHEN intensity < 70 THEN 'adjust intensity' END) AS advice FROM o""")),
+    "readiness": (q(A.readiness), R(_readiness(_since(14), "CAST(NULL AS DOUBLE)"))),
+    "readiness_as_of": (lambda s, d: A.readiness(rides(s, d).withColumn("icu_resting_hr", F.when(F.col("athlete_id") % 4 != 0, 40 + F.col("athlete_id") % 40)), 14, "1997-06-30"),
+        R(_readiness("start_date_local BETWEEN TIMESTAMP '1997-06-30' - INTERVAL 14 DAY AND TIMESTAMP '1997-06-30'", "avg(CASE WHEN athlete_id % 4 <> 0 THEN 40 + athlete_id % 40 END)"))),
+    "power_training": (lambda s, d: _power_training(rides(s, d)), R(f"{POWER_VIEWS} SELECT id, {', '.join(f'round({c},6) AS {c}' for c in ('label', *M.POWER_FEATURES))} FROM ({POWER_TRAINING})")),
     "race_prediction": (q(A.race_prediction), R(""", f AS (SELECT coalesce(icu_ftp, threshold_power) AS ftp FROM rides WHERE coalesce(icu_ftp, threshold_power) IS NOT NULL ORDER BY start_date_local DESC, id DESC LIMIT 1),
         s AS (SELECT count(*) AS similar_n FROM rides WHERE moving_time BETWEEN 0.7*2*3600 AND 1.3*2*3600)
         SELECT ftp, round(ftp*0.9,6) AS avg_watts, round(ftp*0.9*1.07,6) AS np_watts, round(7200*(ftp*0.9*1.07)*((ftp*0.9*1.07)/ftp)/(ftp*3600)*100,6) AS tss, similar_n AS "similar", CASE WHEN similar_n >= 3 THEN 'High' WHEN similar_n >= 1 THEN 'Medium' ELSE 'Low' END AS confidence FROM f, s""")),
@@ -129,12 +156,12 @@ QUERIES = {
     "zscore": (q(A.zscores, ["moving_time", "distance"]), R("SELECT id, round((moving_time-(SELECT avg(moving_time) FROM rides))/nullif((SELECT stddev_pop(moving_time) FROM rides),0),6) AS z_moving_time, round((distance-(SELECT avg(distance) FROM rides))/nullif((SELECT stddev_pop(distance) FROM rides),0),6) AS z_distance FROM rides")),
     "feat_basic": (q(X.basic), R(f"SELECT id, round({some('icu_normalized_watts')}/{some('icu_average_watts')},9) AS power_vi, round({some('icu_average_watts')}/{some('max_power')},9) AS power_max_ratio, round({some('average_heartrate')}/{some('max_heartrate')},9) AS hr_reserve_used, round({some('total_elevation_gain')}/({some('distance')}/1000),9) AS altitude_per_km FROM rides")),
     "feat_zones": (q(X.zones), R(f""", z AS (SELECT *, {NZ} AS t FROM rides), p AS (SELECT *, {", ".join(f"{_p(k)} AS p{k}" for k in range(1, 8))} FROM z WHERE t > 0)
-        SELECT id, round(sqrt(({" + ".join(f"(p{k}-1.0/7)*(p{k}-1.0/7)" for k in range(1, 8))})/7),9) AS zone_std, round(-({" + ".join(f"CASE WHEN p{k}>0 THEN p{k}*ln(p{k}) ELSE 0 END" for k in range(1, 8))}),9) AS zone_entropy,
+        SELECT id, round(sqrt(({" + ".join(f"(p{k}-1.0/7)*(p{k}-1.0/7)" for k in range(1, 8))})/7),9) AS zone_std, round(CASE WHEN {M2}>1e-18 THEN ({" + ".join(f"pow(p{k}-1.0/7,3)" for k in range(1, 8))})/7/pow({M2},1.5) ELSE 0 END,6) AS zone_skew, round(-({" + ".join(f"CASE WHEN p{k}>0 THEN p{k}*ln(p{k}) ELSE 0 END" for k in range(1, 8))}),9) AS zone_entropy,
          round((p1+p5)/(p2+p3+p4+0.01),9) AS polarization, round((p1+p2+p3)/(p4+p5+p6+p7+0.01),9) AS aerobic_ratio, round(p3+p4,9) AS sweet_spot, round(p5+p6+p7,9) AS high FROM p""")),
     "feat_power": (q(X.power), R(f""", i AS (SELECT *, {some('icu_normalized_watts')}/nullif({FTP},0) AS i FROM rides) SELECT id, round(i,9) AS intensity, CASE WHEN i IS NULL THEN NULL WHEN i>=1.05 THEN 6 WHEN i>=0.95 THEN 5 WHEN i>=0.85 THEN 4 WHEN i>=0.75 THEN 3 WHEN i>=0.55 THEN 2 ELSE 1 END AS training_level,
         round({some('icu_average_watts')}/70,9) AS watts_per_kg, round({some('icu_normalized_watts')}/70,9) AS np_per_kg, round({some('icu_average_watts')}*60/(85.0*2*pi()*0.1725),9) AS force_n FROM i""")),
     "feat_hr": (q(X.heart), R(f"SELECT id, round({some('icu_average_watts')}/{some('average_heartrate')},9) AS power_per_beat, round({some('icu_normalized_watts')}/{some('average_heartrate')},9) AS np_per_beat, round({some('average_heartrate')}*{some('moving_time')}/3600,9) AS hr_load FROM rides")),
-    "feat_efficiency": (q(X.efficiency), R(f"SELECT id, round({some('distance')}/{some('moving_time')}/{some('icu_average_watts')},9) AS speed_per_watt, round({some('total_elevation_gain')}/({some('moving_time')}/3600),9) AS vam, round({some('moving_time')}/{some('elapsed_time')},9) AS moving_ratio FROM rides")),
+    "feat_efficiency": (q(X.efficiency), R(f"SELECT id, round({some('distance')}/{some('moving_time')}/{some('icu_average_watts')},9) AS speed_per_watt, round({some('total_elevation_gain')}/({some('moving_time')}/3600),9) AS vam, round({some('moving_time')}/{some('elapsed_time')},9) AS moving_ratio, round({some('icu_average_watts')}/{some('average_heartrate')},9) AS power_hr_ratio, round({some('icu_normalized_watts')}/{some('average_heartrate')},9) AS np_hr_ratio FROM rides")),
     "feat_variability": (q(X.variability), R(f"SELECT id, round({some('icu_normalized_watts')}/{some('icu_average_watts')},9) AS vi, round(1/(1+abs({some('max_power')}/{some('icu_average_watts')}-1)),9) AS smooth_index FROM rides")),
     "power_per_beat": (q(lambda d: d.where("average_heartrate > 0 and icu_average_watts is not null").select("id", A.day_text(d["start_date_local"]).alias("day"), A.r6(d["icu_average_watts"] / d["average_heartrate"]).alias("watts_per_beat"))), R(f"SELECT id, {DAY} AS day, round(icu_average_watts/average_heartrate,6) AS watts_per_beat FROM rides WHERE average_heartrate > 0 AND icu_average_watts IS NOT NULL")),
     "vi_histogram": (q(lambda d: d.withColumn("vi", A.F.try_divide("icu_normalized_watts", "icu_average_watts")).where("vi is not null").groupBy(A.F.least(A.F.greatest(A.F.floor((A.F.col("vi") - 1) * 20), A.F.lit(0)), A.F.lit(19)).alias("bin")).agg(A.F.count("*").alias("rides"))), R("SELECT least(greatest(CAST(floor((icu_normalized_watts/icu_average_watts-1)*20) AS BIGINT),0),19) AS bin, count(*) AS rides FROM rides WHERE icu_normalized_watts/nullif(icu_average_watts,0) IS NOT NULL GROUP BY 1")),
