@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
+from wattloom.operators import spikes
 from wattloom.operators.spikes import LIMITS, bad_readings, implausible_readings
 
 T0 = datetime(2024, 1, 1, 5, 50)
@@ -101,3 +102,24 @@ def test_nulls_and_empty(spark):
     got = {(r.record_id, r.field_name, r.reason) for r in implausible_readings(frame(spark, rows)).collect()}
     assert got == {(0, "power", "impossible"), (1, "power", "impossible"), (1, "cadence", "impossible")}
     assert implausible_readings(frame(spark, [])).count() == 0
+
+
+def test_details_and_the_last_approximation_add_up():
+    rng = np.random.default_rng(2)
+    v = rng.integers(0, 400, 100).astype(float)
+    d = spikes.details(v)
+    assert d.shape == (spikes.LEVELS, 100)
+    means = [np.r_[np.full(16, v[0]), v][i + 1 : i + 17].mean() for i in range(100)]
+    assert np.allclose(v - d.sum(axis=0), means)
+    assert np.allclose(d[0][1:], np.diff(v) / 2) and not spikes.details(np.full(50, 7.0)).any()
+    assert spikes.details(v[:3]).shape == (spikes.LEVELS, 3) and spikes.details(v[:0]).shape == (spikes.LEVELS, 0)
+
+
+def test_scales_are_those_of_the_whole_recording(spark):
+    """A restless recording of three blocks: what stands out in its calm block does not in the whole."""
+    block = spikes.BLOCK_S
+    rows = [("a", "d", b * block + i * 5, int(300 + (60 * (-1) ** i if b else 0) + i % 3), None, None) for b in range(3) for i in range(400)]
+    rows[200] = (*rows[200][:3], 300 + 270, None, None)
+    calm = [(("b", *r[1:])) for r in rows[:400]]
+    got = {(r.record_id, r.reason) for r in implausible_readings(frame(spark, rows + calm)).where("field_name = 'power'").collect()}
+    assert (1200 + 200, "spike") in got and (200, "spike") not in got
