@@ -6,7 +6,8 @@ data through a scalar subquery, so each is one plan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,7 +133,28 @@ def power_curve(df: DataFrame, durations: Sequence[int] = DURATIONS, share: floa
     """Percentile of normalised power over rides at least as long, all durations in one pass."""
     d = F.explode(F.array(*[F.when(F.col("moving_time") >= s, F.lit(s)) for s in durations])).alias("duration_s")
     each = df.where("icu_normalized_watts is not null").select("icu_normalized_watts", d).where("duration_s is not null")
-    return each.groupBy("duration_s").agg(r6(F.percentile("icu_normalized_watts", F.lit(share))).alias("watts"), F.count("*").alias("rides"))
+    at = lambda n: (n - 1) * share
+    ranked = values_at(each, "duration_s", "icu_normalized_watts", lambda n: F.floor(at(n)), lambda n: F.ceil(at(n)))
+    lower, upper = F.col("at_0"), F.col("at_1")
+    watts = lower + (upper - lower) * (at(F.col("n")) - F.floor(at(F.col("n"))))
+    return ranked.select("duration_s", r6(watts).alias("watts"), F.col("n").alias("rides"))
+
+
+def values_at(df: DataFrame, key: str, value: str, *ranks: Callable[[Column], Column]) -> DataFrame:
+    """(key, n, at_0, ...): of each key's values, known ones only, those at the given ranks from 0, each a
+    function of their number n. Exact, without sorting a key as a whole: equal values are counted, whole
+    units of the value are summed, and only the units that hold a rank are sorted."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    counts = counts.select(key, F.col(value).alias("v"), F.floor(value).alias("unit"), "c")
+    along = Window.partitionBy(key).orderBy("unit")
+    units = counts.groupBy(key, "unit").agg(F.sum("c").alias("m"))
+    units = units.withColumn("n", F.sum("m").over(Window.partitionBy(key))).withColumn("low", F.sum("m").over(along) - F.col("m"))
+    holds = [(F.col("low") <= r(F.col("n"))) & (r(F.col("n")) < F.col("low") + F.col("m")) for r in ranks]
+    wanted = units.where(reduce(lambda a, b: a | b, holds)).select(key, "unit", "n", "low")
+    inside = Window.partitionBy(key, "unit").orderBy("v")
+    placed = counts.join(wanted, [key, "unit"]).withColumn("end", F.col("low") + F.sum("c").over(inside))
+    here = lambda r: (F.col("end") - F.col("c") <= r(F.col("n"))) & (r(F.col("n")) < F.col("end"))
+    return placed.groupBy(key).agg(F.first("n").alias("n"), *[F.max(F.when(here(r), F.col("v"))).alias(f"at_{i}") for i, r in enumerate(ranks)])
 
 
 def seasonal(df: DataFrame, part: str) -> DataFrame:
@@ -204,15 +226,14 @@ def zone_balance(df: DataFrame, days: int = 90) -> DataFrame:
 def vo2max_monthly(df: DataFrame, mass_kg: float = 70.0) -> DataFrame:
     """By month: largest and nearest-rank p95 normalised power, mean power and the estimate.
 
-    The nearest rank comes from a ranked window over the month's rides, not from a collected list."""
+    The nearest rank is selected exactly without sorting a month as a whole."""
     month = day_text(F.date_trunc("month", F.col(START)))
     known = df.where("icu_normalized_watts is not null").select(month.alias("month"), "id", "icu_normalized_watts", "icu_average_watts")
     sizes = known.groupBy("month").agg(
         F.count("*").alias("n"), F.max("icu_normalized_watts").alias("top"), F.avg("icu_average_watts").alias("avg_watts")
     )
-    place = F.row_number().over(Window.partitionBy("month").orderBy("icu_normalized_watts", "id")) - 1
-    ranked = known.withColumn("place", place).join(sizes, "month").where(F.col("place") == F.round((F.col("n") - 1) * 0.95))
-    p95 = F.col("icu_normalized_watts")
+    ranked = values_at(known, "month", "icu_normalized_watts", lambda n: F.round((n - 1) * 0.95)).drop("n").join(sizes, "month")
+    p95 = F.col("at_0")
     return ranked.select(
         "month", r6(F.col("top")).alias("max_np"), r6(p95).alias("p95_np"), r6(F.col("avg_watts")).alias("avg_watts"),
         r6(10.8 * (p95 / mass_kg) + 7).alias("vo2max"),

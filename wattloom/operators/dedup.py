@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER = ("import_timestamp", "row_id")
-
 
 def exact(df: DataFrame) -> DataFrame:
     """Every row with its id's count and first and last import. Null ids meet nothing: their count is
@@ -38,18 +36,14 @@ def potential(df: DataFrame) -> DataFrame:
     return marked.select("row_id", "id", F.col("n").alias("same_print"), flag.alias("is_potential"))
 
 
-def _rank(latest: bool):
-    order = [F.col(c).desc_nulls_first() if latest else F.col(c).asc_nulls_last() for c in ORDER]
-    return F.row_number().over(Window.partitionBy("id").orderBy(*order))
-
-
 def resolve(df: DataFrame, strategy: str = "keep_latest", preserve_all: bool = False) -> DataFrame:
     """One row per id by ``keep_latest`` or ``keep_first`` (or all); with ``preserve_all`` every row and
     a flag. Ids that are null are one group. Reduced by aggregation, not by sorting whole groups."""
     if strategy == "keep_all":
         return df.select("row_id", "id")
-    if preserve_all:
-        return df.withColumn("would_keep", _rank(strategy == "keep_latest") == 1).select("row_id", "id", "would_keep")
+    if preserve_all:  # by the unique row_id, so that a crowd of null ids is no group of its own
+        kept = resolve(df, strategy).select("row_id", F.lit(True).alias("would_keep"))
+        return df.select("row_id", "id").join(kept, "row_id", "left").withColumn("would_keep", F.coalesce("would_keep", F.lit(False)))
     key = F.struct(*[F.coalesce(F.unix_micros("import_timestamp"), F.lit(2**62)).alias("t"), F.col("row_id")])
     pick = F.max_by("row_id", key) if strategy == "keep_latest" else F.min_by("row_id", key)
     return df.groupBy("id").agg(pick.alias("row_id")).select("row_id", "id")

@@ -109,7 +109,11 @@ def regular_grid(
         .where("lo <= hi")
     )
     run = ((F.col("hi") - F.col("lo")) / step + 1).cast("long")
-    filled = gaps.withColumn("run", run).withColumn("period_start", F.explode(F.sequence("lo", "hi", step)))
+    # in two steps, so that no gap, however long, becomes one array
+    part = F.explode(F.sequence("lo", "hi", block_s)).alias("part")
+    parts = gaps.withColumn("run", run).select("*", part)
+    inside_part = F.sequence("part", F.least(F.col("hi"), F.col("part") + block_s - step), step)
+    filled = parts.withColumn("period_start", F.explode(inside_part))
     share = (F.col("period_start") - F.col("a.period_start")) / (F.col("b.period_start") - F.col("a.period_start"))
     line = F.col("a.value") + share * (F.col("b.value") - F.col("a.value"))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()

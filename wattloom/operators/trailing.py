@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -123,8 +123,8 @@ def trailing_totals(rides: DataFrame, periods: tuple[int, ...] = (7, 30)) -> Dat
 def peaks_and_rests(daily: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
     """(athlete_id, day, measure): days at the rider's highest trailing load (none if it is 0), and
     days whose trailing time is 0."""
-    tops = daily.groupBy("athlete_id").agg(*[F.max(f"load_{w}").alias(f"top_{w}") for w in periods])
-    joined = daily.join(tops, "athlete_id")
+    rider = Window.partitionBy("athlete_id")  # days of one rider, bounded by the calendar; the walk runs once
+    topped = daily.withColumns({f"top_{w}": F.max(f"load_{w}").over(rider) for w in periods})
     marks = [F.when((F.col(f"load_{w}") == F.col(f"top_{w}")) & (F.col(f"top_{w}") != 0), F.lit(f"peak_load_{w}")) for w in periods]
     marks += [F.when(F.col(f"seconds_{w}") == 0, F.lit(f"idle_{w}")) for w in periods]
-    return joined.select("athlete_id", "day", F.explode(F.array_compact(F.array(*marks))).alias("measure"))
+    return topped.select("athlete_id", "day", F.explode(F.array_compact(F.array(*marks))).alias("measure"))
