@@ -125,7 +125,7 @@ def test_json_and_vendor(spark, tmp_path):
     assert [r.id for r in files.activities_from_json(spark.read.json(path)).collect()] == ["2", "3"]
     path = write(tmp_path / "y.json", json.dumps({"activityId": 5, "deviceDTO": {"displayName": "Edge"}, "distance": 3.5}))
     row = files.vendor_activities(spark.read.json(path)).first()
-    assert row.garmin_activity_id == 5 and row.device_name == "Edge" and row.weather_temp is None
+    assert (row.id, row.garmin_activity_id) == ("garmin_5", "5") and row.device_name == "Edge" and row.weather_temp is None and row.distance == 3.5 and row.duration == 0 and row.sport_type == ""
     df = spark.createDataFrame([("1700000000000",), ("2024-01-01T00:00:00",), ("x",)], "t string").select(files.vendor_time(files.F.col("t")).alias("t"))
     assert [r.t is None for r in df.collect()] == [False, False, True]
 
@@ -143,10 +143,86 @@ def test_device_files(spark, tmp_path):
     assert got == {("77", 97, None), ("77", 98, None), ("78", None, "broken")}
 
 
+def api(data, size):
+    return lambda newest: [r for r in data if newest is None or r["start_date_local"] <= newest][:size]
+
+
 def test_pages():
-    data = [{"id": i, "start_date_local": i} for i in range(25, 0, -1)]
-    fetch = lambda newest: [r for r in data if newest is None or r["start_date_local"] < newest][:10]
-    assert [r["id"] for r in files.fetch_pages(fetch, batch=10, seen={3})] == [i for i in range(25, 0, -1) if i != 3]
+    data = [{"id": i, "start_date_local": f"2024-01-01T10:{i:02d}:00"} for i in range(25, 0, -1)]
+    assert [r["id"] for r in files.fetch_pages(api(data, 10), batch=10, seen={3})] == [i for i in range(25, 0, -1) if i != 3]
+
+
+def test_pages_that_share_a_start_end():
+    same = [{"id": i, "start_date_local": "2024-01-01T10:00:00"} for i in range(10)]
+    older = [{"id": 100 + i, "start_date_local": f"2023-12-{31 - i}T10:00:00"} for i in range(5)]
+    got = [r["id"] for r in files.fetch_pages(api([*same, *older], 10), batch=10)]
+    assert got == [*range(10), *range(100, 105)]
+    twice = [{"id": i, "start_date_local": f"2024-01-0{9 - i // 2}T10:00:00"} for i in range(12)]
+    assert [r["id"] for r in files.fetch_pages(api(twice, 5), batch=5)] == list(range(12))
+
+
+def test_ten_thousand_rows_in_five_seconds(spark, tmp_path):
+    import time
+
+    write(tmp_path / "big.csv", "id,start_date_local,name,type,moving_time,distance\n" + "".join(f"i{k},2024-01-01T10:00:00,Ride {k},Ride,{k},{k * 10.5}\n" for k in range(10_000)))
+    files.read_csv(spark, str(tmp_path / "big.csv")).count()  # the first run starts Spark's own parts
+    t = time.perf_counter()
+    df, done = files.extract_csv(spark, str(tmp_path / "big.csv"))
+    assert done["rows"] == 10_000 and time.perf_counter() - t < 5.0
+
+
+def fit_file(*parts: bytes) -> bytes:
+    import struct
+
+    data = b"".join(parts)
+    return struct.pack("<BBHI4sH", 14, 0x20, 2132, len(data), b".FIT", 0) + data + b"\0\0"
+
+
+def definition(local, number, *fields, big=False):
+    import struct
+
+    return struct.pack(f"{'>' if big else '<'}BBBHB", 0x40 | local, 0, big, number, len(fields)) + b"".join(map(bytes, fields))
+
+
+def fit_ride(readings=5):
+    import struct
+
+    body = [definition(0, 23, (2, 2, 0x84), (3, 4, 0x8C), (27, 8, 0x07)), struct.pack("<BHI8s", 0, 1, 4_000_000_001, b"Edge\0\0\0\0")]
+    body.append(definition(1, 20, (253, 4, 0x86), (7, 2, 0x84), (3, 1, 0x02), (2, 2, 0x84), (99, 1, 0x02)))
+    body += [struct.pack("<BIHBHB", 1, 1_000_000_000 + k, 200 + k if k else 0xFFFF, 140 + k, (100 + k + 500) * 5, 7) for k in range(readings)]
+    body.append(struct.pack("<BIHBHB", 0x80 | 1 << 5 | (1_000_000_000 + readings + 2) & 0x1F, 1_000_000_000 + readings, 300, 150, 3000, 7)[:1] + struct.pack("<IHBHB", 1_000_000_000 + readings, 300, 150, 3000, 7))
+    body += [definition(2, 19, (19, 2, 0x84), (9, 4, 0x86), big=True), struct.pack(">BHI", 2, 210, 1_234_500), struct.pack(">BHI", 2, 220, 100)]
+    body += [definition(3, 18, (2, 4, 0x86), (20, 2, 0x84), (34, 2, 0x84), (36, 2, 0x84), (57, 1, 0x01), (24, 1, 0x02)), struct.pack("<BIHHHbB", 3, 1_000_000_000, 205, 0xFFFF, 850, -3, 0xFF)]
+    return fit_file(*body)
+
+
+def test_fit_files(spark, tmp_path):
+    import io
+    import zipfile
+    from datetime import timedelta
+
+    from wattloom.sources import fit
+
+    (tmp_path / "77_ride.fit").write_bytes(fit_ride())
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("readme.txt", "x")
+        z.writestr("a.fit", fit_ride(2))
+    (tmp_path / "78.zip").write_bytes(packed.getvalue())
+    (tmp_path / "79.fit").write_bytes(fit_ride()[:-40])
+    (tmp_path / "80.fit").write_bytes(b"no")
+    decoded = fit.read_fit(spark, str(tmp_path)).cache()
+    rows = {r.activity_id: r for r in fit.sessions(decoded).collect()}
+    a = rows["77"]
+    start = fit.EPOCH + timedelta(seconds=1_000_000_000)
+    assert (a.avg_power, a.normalized_power, a.intensity_factor, a.avg_temperature, a.start_time, a.total_training_effect) == (205.0, None, 0.85, -3.0, start, None)
+    assert (a.device_manufacturer, a.device_serial_number, a.device_product_name, a.num_laps, a.lap1_avg_power, a.lap1_total_distance) == (1.0, 4_000_000_001.0, "Edge", 2, 210.0, 12345.0)
+    assert a.data_points == 6 and a.fit_parse_error is None and rows["78"].data_points == 3
+    assert "early" in rows["79"].fit_parse_error and rows["80"].fit_parse_error == "not a FIT file" and rows["80"].avg_power is None
+    readings = fit.of_message(decoded, "record").where("activity_id = '77'").orderBy("n").collect()
+    assert [r.power for r in readings] == [None, 201.0, 202.0, 203.0, 204.0, 300.0] and readings[0].altitude == 100.0
+    assert readings[-1].timestamp == start + timedelta(seconds=7)  # by its five bits
+    assert decoded.where("message = 'record'").first().fields.count("99") == 0
 
 
 def test_patience():
