@@ -45,8 +45,8 @@ SESSION_FILLS = {
 }
 #: Device fields by the names that an activity bears them under. Fixed values.
 DEVICE_FIELDS = {
-    "device_manufacturer": ("manufacturer",), "device_product": ("product", "product_name"), "device_serial_number": ("serial_number",),
-    "device_software_version": ("software_version",),
+    "device_manufacturer": ("manufacturer", "device_manufacturer"), "device_product": ("product", "product_name", "device_product", "device_product_name"),
+    "device_serial_number": ("serial_number", "device_serial_number"), "device_software_version": ("software_version", "device_software_version"),
 }
 
 

@@ -9,10 +9,18 @@ from pyspark.sql import types as T
 L, D, S, B = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 
 ACTIVITY_SCHEMA = T.StructType(
-    [T.StructField(n, S) for n in ("id", "athlete_id", "start_date_local", "name", "type", "file_source", "file_hash", "all_file_sources")]
+    [T.StructField(n, S) for n in (
+        "id", "athlete_id", "garmin_activity_id", "start_date_local", "name", "type", "file_source", "file_hash", "all_file_sources",
+        "device_manufacturer", "device_product", "device_serial_number", "device_software_version", "lap_data", "zones_config", "fit_parse_error",
+    )]
     + [T.StructField(n, L) for n in ("moving_time", "elapsed_time", "average_heartrate", "max_heartrate", "icu_average_watts", "icu_normalized_watts", "icu_training_load")]
     + [T.StructField(n, D) for n in ("distance", "total_elevation_gain", "average_speed", "icu_intensity", "icu_ftp", "icu_fitness", "icu_fatigue")]
-    + [T.StructField(f"z{k}_secs", D) for k in range(1, 8)]
+    + [T.StructField(n, D) for n in (
+        "average_power", "max_power", "normalized_power", "threshold_power", "functional_threshold_power", "avg_cadence", "max_cadence", "avg_temperature",
+        "max_temperature", "left_right_balance", "avg_left_torque_effectiveness", "avg_right_torque_effectiveness", "avg_left_pedal_smoothness",
+        "avg_right_pedal_smoothness", "total_training_effect", "total_anaerobic_training_effect", "intensity_factor", "training_stress_score", "avg_vam", "total_work",
+    )]
+    + [T.StructField(f"{p}z{k}_secs", D) for p in ("", "hr_") for k in range(1, 8)]
     + [T.StructField("has_fit_data", B), T.StructField("import_timestamp", T.TimestampType()), T.StructField("updated_at", T.TimestampType())]
 )
 

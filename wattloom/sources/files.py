@@ -55,7 +55,11 @@ def extract_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 def extract_all(spark: SparkSession, folders: list[str], pattern: str = "*.csv") -> DataFrame:
     """Every export of the folders, united by column name; headers may differ from file to file. Headers
     are read by the tasks, and files that share one are one scan."""
-    binary = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folders)
+    return read_all(spark, spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folders))
+
+
+def read_all(spark: SparkSession, binary: DataFrame) -> DataFrame:
+    """The exports among these files (path, content), united by column name."""
     head = F.rtrim(F.substring_index(F.col("content").cast("string"), "\n", 1))
     alike = binary.select(F.col("path"), head.alias("head")).groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     groups = [r["paths"] for r in alike.orderBy("head").collect() if r["head"]]  # names of files only

@@ -147,18 +147,24 @@ class RideStore:
         if buckets:
             self._write(latest, "ingestion", "file_hash", buckets)
 
-    def set_status(self, file_name: str, status: str, error: str | None = None, **counts: int) -> None:
-        """One step of a file's way: PENDING, PROCESSING, then SUCCESS, WARNING or ERROR, then ARCHIVED.
-        A step that does not follow from the last one is refused."""
-        before = self.status(file_name)
-        if status not in STEPS[before]:
-            raise ValueError(f"{file_name}: {status} does not follow {before}")
+    def set_status(self, file_names: str | Sequence[str], status: str, error: str | None = None, **counts: int) -> None:
+        """One step of one or more files' way: PENDING, PROCESSING, then SUCCESS, WARNING or ERROR, then
+        ARCHIVED. A step that does not follow from the last one of every file is refused."""
+        names = [file_names] if isinstance(file_names, str) else list(file_names)
+        if not names:
+            return
+        done = self.steps().where(F.col("file_name").isin(names)).groupBy("file_name").agg(F.max_by("status", "step").alias("s"), F.max("step").alias("n"))
+        before = {r["file_name"]: (r["s"], r["n"]) for r in done.collect()}
+        for name in names:
+            if status not in STEPS[before.get(name, (None, 0))[0]]:
+                raise ValueError(f"{name}: {status} does not follow {before.get(name, (None, 0))[0]}")
         cols = "file_name string, status string, error_message string, record_count long, new_activities long, at timestamp, step int"
-        steps = self.read("steps", cols, self._touched(self.spark.createDataFrame([(file_name,)], "file_name string"), "file_name")).drop("bucket")
-        number = steps.where(F.col("file_name") == file_name).count()
-        row = (file_name, status, error, counts.get("record_count"), counts.get("new_activities"), datetime.now(timezone.utc), number)
-        fresh = self.spark.createDataFrame([row], cols)
-        self._write(steps.unionByName(fresh), "steps", "file_name", self._touched(fresh, "file_name"))
+        now = datetime.now(timezone.utc)
+        rows = [(n, status, error, counts.get("record_count"), counts.get("new_activities"), now, before[n][1] + 1 if n in before else 0) for n in names]
+        fresh = self.spark.createDataFrame(rows, cols)
+        buckets = self._touched(fresh, "file_name")
+        steps = self.read("steps", cols, buckets).drop("bucket")
+        self._write(steps.unionByName(fresh), "steps", "file_name", buckets)
 
     def status(self, file_name: str) -> str | None:
         """The last step of a file, null before the first."""
