@@ -10,6 +10,7 @@ that is estimated from the data, since a field limit shows in the longest texts
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -33,8 +34,6 @@ CHANCE_FROM = 0.01
 #: Log-odds of a text whose end carries the sign of a loss itself.
 CERTAIN = 20.0
 CHARS_AT_ONCE = 400_000
-#: Texts whose last characters agree are copies and count as one end.
-TAIL_CHARS = 48
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 DIGITS = re.compile(r"\d+")
@@ -93,7 +92,7 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return y ^ (y >> np.uint64(27))
 
 
-ENDS = "doc_id long, lang string, source string, n_chars long, tail string, sure boolean, name boolean, stop boolean, h array<long>"
+ENDS = "doc_id long, lang string, source string, n_chars long, copy long, sure boolean, name boolean, stop boolean, h array<long>"
 
 
 def end_hashes(views: list[str], orders: tuple[int, ...]) -> np.ndarray:
@@ -110,6 +109,11 @@ def end_hashes(views: list[str], orders: tuple[int, ...]) -> np.ndarray:
     return np.column_stack(out).astype(np.int64)
 
 
+def _digest(text: str) -> int:
+    """What copies of a text share: they count as one end."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = [strip_tail(t) for t in pdf["text"]]
@@ -118,7 +122,7 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = np.hstack([end_hashes(folded, ORDERS), end_hashes(plain, PLAIN_ORDERS)])
         yield pd.DataFrame(
             {c: pdf[c] for c in ("doc_id", "lang", "source", "n_chars")}
-            | {"tail": [t[-TAIL_CHARS:] for t in texts], "sure": [bool(BROKEN.search(t)) for t in pdf["text"]], "name": [f.endswith("\x04") for f in folded], "stop": [t.endswith((".", "!", "?")) for t in texts], "h": list(hashes)}
+            | {"copy": [_digest(t) for t in texts], "sure": [bool(BROKEN.search(t)) for t in pdf["text"]], "name": [f.endswith("\x04") for f in folded], "stop": [t.endswith((".", "!", "?")) for t in texts], "h": list(hashes)}
         )
 
 
@@ -205,7 +209,7 @@ def cut_scores(documents: DataFrame) -> DataFrame:
     texts = spread(texts, "doc_id")
     ends = cut_lineage(texts.mapInPandas(_ends, ENDS), "text-ends")
     # contexts with names as written weigh only where a text ends in a name; others need no counts inside
-    each = ends.select("tail", "name", "h").distinct().select(F.posexplode("h").alias("order", "h"), "name")
+    each = ends.select("copy", "name", "h").distinct().select(F.posexplode("h").alias("order", "h"), "name")
     weighs = F.bool_or(F.col("name") | (F.col("order") < len(ORDERS))).alias("weighs")
     at_end = cut_lineage(each.groupBy("h").agg(F.count("*").alias("ends"), weighs), "contexts")
     sought = at_end.where("weighs")
@@ -227,7 +231,7 @@ def cut_scores(documents: DataFrame) -> DataFrame:
     # at which kind of place the text ends, by its longest context that is not rare
     seen = F.try_element_at(F.filter(F.slice("counts", 1, len(ORDERS)), lambda c: c["spaced"] + c["joined"] >= 5), F.lit(-1))
     at_word = F.coalesce(seen["spaced"] * 2 >= seen["spaced"] + seen["joined"], F.lit(False))
-    rows = keyed.drop("h", "tail").join(counts, "row").join(tops, "source")
+    rows = keyed.drop("h", "copy").join(counts, "row").join(tops, "source")
     judged = cut_lineage(
         rows.select("doc_id", "lang", "source", "n_chars", "sure", "name", "stop", group.alias("long"), at_word.alias("at_word"), "counts"), "text-counts"
     )
