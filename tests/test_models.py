@@ -1,5 +1,6 @@
 """Size of the models, their folds, features and labels, and what the forecast says of them."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -62,3 +63,17 @@ def test_power_models_tell_every_importance(spark, monkeypatch):
     assert sum(r.feature is None for r in rows) == 3 and len({r.feature for r in rows if r.feature}) == 29
     assert sum(r.importance for r in rows if r.feature) == pytest.approx(1.0)
     assert sum(r.best for r in rows if r.feature is None) == 1
+
+
+def test_the_best_model_is_saved_with_its_metadata(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rows = [(str(k), "r", f"2024-01-{1 + k:02d} 10:00:00", 200.0 + k, 210.0 + k, 250.0 + k, 140.0, 3600.0, 30000.0) for k in range(8)]
+    df = spark.createDataFrame(rows, "id string, athlete_id string, start_date_local string, icu_average_watts double, icu_normalized_watts double, icu_ftp double, average_heartrate double, moving_time double, distance double")
+    df = df.withColumn("start_date_local", forecast.F.col("start_date_local").cast("timestamp_ntz"))
+    about = forecast.train_and_save(df, str(tmp_path / "model"))
+    assert about["model"] == "linear" and about["rows"] == 8
+    kept = json.loads((tmp_path / "model.json").read_text())
+    assert kept["features"] == forecast.POWER_FEATURES and "saved_at" in kept
+    fitted = PipelineModel.load(str(tmp_path / "model"))
+    assert fitted.transform(forecast.power_rows(df)).where("prediction is not null").count() == 8

@@ -111,6 +111,8 @@ def predict(spark: SparkSession, args) -> list[dict]:
 def train(spark: SparkSession, args) -> list[dict]:
     """Models of FTP where any is known, else of normalised power."""
     rides = typed(RideStore(spark, args.store).read()).withColumn("athlete_id", F.coalesce("athlete_id", F.lit("me")))
+    if args.model:
+        return forecast.train_and_save(rides, args.model)
     if rides.where("icu_ftp is not null").isEmpty():
         return [r.asDict() for r in forecast.power_models(rides).collect()]
     return [{"model": k, "r2": v} for k, v in forecast.cross_validated(forecast.training_rows(rides), forecast.FEATURES).items()]
@@ -141,6 +143,8 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--files", required=True)
         if name in ("report", "dashboard"):
             s.add_argument("--out", required=name == "dashboard")
+        if name == "train":
+            s.add_argument("--model", help="save the best model here")
         if name == "predict":
             s.add_argument("--days", type=int, default=30)
     return p

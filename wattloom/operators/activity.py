@@ -104,8 +104,20 @@ def efficiency(df: DataFrame) -> DataFrame:
     )
 
 
-def best_efforts(df: DataFrame, metric: str = "icu_normalized_watts", n: int = 10) -> DataFrame:
-    """The n best rides by a metric; ties go to the lesser id."""
+#: Metrics of best efforts in order of preference. Fixed values.
+POWER_METRICS = ("icu_normalized_watts", "normalized_power", "icu_average_watts")
+
+
+def metric_with_data(df: DataFrame, metrics: Sequence[str] = POWER_METRICS) -> str | None:
+    """The first of the columns that is there and has any value."""
+    there = present(df, metrics)
+    known = df.agg(*[F.count(c).alias(c) for c in there]).first() if there else {}
+    return next((c for c in there if known[c]), None)
+
+
+def best_efforts(df: DataFrame, metric: str | None = "icu_normalized_watts", n: int = 10) -> DataFrame:
+    """The n best rides by a metric (None: the first one with data); ties go to the lesser id."""
+    metric = metric or metric_with_data(df) or present(df, POWER_METRICS)[0]
     top = df.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), "id").limit(n)
     return top.select("id", "name", day_text(F.col(START)).alias("day"), r6(F.col(metric)).alias(metric))
 
@@ -140,6 +152,27 @@ def power_curve(df: DataFrame, durations: Sequence[int] = DURATIONS, share: floa
     return ranked.select("duration_s", r6(watts).alias("watts"), F.col("n").alias("rides"))
 
 
+def power_sheet(df: DataFrame) -> DataFrame:
+    """FTP progression, hours by zone and the power curve as one table (section, label, value)."""
+    rows = lambda section, part, label, value: part.select(F.lit(section).alias("section"), F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"))
+    return (
+        rows("ftp", ftp_progression(df), "day", "ftp").unionByName(rows("zone_hours", power_zones(df), "zone", "hours"))
+        .unionByName(rows("curve_watts", power_curve(df), "duration_s", "watts"))
+    )
+
+
+def predictions_sheet(df: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
+    """Season outlook, readiness and, if given, an FTP forecast (day, predicted) as one table (section,
+    label, value)."""
+    season = season_forecast(df).select(F.lit("season").alias("section"), F.concat_ws(" +", "metric", "ahead").alias("label"), F.col("predicted").cast("double").alias("value"))
+    ready = readiness(df)
+    parts = [F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in ("form", "consistency", "intensity", "recovery", "overall")]
+    out = season.unionByName(ready.select(F.lit("readiness").alias("section"), F.explode(F.array(*parts)).alias("x")).select("section", "x.label", "x.value"))
+    if forecast is not None:
+        out = out.unionByName(forecast.select(F.lit("ftp").alias("section"), F.col("day").cast("string").alias("label"), F.col("predicted").cast("double").alias("value")))
+    return out
+
+
 def values_at(df: DataFrame, key: str, value: str, *ranks: Callable[[Column], Column]) -> DataFrame:
     """(key, n, at_0, ...): of each key's values, known ones only, those at the given ranks from 0, each a
     function of their number n. Exact, without sorting a key as a whole: equal values are counted, whole

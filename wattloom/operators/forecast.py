@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattloom.operators import activity as A
+from wattloom.session import Files
 
 FEATURES = ["days_training", "load_7", "load_28", "intensity_7", "intensity_28", "seconds_7", "seconds_28", "icu_fitness", "icu_fatigue"]
 
@@ -202,6 +205,22 @@ def power_models(rides: DataFrame) -> DataFrame:
     return rides.sparkSession.createDataFrame(out, "model string, r2 double, best boolean, feature string, importance double")
 
 
-def save_model(model, path: str) -> None:
+def save_model(model, path: str, about: dict) -> None:
+    """The fitted model, and beside it what is known about it (features, scores, rows) as JSON."""
+    spark = SparkSession.getActiveSession()
     model.write().overwrite().save(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    Files(spark, folder or ".").write(f"{name}.json", json.dumps({"saved_at": datetime.now(timezone.utc).isoformat()} | about), overwrite=True)
+
+
+def train_and_save(rides: DataFrame, path: str) -> dict:
+    """The best of the power models by cross-validation, fitted to all rows and saved with its metadata."""
+    rows = power_rows(rides)
+    n = rows.count()
+    scores = cross_validated(rows, POWER_FEATURES)
+    best = max(scores, key=scores.get)
+    fitted = pipeline(regressors(n < 10)[best], POWER_FEATURES).fit(rows)
+    about = {"model": best, "scores": scores, "features": POWER_FEATURES, "rows": n}
+    save_model(fitted, path, about)
+    return about
 

@@ -57,10 +57,14 @@ def moving_mean(series: DataFrame, field: str, k: int) -> DataFrame:
 
 
 def elapsed_time(records: DataFrame) -> DataFrame:
+    """Seconds since each recording's first reading, and, where they are recorded in m/s and m, speed in
+    km/h and distance in km."""
     rows = records.where(F.col(KEY).isNotNull() & F.col(TS).isNotNull())
     first = rows.groupBy(KEY).agg(F.min(TS).alias("t0"))
     seconds = lambda c: F.unix_micros(c) / 1e6
-    return rows.join(first, KEY).select(ROW, KEY, r6(seconds(F.col(TS)) - seconds(F.col("t0"))).alias("elapsed_s"))
+    out = [ROW, KEY, r6(seconds(F.col(TS)) - seconds(F.col("t0"))).alias("elapsed_s")]
+    units = [c.alias(n) for n, of, c in (("speed_kmh", "speed", F.col("speed") * 3.6), ("distance_km", "distance", F.col("distance") / 1000)) if of in records.columns]
+    return rows.join(first, KEY).select(*out, *units)
 
 
 def record_interval(records: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ RECORDING = "SELECT activity_id, round(1/(1+stddev_pop(cadence) FILTER (WHERE ca
 QUERIES = {
     "feat_hr_zones": (q(X.heart_zones), HR_ZONES),
     "feat_recording": (q(X.recording), RECORDING),
-    "elapsed_time": (q(T.elapsed_time), D("SELECT record_id, activity_id, round(t - min(t) OVER (PARTITION BY activity_id),6) AS elapsed_s FROM o")),
+    "elapsed_time": (q(T.elapsed_time), D("SELECT record_id, activity_id, round(t - min(t) OVER (PARTITION BY activity_id),6) AS elapsed_s, speed*3.6 AS speed_kmh, distance/1000 AS distance_km FROM o", "speed, distance")),
     "record_interval": (q(T.record_interval), D("SELECT activity_id, round(max(t)-min(t),6) AS elapsed_s, round(quantile_cont(t-p_t,0.5),6) AS median_gap_s, count(*) AS readings FROM o GROUP BY 1")),
     "hr_stats": (q(T.field_stats, "heart_rate", True), D("SELECT activity_id, round(avg(heart_rate),6) AS avg_heart_rate, max(heart_rate) AS max_heart_rate, min(heart_rate) AS min_heart_rate, round(stddev_samp(heart_rate),6) AS std_heart_rate FROM o GROUP BY 1", "heart_rate", "heart_rate IS NOT NULL")),
     "hr_zone_pct": (q(T.hr_zone_pct), D(", z AS (SELECT activity_id, heart_rate*100.0/max(heart_rate) OVER (PARTITION BY activity_id) AS p FROM o) SELECT activity_id, " + ", ".join(_pct(c, k) for k, c in enumerate(HR, 1)) + " FROM z GROUP BY 1", "heart_rate", "heart_rate IS NOT NULL")),

@@ -88,6 +88,8 @@ QUERIES = {
     "efficiency": (q(A.efficiency), R("""SELECT round(avg(icu_intensity),6) AS avg_intensity, round(avg(icu_normalized_watts/nullif(icu_average_watts,0)),6) AS avg_variability,
         round(avg(icu_average_watts/nullif(average_heartrate,0)),6) AS avg_watts_per_beat FROM rides WHERE icu_average_watts IS NOT NULL AND average_heartrate IS NOT NULL""")),
     "best_efforts": (q(A.best_efforts), R(f"SELECT id, name, {DAY} AS day, round(icu_normalized_watts,6) AS icu_normalized_watts FROM rides WHERE icu_normalized_watts IS NOT NULL ORDER BY rides.icu_normalized_watts DESC, id LIMIT 10")),
+    "best_efforts_choice": (lambda s, d: A.best_efforts(rides(s, d).withColumn("icu_normalized_watts", F.lit(None).cast("double")), None, 50),
+        R(f"SELECT id, name, {DAY} AS day, round(icu_average_watts,6) AS icu_average_watts FROM rides WHERE icu_average_watts IS NOT NULL ORDER BY rides.icu_average_watts DESC, id LIMIT 50")),
     "best_efforts_multi": (q(A.best_efforts_multi), R(", l AS (" + " UNION ALL ".join(f"SELECT id, '{m}' AS metric, {m} AS value FROM rides" for m in A.EFFORTS) + """)
         SELECT metric, place, id, round(value,6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, id) AS place FROM l WHERE value IS NOT NULL) WHERE place <= 10""")),
     "weekly_summary": (q(A.weekly_summary), R(f"""SELECT strftime(date_trunc('week', start_date_local), '%Y-%m-%d') AS week, count(*) AS rides, round(sum(moving_time)/3600,6) AS hours, round(sum(distance)/1000,6) AS km,
@@ -167,3 +169,10 @@ QUERIES = {
     "vi_histogram": (q(lambda d: d.withColumn("vi", A.F.try_divide("icu_normalized_watts", "icu_average_watts")).where("vi is not null").groupBy(A.F.least(A.F.greatest(A.F.floor((A.F.col("vi") - 1) * 20), A.F.lit(0)), A.F.lit(19)).alias("bin")).agg(A.F.count("*").alias("rides"))), R("SELECT least(greatest(CAST(floor((icu_normalized_watts/icu_average_watts-1)*20) AS BIGINT),0),19) AS bin, count(*) AS rides FROM rides WHERE icu_normalized_watts/nullif(icu_average_watts,0) IS NOT NULL GROUP BY 1")),
     "zone_means": (q(lambda d: d.agg(*[A.r6(A.F.avg(z)).alias(z) for z in A.ZONES])), R("SELECT " + ", ".join(f"round(avg(z{k}_secs),6) AS z{k}_secs" for k in range(1, 8)) + " FROM rides")),
 }
+
+SHEET = "SELECT '{section}' AS section, CAST({label} AS VARCHAR) AS label, CAST({value} AS DOUBLE) AS value FROM ({sql})"
+_part = lambda section, label, value, of: SHEET.format(section=section, label=label, value=value, sql=QUERIES[of][1])
+QUERIES |= {
+    "power_sheet": (q(A.power_sheet), " UNION ALL ".join([_part("ftp", "day", "ftp", "ftp_progression"), _part("zone_hours", "zone", "hours", "power_zones"), _part("curve_watts", "duration_s", "watts", "power_curve")])),
+    "predictions_sheet": (q(A.predictions_sheet), " UNION ALL ".join([_part("season", "metric || ' +' || ahead", "predicted", "season_forecast"), *[_part("readiness", f"'{c}'", c, "readiness") for c in ("form", "consistency", "intensity", "recovery", "overall")]])),
+}

@@ -226,7 +226,8 @@ def export_sheets(rides: DataFrame) -> dict[str, DataFrame]:
     """The report's sheets as frames."""
     return {
         "activities": activity.report_activities(rides), "weekly": activity.weekly_summary(rides, 52), "training_load": activity.training_load_periods(rides),
-        "best_efforts": activity.best_efforts_multi(rides), "power": activity.power_curve(rides), "predictions": activity.season_forecast(rides),
+        "best_efforts": activity.best_efforts(rides, None, 50), "efforts_by_metric": activity.best_efforts_multi(rides), "power": activity.power_sheet(rides),
+        "predictions": activity.predictions_sheet(rides),
     }
 
 
@@ -267,8 +268,10 @@ def export_excel(rides: DataFrame, path: str, rows: int = SHEET_ROWS) -> str:
 def summary_text(rides: DataFrame) -> str:
     """The summary report as text."""
     r = activity.summary_report(rides).first()
+    ready = activity.readiness(rides).first()
     gain = None if r["first_ftp"] is None else r["last_ftp"] - r["first_ftp"]
     return "\n".join([
         f"Rides: {r['rides']} from {r['first_day']} to {r['last_day']}", f"Distance: {r['km'] or 0:.1f} km, time: {r['hours'] or 0:.1f} h",
         f"Load: {r['load'] or 0:.0f}", f"FTP: {r['first_ftp']} to {r['last_ftp']} (gain {gain})",
+        "Readiness: no rides" if ready is None or ready["overall"] is None else f"Readiness: {ready['overall']:.0f} ({ready['level']}){': ' + ready['advice'] if ready['advice'] else ''}",
     ])
