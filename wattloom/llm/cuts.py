@@ -31,6 +31,8 @@ PLAIN_ORDERS = (2, 4, 6)
 LEAN, ROUNDS, GROUP_LEAN, FIRST_SHARE = 20.0, 4, 10.0, 0.1
 #: Expected cuts in a context from which one more end may be chance.
 CHANCE_FROM = 0.01
+#: One text in so many makes an ending common.
+HOT_SHARE = 1000
 #: Log-odds of a text whose end carries the sign of a loss itself.
 CERTAIN = 20.0
 CHARS_AT_ONCE = 400_000
@@ -221,10 +223,14 @@ def cut_scores(documents: DataFrame) -> DataFrame:
     tops = ends.groupBy("source").agg(F.max("n_chars").alias("top"))
     keyed = ends.withColumn("row", F.monotonically_increasing_id())
     keyed = cut_lineage(keyed, "text-rows")
+    # each text has eight contexts, so at most 8 * HOT_SHARE of them end one text in HOT_SHARE or more: these are
+    # sent to the tasks, and no crowd of texts with a common ending meets in one
+    common = F.col("ends") * HOT_SHARE >= ends.count()
+    placed = keyed.select("row", F.posexplode("h").alias("order", "h"))
+    hot = placed.join(F.broadcast(model.where(common)), "h", "left")
+    counted = hot.where("ends is not null").unionByName(hot.where("ends is null").select("row", "order", "h").join(model.where(~common), "h"))
     counts = (
-        keyed.select("row", F.posexplode("h").alias("order", "h"))
-        .join(model, "h")
-        .groupBy("row")
+        counted.groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("order", "spaced", "joined", "ends"))).alias("counts"))
     )  # one list of fixed length per text
     group = F.col("n_chars") >= 0.93 * F.col("top")
