@@ -39,7 +39,7 @@ CHARS_AT_ONCE = 400_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 DIGITS = re.compile(r"\d+")
-NAME = re.compile(r"(?<=[^\W\d_] )[A-ZÀ-Þ][\w’']*")
+NAME = re.compile(r"[A-ZÀ-Þ](?<=[^\W\d_] .)[\w’']*")
 #: Marks of omission, blanks and the sign of a broken character at the end say nothing themselves.
 BROKEN = re.compile(r"�\s*$|[.!?]\s*(?:…|\.\.\.)[\s�]*$")
 
@@ -157,8 +157,9 @@ def _inside(words: np.ndarray):
             stops = sum(t.count(a + b) for t in texts for a in ".!?" for b in " \n")
             yield pd.DataFrame({"h": [PLACES], "spaced": [blanks], "joined": [stops]})
             texts = [strip_tail(t) for t in texts]
-            yield from flush([fold(t) for t in texts], ORDERS)
-            yield from flush([DIGITS.sub("0", t) for t in texts], PLAIN_ORDERS)
+            plain = [DIGITS.sub("0", t) for t in texts]
+            yield from flush([fold(t) if "#" in t or "http" in t else NAME.sub("\x04", p) for t, p in zip(texts, plain, strict=True)], ORDERS)
+            yield from flush(plain, PLAIN_ORDERS)
 
         texts, size = [], 0
         for pdf in batches:
