@@ -18,6 +18,42 @@ P1_GRID = f"""WITH {PERIODS}, j AS (SELECT g.activity_id, g.field_name, g.p, m.v
  FROM j LEFT JOIN m x ON j.activity_id = x.activity_id AND j.field_name = x.field_name AND j.a = x.p LEFT JOIN m y ON j.activity_id = y.activity_id AND j.field_name = y.field_name AND j.z = y.p"""
 
 
+#: Starts as UTC instants: start_date if present, else start_date_local with its own offset or the row's zone. Of a
+#: wall-clock time that occurs twice the earlier instant.
+INSTANT = r"""CASE WHEN regexp_full_match(u, '\d{13}') THEN epoch_ms(CAST(u AS BIGINT)) WHEN regexp_full_match(u, '\d{10}') THEN epoch_ms(CAST(u AS BIGINT)*1000)
+  WHEN regexp_matches(u, '^[A-Z][a-z]{2}, ') THEN try_strptime(substr(u, 6, 20), '%d %b %Y %H:%M:%S') - CASE WHEN regexp_matches(u, '[+-]\d{4}$') THEN to_seconds(CAST(substr(u, -5, 1) || '1' AS INT) * (CAST(substr(u, -4, 2) AS INT)*3600 + CAST(substr(u, -2) AS INT)*60)) ELSE INTERVAL 0 SECOND END
+  ELSE timezone('UTC', CAST(u || CASE WHEN regexp_matches(u, '(Z|[+-]\d{2}:?\d{2})$') THEN '' ELSE '+00' END AS TIMESTAMPTZ)) END"""
+WALL = r"""CASE WHEN regexp_matches(s, '^\d{4}-') THEN try_cast(replace(regexp_extract(s, '^[0-9-]{10}[ T][0-9:.]+'), 'T', ' ') AS TIMESTAMP)
+  WHEN regexp_matches(s, '^\d{1,2}\.') THEN coalesce(try_strptime(s, '%d.%m.%Y, %H:%M:%S'), try_strptime(s, '%d.%m.%Y %H:%M:%S'), try_strptime(s, '%d.%m.%Y, %H:%M'), try_strptime(s, '%d.%m.%Y %H:%M'))
+  WHEN regexp_matches(s, '^\d{1,2}/') AND regexp_matches(s, '[AP]M$') THEN coalesce(try_strptime(s, '%m/%d/%Y %I:%M:%S %p'), try_strptime(s, '%m/%d/%Y %I:%M %p'))
+  WHEN regexp_matches(s, '^\d{1,2}/') THEN coalesce(try_strptime(s, '%d/%m/%Y %H:%M:%S'), try_strptime(s, '%d/%m/%Y %H:%M'))
+  WHEN regexp_matches(s, '^[A-Z][a-z]{2} ') THEN coalesce(try_strptime(s, '%b %d, %Y %I:%M:%S %p'), try_strptime(s, '%b %d, %Y, %I:%M:%S %p'), try_strptime(s, '%b %d, %Y %H:%M:%S')) END"""
+OWN = r"""CASE WHEN regexp_matches(s, '^\d{4}-.*[+-]\d{2}:?\d{2}$') THEN CAST(regexp_extract(s, '([+-])\d{2}:?\d{2}$', 1) || '1' AS INT) * (CAST(regexp_extract(s, '(\d{2}):?\d{2}$', 1) AS INT)*3600 + CAST(right(s, 2) AS INT)*60) END"""
+
+
+def early(wall: str, tz: str) -> str:
+    """The instant of a wall clock in a zone, the earlier of two."""
+    late = f"timezone('UTC', timezone({tz}, {wall}))"
+    return f"CASE WHEN timezone({tz}, timezone('UTC', {late} - INTERVAL 1 HOUR)) = {wall} THEN {late} - INTERVAL 1 HOUR ELSE {late} END"
+
+
+STARTS = f"""t AS (SELECT row_id, id, activities.athlete_id, trim(start_date_local) AS s, trim(start_date) AS u, nullif(regexp_extract(activities.timezone, '[A-Za-z]+/[A-Za-z_/]+'), '') AS stated, coalesce(stated, athletes.timezone) AS tz,
+  CASE WHEN NOT isnan(distance) AND distance > 0 THEN ln(distance) END AS d, CASE WHEN moving_time > 0 THEN ln(moving_time) END AS m FROM activities LEFT JOIN athletes ON activities.athlete_id = athletes.athlete_id),
+ l AS (SELECT *, {WALL} AS wall, {OWN} AS own FROM t),
+ r AS (SELECT row_id, id, athlete_id, d, m, stated, tz, CAST(floor(epoch_us(coalesce({INSTANT}, wall - to_seconds(own), {early('wall', 'tz')})) / 1e6) AS BIGINT) AS start_s FROM l)"""
+RAW_WALL = r"""CASE WHEN regexp_full_match(s, '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}') THEN CAST(s AS TIMESTAMP) WHEN regexp_matches(s, '[AP]M$') THEN try_strptime(s, '%b %d %Y %I:%M:%S %p') END"""
+RAW_NUMBER = r"""CASE WHEN regexp_full_match(s, '\d{13}') THEN CAST(s AS BIGINT) // 1000 WHEN regexp_full_match(s, '\d{10}(\.\d+)?') THEN CAST(floor(CAST(s AS DOUBLE)) AS BIGINT) END"""
+P5_FOUND = f"""WITH {STARTS},
+ z AS (SELECT id, coalesce(arg_min(stated, row_id) FILTER (WHERE stated IS NOT NULL), arg_min(tz, row_id)) AS tz, min(start_s) AS near FROM r WHERE id IS NOT NULL GROUP BY id),
+ w AS (SELECT raw_id, activity_id, record_no, trim(timestamp) AS s, coalesce(tz, 'UTC') AS tz, near FROM raw_records LEFT JOIN z ON activity_id = id),
+ x AS (SELECT *, {RAW_WALL} AS wall, {RAW_NUMBER} AS num FROM w),
+ y AS (SELECT *, {early('wall', 'tz')} AS e, CASE WHEN num IS NOT NULL THEN CASE WHEN abs(num + 631065600 - near) < abs(num - near) AND length(s) < 13 THEN num + 631065600 ELSE num END WHEN wall IS NULL THEN CAST(floor(epoch_us(CAST(s AS TIMESTAMPTZ)) / 1e6) AS BIGINT) END AS fixed FROM x),
+ g AS (SELECT *, wall IS NOT NULL AND timezone(tz, timezone('UTC', e + INTERVAL 1 HOUR)) = wall AS twice FROM y),
+ b AS (SELECT raw_id, activity_id, record_no, e, coalesce(e < lag(e) OVER o, false) AS back FROM g WHERE twice WINDOW o AS (PARTITION BY activity_id, CAST(e AS DATE) ORDER BY record_no, raw_id)),
+ k AS (SELECT raw_id, max(back) OVER (PARTITION BY activity_id, CAST(e AS DATE) ORDER BY record_no, raw_id ROWS UNBOUNDED PRECEDING) AS late FROM b)
+ SELECT 'activities' AS source_table, row_id AS row_key, start_s AS utc_s FROM r
+ UNION ALL SELECT 'raw_records', g.raw_id, coalesce(fixed, epoch_us(e + CASE WHEN late THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END) // 1000000) FROM g LEFT JOIN k ON g.raw_id = k.raw_id"""
+
 #: The rider's local day of each ride: date parts by the shape that its exporting system writes.
 LOCAL_DAY = r"""CASE
   WHEN regexp_matches(s, '^\d{4}-') THEN try_cast(substr(s, 1, 10) AS DATE)
@@ -42,4 +78,4 @@ P6_FOUND = f"WITH {DAILY}, p AS (SELECT *, max(load_7) OVER (PARTITION BY athlet
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p6_found": P6_FOUND, "p6_trailing": P6_TRAILING}
+    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_trailing": P6_TRAILING}
