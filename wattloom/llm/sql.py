@@ -2,20 +2,7 @@
 
 from __future__ import annotations
 
-#: Starts as UTC instants: start_date if present, else start_date_local with its own offset or the row's zone.
-U = r"""CASE WHEN regexp_full_match(u, '\d{13}') THEN epoch_ms(CAST(u AS BIGINT)) WHEN regexp_full_match(u, '\d{10}') THEN epoch_ms(CAST(u AS BIGINT)*1000)
-  WHEN regexp_matches(u, '^[A-Z][a-z]{2}, ') THEN try_strptime(substr(u, 6, 20), '%d %b %Y %H:%M:%S') - CASE WHEN regexp_matches(u, '[+-]\d{4}$') THEN to_seconds(CAST(substr(u, -5, 1) || '1' AS INT) * (CAST(substr(u, -4, 2) AS INT)*3600 + CAST(substr(u, -2) AS INT)*60)) ELSE INTERVAL 0 SECOND END
-  ELSE timezone('UTC', CAST(u || CASE WHEN regexp_matches(u, '(Z|[+-]\d{2}:?\d{2})$') THEN '' ELSE '+00' END AS TIMESTAMPTZ)) END"""
-WALL = r"""CASE WHEN regexp_matches(s, '^\d{4}-') THEN try_cast(replace(regexp_extract(s, '^[0-9-]{10}[ T][0-9:.]+'), 'T', ' ') AS TIMESTAMP)
-  WHEN regexp_matches(s, '^\d{1,2}\.') THEN coalesce(try_strptime(s, '%d.%m.%Y, %H:%M:%S'), try_strptime(s, '%d.%m.%Y %H:%M:%S'), try_strptime(s, '%d.%m.%Y, %H:%M'), try_strptime(s, '%d.%m.%Y %H:%M'))
-  WHEN regexp_matches(s, '^\d{1,2}/') AND regexp_matches(s, '[AP]M$') THEN coalesce(try_strptime(s, '%m/%d/%Y %I:%M:%S %p'), try_strptime(s, '%m/%d/%Y %I:%M %p'))
-  WHEN regexp_matches(s, '^\d{1,2}/') THEN coalesce(try_strptime(s, '%d/%m/%Y %H:%M:%S'), try_strptime(s, '%d/%m/%Y %H:%M'))
-  WHEN regexp_matches(s, '^[A-Z][a-z]{2} ') THEN coalesce(try_strptime(s, '%b %d, %Y %I:%M:%S %p'), try_strptime(s, '%b %d, %Y, %I:%M:%S %p'), try_strptime(s, '%b %d, %Y %H:%M:%S')) END"""
-OWN = r"""CASE WHEN regexp_matches(s, '^\d{4}-.*[+-]\d{2}:?\d{2}$') THEN CAST(regexp_extract(s, '([+-])\d{2}:?\d{2}$', 1) || '1' AS INT) * (CAST(regexp_extract(s, '(\d{2}):?\d{2}$', 1) AS INT)*3600 + CAST(right(s, 2) AS INT)*60) END"""
-STARTS = f"""t AS (SELECT row_id, activities.athlete_id, trim(start_date_local) AS s, trim(start_date) AS u, coalesce(nullif(regexp_extract(activities.timezone, '[A-Za-z]+/[A-Za-z_/]+'), ''), athletes.timezone) AS tz,
-  CASE WHEN NOT isnan(distance) AND distance > 0 THEN ln(distance) END AS d, CASE WHEN moving_time > 0 THEN ln(moving_time) END AS m FROM activities LEFT JOIN athletes ON activities.athlete_id = athletes.athlete_id),
- l AS (SELECT *, {WALL} AS wall, {OWN} AS own FROM t),
- r AS (SELECT row_id, athlete_id, d, m, CAST(floor(epoch_us(coalesce({U}, wall - to_seconds(own), timezone('UTC', timezone(tz, wall)))) / 1e6) AS BIGINT) AS start_s FROM l)"""
+from wattloom.plans.problems_sql import STARTS
 
 DIGESTS = r"""h AS (SELECT id, regexp_replace(regexp_replace(lower(trim(file_hash)), '^[a-z0-9_-]+:\s*', ''), '\s', '', 'g') AS digest FROM ingestion_history WHERE lower(trim(status)) IN ('success', 'warning')),
  f AS (SELECT min(id) OVER (PARTITION BY digest) AS key_a, id AS key_b FROM h WHERE digest <> '')"""
