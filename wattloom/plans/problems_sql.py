@@ -18,6 +18,27 @@ P1_GRID = f"""WITH {PERIODS}, j AS (SELECT g.activity_id, g.field_name, g.p, m.v
  FROM j LEFT JOIN m x ON j.activity_id = x.activity_id AND j.field_name = x.field_name AND j.a = x.p LEFT JOIN m y ON j.activity_id = y.activity_id AND j.field_name = y.field_name AND j.z = y.p"""
 
 
+#: Units of recordings by the least squared deviation from the ride's pace, units in text by their spelling, or the recording's.
+SAID = r"""CASE WHEN field_name = 'position_lat' THEN CASE WHEN v LIKE '%°%''%' THEN 'dms' WHEN regexp_matches(v, '[°NS]') THEN 'degrees' END
+  WHEN field_name = 'speed' THEN CASE WHEN regexp_matches(lower(v), '(mph|mi/h)$') THEN 'mph' WHEN regexp_matches(lower(v), '(kph|km/h|kmh)$') THEN 'km/h' WHEN regexp_matches(lower(v), '(mps|m/s)$') THEN 'm/s' END
+  ELSE CASE WHEN regexp_matches(lower(v), '(mi|miles|mile\(s\))$') THEN 'mi' WHEN regexp_matches(lower(v), '(km|kilometers)$') THEN 'km' WHEN regexp_matches(lower(v), '(m|metres|meters)$') THEN 'm' END END"""
+P4_FOUND = f"""WITH q AS (SELECT activity_id, total_distance / nullif(total_timer_time, 0) AS p, 0 AS k FROM fit_sessions UNION ALL SELECT id, distance / nullif(moving_time, 0), 1 FROM activities),
+ pace AS (SELECT activity_id, coalesce(avg(p) FILTER (WHERE k = 0), avg(p) FILTER (WHERE k = 1)) AS pace FROM q WHERE activity_id IS NOT NULL AND p > 0.3 AND p < 40 GROUP BY 1),
+ r AS (SELECT activity_id, avg(speed) AS v, max(abs(position_lat)) AS lat, count(distance) AS nd, count(speed) AS nv, arg_max(distance, timestamp) FILTER (WHERE distance IS NOT NULL) - arg_min(distance, timestamp) FILTER (WHERE distance IS NOT NULL) AS d,
+  (max(epoch_us(timestamp)) FILTER (WHERE distance IS NOT NULL) - min(epoch_us(timestamp)) FILTER (WHERE distance IS NOT NULL)) / 1e6 AS t FROM fit_records WHERE activity_id IS NOT NULL GROUP BY 1),
+ l AS (SELECT r.*, CASE WHEN v > 0 THEN ln(v) END AS lv, CASE WHEN d > 0 AND t > 0 THEN ln(d / t) END AS ld, ln(coalesce(pace, 7.0)) AS lp, CASE WHEN pace > 0 THEN 0.15 ELSE 0.4 END AS w FROM r LEFT JOIN pace ON r.activity_id = pace.activity_id),
+ u AS (SELECT l.*, su, du, coalesce(pow((lv + ln(sf) - lp) / w, 2), 0) + coalesce(pow((ld + ln(df) - lp) / w, 2), 0) + coalesce(pow((lv + ln(sf) - ld - ln(df)) / 0.04, 2), 0) AS cost
+  FROM l, (VALUES ('m/s', 1.0), ('km/h', 1 / 3.6), ('mph', 0.44704)) a(su, sf), (VALUES ('m', 1.0), ('km', 1000.0), ('mi', 1609.344)) b(du, df)),
+ b AS (SELECT activity_id, any_value(nv) AS nv, any_value(nd) AS nd, any_value(lat) AS lat, arg_min(su, cost) AS su, arg_min(du, cost) AS du FROM u GROUP BY 1),
+ x AS (SELECT raw_id, activity_id, field_name, trim(v) AS v FROM (SELECT raw_id, activity_id, speed, distance, position_lat FROM raw_records) UNPIVOT (v FOR field_name IN (speed, distance, position_lat))),
+ y AS (SELECT *, {SAID} AS said FROM x), n AS (SELECT activity_id, field_name, mode(said) AS won, max(abs(try_cast(replace(v, ',', '.') AS DOUBLE))) AS top FROM y GROUP BY 1, 2),
+ z AS (SELECT raw_id, y.field_name, CASE WHEN said IS NOT NULL THEN said WHEN y.field_name = 'position_lat' AND abs(try_cast(replace(v, ',', '.') AS DOUBLE)) > 90 THEN 'semicircles' ELSE coalesce(won, CASE WHEN y.field_name = 'position_lat' AND top > 90 THEN 'semicircles' END) END AS unit_name
+  FROM y JOIN n ON y.activity_id IS NOT DISTINCT FROM n.activity_id AND y.field_name = n.field_name)
+ SELECT 'fit_records' AS source_table, activity_id AS row_key, 'speed' AS field_name, su AS unit_name FROM b WHERE nv > 0 AND su <> 'm/s' UNION ALL SELECT 'fit_records', activity_id, 'distance', du FROM b WHERE nd > 0 AND du <> 'm'
+ UNION ALL SELECT 'fit_records', activity_id, 'position_lat', 'semicircles' FROM b WHERE lat > 90
+ UNION ALL SELECT 'fit_sessions', CAST(session_id AS VARCHAR), 'left_right_balance', CASE WHEN left_right_balance BETWEEN 128 AND 228 THEN 'offset128' WHEN left_right_balance <= 10000 THEN 'percent_x100' ELSE 'percent_x1000' END FROM fit_sessions WHERE left_right_balance > 100
+ UNION ALL SELECT 'raw_records', CAST(raw_id AS VARCHAR), field_name, unit_name FROM z WHERE unit_name NOT IN ('m/s', 'm', 'degrees')"""
+
 #: Starts as UTC instants: start_date if present, else start_date_local with its own offset or the row's zone. Of a
 #: wall-clock time that occurs twice the earlier instant.
 INSTANT = r"""CASE WHEN regexp_full_match(u, '\d{13}') THEN epoch_ms(CAST(u AS BIGINT)) WHEN regexp_full_match(u, '\d{10}') THEN epoch_ms(CAST(u AS BIGINT)*1000)
@@ -78,4 +99,4 @@ P6_FOUND = f"WITH {DAILY}, p AS (SELECT *, max(load_7) OVER (PARTITION BY athlet
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_trailing": P6_TRAILING}
+    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_trailing": P6_TRAILING}
