@@ -156,7 +156,7 @@ def environment(sessions: DataFrame) -> DataFrame:
 def device(sessions: DataFrame) -> DataFrame:
     """A stable number of the device and which sensors it had."""
     return sessions.select(
-        "session_id", F.pmod(F.crc32(F.col("serial_number").cast("binary")), F.lit(100)).cast("int").alias("device_hash"),
+        "session_id", (F.conv(F.substring(F.md5(F.col("serial_number").cast("binary")), 1, 8), 16, 10).cast("long") % 100).cast("int").alias("device_hash"),
         F.col("avg_power").isNotNull().alias("has_power"), F.col("avg_heart_rate").isNotNull().alias("has_heart_rate"), F.col("avg_cadence").isNotNull().alias("has_cadence"),
     )
 

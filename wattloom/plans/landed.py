@@ -208,7 +208,7 @@ QUERIES = {
     "feat_sensors": (two(X.sensors, "fit_sessions", "fit_records"), "SELECT session_id, r.n AS data_points, CAST(coalesce(avg_power <> 0, false) AS INT) AS has_power, CAST(coalesce(avg_heart_rate <> 0, false) AS INT) AS has_hr, CAST(coalesce(avg_cadence <> 0, false) AS INT) AS has_cadence, CAST(coalesce(avg_temperature <> 0, false) AS INT) AS has_temperature FROM fit_sessions s LEFT JOIN (SELECT activity_id, count(*) AS n FROM fit_records GROUP BY 1) r ON s.activity_id = r.activity_id"),
     "feat_environment": (_sessions(X.environment), "SELECT session_id, CASE WHEN avg_temperature < 0 THEN 1 WHEN avg_temperature < 10 THEN 2 WHEN avg_temperature < 20 THEN 3 WHEN avg_temperature < 30 THEN 4 WHEN avg_temperature IS NOT NULL THEN 5 END AS temp_zone, round(abs(CAST(avg_temperature AS DOUBLE)-12.5),9) AS temp_stress FROM fit_sessions"),
     "feat_session_power": (lambda s, d: X.session_power(*[table(s, d, t) for t in ("fit_sessions", "activities", "athletes")]), "SELECT session_id, round(nullif(avg_power,0)*60/(nullif(avg_cadence,0)*2*pi()*0.1725),9) AS force_n, round(nullif(avg_power,0)/nullif(weight_kg,0),9) AS watts_per_kg, round(nullif(normalized_power,0)/nullif(weight_kg,0),9) AS np_per_kg FROM fit_sessions s LEFT JOIN (SELECT id, min(athlete_id) AS athlete_id FROM activities GROUP BY id) a ON s.activity_id = a.id LEFT JOIN (SELECT athlete_id, max(weight_kg) AS weight_kg FROM athletes GROUP BY athlete_id) t ON a.athlete_id = t.athlete_id"),
-    "feat_device": (_sessions(X.device), None),
+    "feat_device": (_sessions(X.device), "SELECT session_id, CAST(CAST('0x' || substr(md5(serial_number), 1, 8) AS BIGINT) % 100 AS INT) AS device_hash, avg_power IS NOT NULL AS has_power, avg_heart_rate IS NOT NULL AS has_heart_rate, avg_cadence IS NOT NULL AS has_cadence FROM fit_sessions"),
     "fit_overview": (_sessions(_fit_overview), "SELECT count(*) AS sessions, round(avg(normalized_power),6) AS np, round(avg(avg_heart_rate),6) AS hr, round(avg(avg_cadence),6) AS cadence FROM fit_sessions"),
     "environment_kpis": (_sessions(_environment), "SELECT min(avg_temperature) AS coldest, round(avg(avg_temperature),6) AS mean, max(avg_temperature) AS warmest FROM fit_sessions"),
     "pedal_balance": (_sessions(_pedal_balance), f"SELECT CAST(floor(coalesce({BAL},50.0)) AS BIGINT) AS bin, count(*) AS sessions, round(avg(abs(50-coalesce({BAL},50.0))),6) AS imbalance FROM fit_sessions GROUP BY 1"),
