@@ -5,6 +5,7 @@ from __future__ import annotations
 from wattloom.operators import features as X
 from wattloom.operators import records as T
 from wattloom.operators import signal as S
+from wattloom.operators.activity import r6
 from wattloom.session import table
 
 
@@ -43,6 +44,19 @@ HR_ZONES = D(", z AS (SELECT activity_id, heart_rate*100.0/max(heart_rate) OVER
   round(-list_sum(list_transform(q, lambda x: x*ln(x))),6) AS hr_zone_entropy, round((z1+z5)/(z2+z3+z4+0.01),6) AS hr_polarization FROM y""", "heart_rate", "heart_rate IS NOT NULL")
 RECORDING = "SELECT activity_id, round(1/(1+stddev_pop(cadence) FILTER (WHERE cadence > 0)),6) AS cadence_consistency, round(stddev_pop(power),6) AS power_variability, round(stddev_pop(power)/nullif(avg(power),0),6) AS power_cv, round(stddev_pop(heart_rate)/nullif(avg(heart_rate),0),6) AS hr_cv, round(stddev_pop(cadence) FILTER (WHERE cadence > 0)/nullif(avg(cadence) FILTER (WHERE cadence > 0),0),6) AS cadence_cv, " + ", ".join(f"round(count(*) FILTER (WHERE power > {w})*100.0/nullif(count(power),0),6) AS above_{w}w_pct" for w in (100, 150, 200, 250, 300, 350, 400, 450, 500)) + ", round(avg(altitude),6) AS avg_altitude, CAST(max(temperature)-min(temperature) AS DOUBLE) AS temp_variation, count(*) AS data_points, CASE WHEN avg(altitude) < 500 THEN 1 WHEN avg(altitude) < 1500 THEN 2 WHEN avg(altitude) < 2500 THEN 3 WHEN avg(altitude) IS NOT NULL THEN 4 END AS altitude_zone FROM fit_records WHERE activity_id IS NOT NULL GROUP BY 1"
 
+
+def _rounded(df):
+    return df.select("activity_id", *[r6(c).alias(c) for c in df.columns[1:]])
+
+
+def _entropy(field: str) -> str:
+    """Matching pairs of runs of two and of three readings, within a fifth of the deviation."""
+    return D(f""", d AS (SELECT activity_id, 0.2 * stddev_pop({field}) AS r, any_value(n) AS n FROM o GROUP BY 1 HAVING any_value(n) > 10),
+ u AS (SELECT o.activity_id, pos, n, {field} AS c, lag({field}) OVER w AS b, lag({field}, 2) OVER w AS a FROM o WINDOW w AS (PARTITION BY o.activity_id ORDER BY pos)),
+ j AS (SELECT d.activity_id, any_value(d.n) AS n, count(*) AS two, count(*) FILTER (WHERE abs(x.a - y.a) <= r) AS three FROM u x JOIN d ON x.activity_id = d.activity_id JOIN u y ON x.activity_id = y.activity_id AND x.pos < y.pos AND abs(x.c - y.c) <= r AND abs(x.b - y.b) <= r GROUP BY 1)
+ SELECT d.activity_id, round(CASE WHEN coalesce(two, 0) = 0 OR three = 0 THEN 0.0 ELSE -ln((three * 2.0 / ((d.n - 2) * (d.n - 3.0))) / (two * 2.0 / ((d.n - 1) * (d.n - 2.0)))) END, 6) AS e FROM d LEFT JOIN j ON d.activity_id = j.activity_id""", field, f"{field} IS NOT NULL")
+
+
 QUERIES = {
     "feat_hr_zones": (q(X.heart_zones), HR_ZONES),
     "feat_recording": (q(X.recording), RECORDING),
@@ -69,8 +83,10 @@ QUERIES = {
     "power_fade": (q(T.power_fade), "WITH p AS (" + D(f"SELECT activity_id, {QUARTER.format(f='power')} FROM o WHERE n > 100 GROUP BY 1", "power", "power IS NOT NULL") + "), h AS (" + D(f"SELECT activity_id, {QUARTER.format(f='heart_rate')} FROM o WHERE n > 100 GROUP BY 1", "heart_rate", "heart_rate IS NOT NULL") + ") SELECT coalesce(x.activity_id, y.activity_id) AS activity_id, x.f AS power_fade_pct, y.f AS hr_rise_pct FROM (SELECT activity_id, round((a-z)/a*100,6) AS f FROM p WHERE a > 0) x FULL JOIN (SELECT activity_id, round((z-a)/a*100,6) AS f FROM h WHERE a > 0) y ON x.activity_id = y.activity_id"),
     "cadence_stability": (q(T.cadence_stability), D("SELECT activity_id, round(1/(1+round(stddev_pop(cadence)/nullif(avg(cadence),0),6)),6) AS stability, round(1/(1+stddev_pop(cadence-p_cadence)),6) AS smoothness FROM o GROUP BY 1", "cadence", "cadence > 0")),
     "spectral": (q(S.spectral), None),
-    "autocorr": (q(S.autocorr), None),
+    "autocorr": (q(S.autocorr), D(""", m AS (SELECT activity_id, avg(power) AS mu, any_value(n) AS n FROM o GROUP BY 1 HAVING any_value(n) > 60),
+ k AS (SELECT a.activity_id, b.pos - a.pos AS lag, sum((a.power - mu) * (b.power - mu)) AS r FROM o a JOIN m ON a.activity_id = m.activity_id JOIN o b ON a.activity_id = b.activity_id AND b.pos BETWEEN a.pos AND a.pos + 59 GROUP BY 1, 2)
+ SELECT activity_id, coalesce(CASE WHEN max(r) FILTER (WHERE lag = 0) > 0 THEN CAST(arg_min(lag, round(r, 6)) FILTER (WHERE lag > 0) AS DOUBLE) END, 0.0) AS period_s FROM k GROUP BY 1""", "power", "power IS NOT NULL")),
     "coherence": (q(S.coherence), None),
-    "sample_entropy": (q(S.entropy), None),
+    "sample_entropy": (lambda s, d: _rounded(S.entropy(table(s, d, "fit_records"))), f"SELECT coalesce(h.activity_id, p.activity_id) AS activity_id, h.e AS sample_entropy, p.e AS power_sample_entropy FROM ({_entropy('heart_rate')}) h FULL JOIN ({_entropy('power')}) p ON h.activity_id = p.activity_id"),
     "dfa": (q(S.dfa), None),
 }
