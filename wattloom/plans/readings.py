@@ -57,6 +57,13 @@ def _entropy(field: str) -> str:
  SELECT d.activity_id, round(CASE WHEN coalesce(two, 0) = 0 OR three = 0 THEN 0.0 ELSE -ln((three * 2.0 / ((d.n - 2) * (d.n - 3.0))) / (two * 2.0 / ((d.n - 1) * (d.n - 2.0)))) END, 6) AS e FROM d LEFT JOIN j ON d.activity_id = j.activity_id""", field, f"{field} IS NOT NULL")
 
 
+#: The one-sided periodogram by its definition.
+SPECTRAL = D(""", m AS (SELECT activity_id, avg(power) AS mu, any_value(n) AS n FROM o GROUP BY 1 HAVING any_value(n) > 10),
+ f AS (SELECT activity_id, mu, n, unnest(generate_series(1, n // 2)) AS k FROM m),
+ p AS (SELECT f.activity_id, f.k, any_value(f.n) AS n, (pow(sum((power - mu) * cos(2 * pi() * f.k * (pos - 1) / f.n)), 2) + pow(sum((power - mu) * sin(2 * pi() * f.k * (pos - 1) / f.n)), 2)) * CASE WHEN f.k < (any_value(f.n) + 1) // 2 THEN 2 ELSE 1 END AS w FROM f JOIN o ON f.activity_id = o.activity_id GROUP BY 1, 2),
+ t AS (SELECT activity_id, sum(w) AS total FROM p GROUP BY 1)
+ SELECT p.activity_id, round(CASE WHEN max(total) > 1e-9 THEN arg_max(k, w) * 1.0 / any_value(n) ELSE 0.0 END, 6) AS dominant_frequency, round(CASE WHEN max(total) > 1e-9 THEN -sum(w / total * ln(w / total + 1e-10)) ELSE 0.0 END, 6) AS spectral_entropy FROM p JOIN t ON p.activity_id = t.activity_id GROUP BY 1""", "power", "power IS NOT NULL")
+
 QUERIES = {
     "feat_hr_zones": (q(X.heart_zones), HR_ZONES),
     "feat_recording": (q(X.recording), RECORDING),
@@ -82,7 +89,7 @@ QUERIES = {
     "power_hr_corr": (q(T.power_hr_corr), "SELECT activity_id, round(corr(power, heart_rate),5) AS power_hr_corr FROM fit_records WHERE power IS NOT NULL AND heart_rate IS NOT NULL AND activity_id IS NOT NULL GROUP BY 1 HAVING count(*) > 10"),
     "power_fade": (q(T.power_fade), "WITH p AS (" + D(f"SELECT activity_id, {QUARTER.format(f='power')} FROM o WHERE n > 100 GROUP BY 1", "power", "power IS NOT NULL") + "), h AS (" + D(f"SELECT activity_id, {QUARTER.format(f='heart_rate')} FROM o WHERE n > 100 GROUP BY 1", "heart_rate", "heart_rate IS NOT NULL") + ") SELECT coalesce(x.activity_id, y.activity_id) AS activity_id, x.f AS power_fade_pct, y.f AS hr_rise_pct FROM (SELECT activity_id, round((a-z)/a*100,6) AS f FROM p WHERE a > 0) x FULL JOIN (SELECT activity_id, round((z-a)/a*100,6) AS f FROM h WHERE a > 0) y ON x.activity_id = y.activity_id"),
     "cadence_stability": (q(T.cadence_stability), D("SELECT activity_id, round(1/(1+round(stddev_pop(cadence)/nullif(avg(cadence),0),6)),6) AS stability, round(1/(1+stddev_pop(cadence-p_cadence)),6) AS smoothness FROM o GROUP BY 1", "cadence", "cadence > 0")),
-    "spectral": (q(S.spectral), None),
+    "spectral": (lambda s, d: _rounded(S.spectral(table(s, d, "fit_records"))), SPECTRAL),
     "autocorr": (q(S.autocorr), D(""", m AS (SELECT activity_id, avg(power) AS mu, any_value(n) AS n FROM o GROUP BY 1 HAVING any_value(n) > 60),
  k AS (SELECT a.activity_id, b.pos - a.pos AS lag, sum((a.power - mu) * (b.power - mu)) AS r FROM o a JOIN m ON a.activity_id = m.activity_id JOIN o b ON a.activity_id = b.activity_id AND b.pos BETWEEN a.pos AND a.pos + 59 GROUP BY 1, 2)
  SELECT activity_id, coalesce(CASE WHEN max(r) FILTER (WHERE lag = 0) > 0 THEN CAST(arg_min(lag, round(r, 6)) FILTER (WHERE lag > 0) AS DOUBLE) END, 0.0) AS period_s FROM k GROUP BY 1""", "power", "power IS NOT NULL")),
