@@ -490,3 +490,28 @@ def zscores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     sums = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns])
     s = sums.select(F.struct(*columns).alias("s")).scalar()
     return df.select("id", *[r6(F.try_divide(F.col(c) - s[c]["m"], s[c]["s"])).alias(f"z_{c}") for c in columns])
+
+
+# --- charts ------------------------------------------------------------------------------------------
+
+
+def power_comparison(df: DataFrame) -> DataFrame:
+    """Means of average, normalised and largest power and of the variability index, one row."""
+    vi = F.try_divide("icu_normalized_watts", "icu_average_watts")
+    return df.agg(
+        r6(F.avg("icu_average_watts")).alias("avg_watts"), r6(F.avg("icu_normalized_watts")).alias("np_watts"), r6(F.avg("max_power")).alias("max_watts"),
+        r6(F.avg(vi)).alias("variability"),
+    )
+
+
+def monthly_trends(df: DataFrame) -> DataFrame:
+    """By month: mean normalised power, watts a beat and heart rate."""
+    return df.groupBy(day_text(F.date_trunc("month", F.col(START))).alias("month")).agg(
+        r6(F.avg("icu_normalized_watts")).alias("np_watts"), r6(F.avg(F.try_divide("icu_average_watts", "average_heartrate"))).alias("watts_per_beat"),
+        r6(F.avg("average_heartrate")).alias("heart_rate"),
+    )
+
+
+def heart_histogram(df: DataFrame, width: int = 5) -> DataFrame:
+    """Rides by mean heart rate in bins of ``width`` beats; unknown ones are left out."""
+    return df.where("average_heartrate is not null").groupBy((F.floor(F.col("average_heartrate") / width) * width).cast("long").alias("bin")).agg(F.count("*").alias("rides"))

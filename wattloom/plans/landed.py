@@ -94,13 +94,18 @@ def _history(spark, sf_dir):
 
 
 def _ingest_report(d):
-    return d.groupBy("status").agg(F.count("*").alias("attempts"), F.sum("record_count").alias("records"), F.sum("new_activities").alias("new_rides"))
+    return d.groupBy("status").agg(F.count("*").alias("attempts"), F.sum("record_count").alias("records"), F.sum("new_activities").alias("new_rides"), r6(F.sum("new_activities") * 100.0 / F.nullif(F.sum("record_count"), F.lit(0))).alias("new_pct"))
 
 
 def _fit_overview(d):
     return d.agg(F.count("*").alias("sessions"), r6(F.avg("normalized_power")).alias("np"), r6(F.avg("avg_heart_rate")).alias("hr"), r6(F.avg("avg_cadence")).alias("cadence"))
 
 
+def _cadence(d):
+    c = F.col("avg_cadence")
+    return d.agg(r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("spread"), F.count(c).alias("sessions"))
+
+
 def _environment(d):
     t = F.col("avg_temperature")
     return d.agg(F.min(t).alias("coldest"), r6(F.avg(t)).alias("mean"), F.max(t).alias("warmest"))
@@ -210,8 +215,9 @@ QUERIES = {
     "feat_session_power": (lambda s, d: X.session_power(*[table(s, d, t) for t in ("fit_sessions", "activities", "athletes")]), "SELECT session_id, round(nullif(avg_power,0)*60/(nullif(avg_cadence,0)*2*pi()*0.1725),9) AS force_n, round(nullif(avg_power,0)/nullif(weight_kg,0),9) AS watts_per_kg, round(nullif(normalized_power,0)/nullif(weight_kg,0),9) AS np_per_kg FROM fit_sessions s LEFT JOIN (SELECT id, min(athlete_id) AS athlete_id FROM activities GROUP BY id) a ON s.activity_id = a.id LEFT JOIN (SELECT athlete_id, max(weight_kg) AS weight_kg FROM athletes GROUP BY athlete_id) t ON a.athlete_id = t.athlete_id"),
     "feat_device": (_sessions(X.device), "SELECT session_id, CAST(CAST('0x' || substr(md5(serial_number), 1, 8) AS BIGINT) % 100 AS INT) AS device_hash, avg_power IS NOT NULL AS has_power, avg_heart_rate IS NOT NULL AS has_heart_rate, avg_cadence IS NOT NULL AS has_cadence FROM fit_sessions"),
     "fit_overview": (_sessions(_fit_overview), "SELECT count(*) AS sessions, round(avg(normalized_power),6) AS np, round(avg(avg_heart_rate),6) AS hr, round(avg(avg_cadence),6) AS cadence FROM fit_sessions"),
+    "cadence_kpis": (_sessions(_cadence), "SELECT round(avg(avg_cadence),6) AS mean, round(stddev_samp(avg_cadence),6) AS spread, count(avg_cadence) AS sessions FROM fit_sessions"),
     "environment_kpis": (_sessions(_environment), "SELECT min(avg_temperature) AS coldest, round(avg(avg_temperature),6) AS mean, max(avg_temperature) AS warmest FROM fit_sessions"),
     "pedal_balance": (_sessions(_pedal_balance), f"SELECT CAST(floor(coalesce({BAL},50.0)) AS BIGINT) AS bin, count(*) AS sessions, round(avg(abs(50-coalesce({BAL},50.0))),6) AS imbalance FROM fit_sessions GROUP BY 1"),
     "ingestion_latest": (_history, "SELECT id, file_name, status FROM ingestion_history ORDER BY ingestion_timestamp DESC NULLS LAST, id DESC LIMIT 50"),
-    "ingestion_report": (q(_ingest_report, of="ingestion_history"), "SELECT status, count(*) AS attempts, CAST(sum(record_count) AS BIGINT) AS records, CAST(sum(new_activities) AS BIGINT) AS new_rides FROM ingestion_history GROUP BY status"),
+    "ingestion_report": (q(_ingest_report, of="ingestion_history"), "SELECT status, count(*) AS attempts, CAST(sum(record_count) AS BIGINT) AS records, CAST(sum(new_activities) AS BIGINT) AS new_rides, round(sum(new_activities)*100.0/nullif(sum(record_count),0),6) AS new_pct FROM ingestion_history GROUP BY status"),
 }

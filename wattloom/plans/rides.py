@@ -176,3 +176,8 @@ QUERIES |= {
     "power_sheet": (q(A.power_sheet), " UNION ALL ".join([_part("ftp", "day", "ftp", "ftp_progression"), _part("zone_hours", "zone", "hours", "power_zones"), _part("curve_watts", "duration_s", "watts", "power_curve")])),
     "predictions_sheet": (q(A.predictions_sheet), " UNION ALL ".join([_part("season", "metric || ' +' || ahead", "predicted", "season_forecast"), *[_part("readiness", f"'{c}'", c, "readiness") for c in ("form", "consistency", "intensity", "recovery", "overall")]])),
 }
+QUERIES |= {
+    "power_comparison": (q(A.power_comparison), R("SELECT round(avg(icu_average_watts),6) AS avg_watts, round(avg(icu_normalized_watts),6) AS np_watts, round(avg(max_power),6) AS max_watts, round(avg(icu_normalized_watts/nullif(icu_average_watts,0)),6) AS variability FROM rides")),
+    "monthly_trends": (q(A.monthly_trends), R("SELECT strftime(date_trunc('month', start_date_local), '%Y-%m-%d') AS month, round(avg(icu_normalized_watts),6) AS np_watts, round(avg(icu_average_watts/nullif(average_heartrate,0)),6) AS watts_per_beat, round(avg(average_heartrate),6) AS heart_rate FROM rides GROUP BY 1")),
+    "heart_histogram": (q(A.heart_histogram), R("SELECT CAST(floor(average_heartrate/5)*5 AS BIGINT) AS bin, count(*) AS rides FROM rides WHERE average_heartrate IS NOT NULL GROUP BY 1")),
+}
