@@ -6,8 +6,8 @@ import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
-from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattloom.operators import activity as A
+from wattloom.operators import trees as T
 from wattloom.session import Files
 
 FEATURES = ["days_training", "load_7", "load_28", "intensity_7", "intensity_28", "seconds_7", "seconds_28", "icu_fitness", "icu_fatigue"]
@@ -63,21 +64,40 @@ def folds(df: DataFrame, order: Sequence[str], k: int = 3) -> DataFrame:
 
 def cross_validated(df: DataFrame, features: Sequence[str], k: int = 3) -> dict[str, float]:
     """R2 of each model, the mean over expanding folds, in ``ORDER``, that have rows on both sides."""
+    return _validated(df, features, k)[0]
+
+
+def _validated(df: DataFrame, features: Sequence[str], k: int, whole: bool = False) -> tuple[dict[str, float], dict[str, T.Ensemble]]:
+    """``cross_validated``, and if ``whole``, the forest and the boosting of all rows, grown in the same jobs."""
     cut = folds(df, ORDER, k).persist()
-    few = cut.count() < 10
+    n = cut.count()
     evaluator = RegressionEvaluator(labelCol="label", metricName="r2")
     sizes = {r["fold"]: r["count"] for r in cut.groupBy("fold").count().collect()}
     usable = [i for i in range(1, k + 1) if sizes.get(i) and any(sizes.get(j) for j in range(i))]
+    models = regressors(n < 10)
 
-    def score(name: str, i: int) -> float:
-        fitted = pipeline(regressors(few)[name], features).fit(cut.where(F.col("fold") < i))
+    def score(i: int) -> float:
+        fitted = pipeline(models["linear"], features).fit(cut.where(F.col("fold") < i))
         return evaluator.evaluate(fitted.transform(cut.where(F.col("fold") == i)))
 
-    names = list(regressors(few))
-    pairs = [(m, i) for m in names for i in usable]
-    scores = dict(zip(pairs, _together([lambda m=m, i=i: score(m, i) for m, i in pairs]), strict=True))
+    scores = {("linear", i): s for i, s in zip(usable, _together([lambda i=i: score(i) for i in usable]), strict=True)}
+    all_rows = {}
+    if len(models) > 1:
+        training = T.prepared(cut, features, [*usable, *[k + 1] * whole], n, ORDER)
+        grown = {m: _grown(training, m) for m in models if m != "linear"}
+        scores |= T.scores(training, grown)
+        training.unpersist()
+        all_rows = {m: fits[k + 1] for m, fits in grown.items()} if whole else {}
     cut.unpersist()
-    return {m: sum(scores[m, i] for i in usable) / len(usable) if usable else 0.0 for m in names}
+    return {m: sum(scores[m, i] for i in usable) / len(usable) if usable else 0.0 for m in models}, all_rows
+
+
+def _grown(training: T.Training, name: str) -> dict[int, T.Ensemble]:
+    """The forest or the boosting of each fit, with the parameters of ``regressors``."""
+    model = regressors()[name]
+    if name == "forest":
+        return T.forests(training, model.getNumTrees(), model.getMaxDepth(), model.getSeed())
+    return T.boosted(training, model.getMaxIter(), model.getMaxDepth(), model.getStepSize())
 
 
 def _together(tasks: Sequence[Callable]) -> list:
@@ -108,12 +128,14 @@ def ftp_forecast(rides: DataFrame, days_ahead: int = 30) -> DataFrame:
         return spark.createDataFrame([], FORECAST)
     models = regressors(n < 10)
     # two folds, none below four rows
-    scores = cross_validated(rows, FEATURES, 2) if n >= 4 else dict.fromkeys(models, 0.0)
+    scores, trees = _validated(rows, FEATURES, 2, n >= 10) if n >= 4 else (dict.fromkeys(models, 0.0), {})
     last = rows.orderBy(*[F.desc(c) for c in ORDER]).first()
-    state = spark.createDataFrame([tuple(float(last[c]) for c in FEATURES)], ", ".join(f"{c} double" for c in FEATURES))
-    ahead = state.select(F.explode(F.sequence(F.lit(1), F.lit(days_ahead))).alias("day"), *FEATURES).withColumn("days_training", F.col("days_training") + F.col("day"))
-    fitted = _together([lambda m=m: pipeline(m, FEATURES).fit(rows) for m in models.values()])
-    every = reduce(DataFrame.unionByName, [f.transform(ahead).select("day", F.col("prediction").alias("p")) for f in fitted])
+    days = [(d, *[float(last[c]) + (d if c == "days_training" else 0) for c in FEATURES]) for d in range(1, days_ahead + 1)]
+    ahead = spark.createDataFrame(days, ", ".join(["day int", *[f"{c} double" for c in FEATURES]]))
+    line = pipeline(models["linear"], FEATURES).fit(rows).transform(ahead).select("day", F.col("prediction").alias("p"))
+    values = np.array([d[1:] for d in days]).reshape(-1, len(FEATURES))
+    of_trees = [(d[0], float(p)) for e in trees.values() for d, p in zip(days, e.predict(values), strict=True)]
+    every = line.unionByName(spark.createDataFrame(of_trees, "day int, p double"))
     rows.unpersist()
     mean, std = F.avg("p"), F.coalesce(F.stddev_pop("p"), F.lit(0.0))
     out = every.groupBy("day").agg(mean.alias("predicted"), (mean - 1.96 * std).alias("lower"), (mean + 1.96 * std).alias("upper"), F.count("*").cast("int").alias("models"))
