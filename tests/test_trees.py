@@ -74,3 +74,10 @@ def test_ftp_forecast_takes_few_jobs(spark):
     before = jobs(spark)
     assert forecast.ftp_forecast(rides(spark, 24), 3).count() == 3
     assert jobs(spark) - before < 150
+
+
+def test_power_models_take_few_jobs(spark):
+    before = jobs(spark)
+    rows = forecast.power_models(rides(spark, 40)).collect()
+    assert sum(r.importance for r in rows if r.feature) == pytest.approx(1.0)
+    assert jobs(spark) - before < 200

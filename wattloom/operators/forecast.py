@@ -221,8 +221,10 @@ def power_models(rides: DataFrame) -> DataFrame:
     out = [(m, float(s), m == best, None, None) for m, s in scores.items()]
     if trees := [m for m in scores if m != "linear"]:
         tree = max(trees, key=scores.get)
-        fitted = pipeline(regressors()[tree], POWER_FEATURES).fit(rows).stages[-1]
-        out += [(tree, float(scores[tree]), tree == best, f, float(x)) for f, x in zip(POWER_FEATURES, fitted.featureImportances.toArray(), strict=True)]
+        training = T.prepared(rows.withColumn("fold", F.lit(0)), POWER_FEATURES, [1], rows.count(), ORDER)
+        fitted = _grown(training, tree)[1]
+        training.unpersist()
+        out += [(tree, float(scores[tree]), tree == best, f, float(x)) for f, x in zip(POWER_FEATURES, fitted.importances(), strict=True)]
     rows.unpersist()
     return rides.sparkSession.createDataFrame(out, "model string, r2 double, best boolean, feature string, importance double")
 
