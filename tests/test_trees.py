@@ -81,3 +81,9 @@ def test_power_models_take_few_jobs(spark):
     rows = forecast.power_models(rides(spark, 40)).collect()
     assert sum(r.importance for r in rows if r.feature) == pytest.approx(1.0)
     assert jobs(spark) - before < 200
+
+
+def test_milestones_are_the_weeks_of_the_forecast_in_few_jobs(spark):
+    before = jobs(spark)
+    assert sorted(r.day for r in forecast.weekly_milestones(rides(spark, 24)).collect()) == [7, 14, 21, 28]
+    assert jobs(spark) - before < 150
