@@ -32,6 +32,15 @@ def test_folds_expand_by_equal_parts(spark, n, k):
     assert [got[f"i{i:03}"] for i in range(n)] == [max(0, k - (n - 1 - i) // size) if size else 0 for i in range(n)]
 
 
+@pytest.mark.parametrize("days", [[5] * 11, [0] * 2 + [5] * 9, [0, 1, 1, 1, 1, 2, 2, 2, 3, 3, 3], [0] * 6 + [1] * 3 + [2] * 3, [0, 0, 1]])
+def test_folds_are_equal_within_days_and_over_repeated_rows(spark, days):
+    rows = [(d, i // 2) for i, d in enumerate(days)]
+    got = sorted((r.day, r.id, r.fold) for r in forecast.folds(spark.createDataFrame([*rows, (None, 9)], "day int, id int"), ("day", "id"), 3).collect())
+    n, size = len(days), len(days) // 4
+    assert [r[:2] for r in got] == rows
+    assert [r[2] for r in got] == [max(0, 3 - (n - 1 - i) // size) if size else 0 for i in range(n)]
+
+
 def test_power_rows_have_all_features_and_the_ftp_label(spark):
     rows = forecast.power_rows(rides(spark)).orderBy("id").collect()
     assert len(forecast.POWER_FEATURES) == 29 and set(forecast.POWER_FEATURES) < set(rows[0].asDict())

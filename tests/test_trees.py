@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from test_models import rides
 
@@ -54,6 +55,27 @@ def test_a_forest_is_as_good_as_mllibs(spark, table):
     assert mine.importances() == pytest.approx(importance, abs=0.12) and mine.importances()[4] == 0
 
 
+def test_lines_are_mllibs(spark, table):
+    df, x = table
+    t = trees.prepared(df, FEATURES, [1, 2], df.count(), ("day", "s", "id"))
+    t.unpersist()
+    model = forecast.regressors()["linear"]
+    lines = trees.lines(t, model.getRegParam())
+    for fit, part in ((1, df.where("fold = 0")), (2, df)):
+        fitted = forecast.pipeline(model, FEATURES).fit(part)
+        p = [r.prediction for r in fitted.transform(df).orderBy("id").select("prediction").collect()]
+        assert lines[fit].predict(x) == pytest.approx(p, abs=1e-9)
+    fitted = forecast.pipeline(model, FEATURES).fit(df.where("fold = 0"))
+    r2 = RegressionEvaluator(labelCol="label", metricName="r2").evaluate(fitted.transform(df.where("fold = 1")))
+    assert trees.line_scores(t, lines, "linear") == {("linear", 1): pytest.approx(r2, abs=1e-9)}
+
+
+def test_the_line_of_one_label_or_one_row_is_flat():
+    flat = trees.line(trees.moments_of(np.array([[1.0, 2.0, 3.0], [0.1, 0.1, 0.1], [7.7, 7.7, 7.7]])), 1e-3)
+    assert list(flat.coefficients) == [0, 0] and flat.intercept == 7.7
+    assert trees.line(trees.moments_of(np.array([[1.0], [2.0]])), 1e-3).predict(np.array([[5.0]])) == [2.0]
+
+
 def test_constant_and_many_values(spark):
     same = spark.createDataFrame([(1, i, i, 2.0, 5.0, 0) for i in range(30)], "day int, s int, id int, a double, label double, fold int")
     t = trees.prepared(same, ["a"], [1], 30, ("day", "s", "id"))
@@ -87,3 +109,13 @@ def test_milestones_are_the_weeks_of_the_forecast_in_few_jobs(spark):
     before = jobs(spark)
     assert sorted(r.day for r in forecast.weekly_milestones(rides(spark, 24)).collect()) == [7, 14, 21, 28]
     assert jobs(spark) - before < 150
+
+
+def test_milestones_read_each_ride_once(spark):
+    # a ride that landed twice is two rows, as in ftp_features; joined to itself by id it was four
+    twice = rides(spark, 24).union(rides(spark, 1))
+    rows = forecast.training_rows(twice)
+    assert rows.count() == 25 and "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    before = jobs(spark)
+    assert forecast.weekly_milestones(rides(spark, 24)).count() == 4
+    assert jobs(spark) - before < 40

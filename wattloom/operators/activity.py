@@ -379,14 +379,14 @@ def _rows(a: int, b: int):
     return Window.partitionBy("athlete_id").orderBy(START, "id").rowsBetween(a, b)
 
 
-def ftp_features(df: DataFrame) -> DataFrame:
-    """Features of FTP models by rider: days since the first FTP ride and trailing means by rows."""
+def ftp_features(df: DataFrame, *also: Column | str) -> DataFrame:
+    """Features of FTP models by rider: days since the first FTP ride and trailing means by rows; beside them the columns ``also``."""
     known = df.withColumn("ftp", unified_ftp(df)).where("ftp is not null")
     first = F.min(F.col(START).cast("date")).over(Window.partitionBy("athlete_id"))
     return known.select(
         "id", "athlete_id", "ftp", F.datediff(F.col(START).cast("date"), first).alias("days_training"),
         *[r9(F.avg(c).over(_rows(1 - k, 0))).alias(f"{n}_{k}") for c, n in (("icu_training_load", "load"), ("icu_intensity", "intensity")) for k in (7, 28)],
-        *[r6(F.sum("moving_time").over(_rows(1 - k, 0))).alias(f"seconds_{k}") for k in (7, 28)], "icu_fitness", "icu_fatigue",
+        *[r6(F.sum("moving_time").over(_rows(1 - k, 0))).alias(f"seconds_{k}") for k in (7, 28)], "icu_fitness", "icu_fatigue", *also,
     )
 
 

@@ -9,7 +9,6 @@ from datetime import datetime, timezone
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,17 +48,36 @@ def pipeline(model, features: Sequence[str]) -> Pipeline:
 def folds(df: DataFrame, order: Sequence[str], k: int = 3) -> DataFrame:
     """``df`` with ``fold`` 0 to k in order: training on folds before i and testing on i is an
     expanding split. Folds 1 to k have n // (k + 1) rows each, fold 0 the rest. ``order`` begins with
-    a number of few distinct values (a day): ranks are worked out within it and carried over by counts."""
+    a number of few distinct values (a day), which tells the fold but for the at most k values that
+    a fold begins within; only their rows are ranked."""
+    return _folds(df, order, k)[0]
+
+
+def _folds(df: DataFrame, order: Sequence[str], k: int) -> tuple[DataFrame, int]:
+    """``folds`` and the number of rows. ``df`` is read three times."""
     first, *rest = order
-    counts = df.groupBy(first).agg(F.count("*").alias("_m"))
-    along = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(first, F.coalesce(F.sum("_m").over(along), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy()).alias("_n"))
+    df = df.where(F.col(first).isNotNull())
+    counts = sorted((r[0], r[1]) for r in df.groupBy(first).count().collect())
+    n = sum(m for _, m in counts)
+    size = n // (k + 1)
+    begins = [n - j * size for j in range(k, 0, -1)] if size else []
+
+    def fold(position: Column) -> Column:
+        return sum((F.when(position >= b, 1).otherwise(0) for b in begins), F.lit(0)).cast("int")
+
+    before, cut, after = 0, {}, [None] * len(begins)
+    for value, m in counts:
+        if any(before < b < before + m for b in begins):
+            cut[value] = before
+        after = [value if x is None and before >= b else x for x, b in zip(after, begins, strict=True)]
+        before += m
+    known = sum((F.when(F.col(first) >= x, 1).otherwise(0) for x in after if x is not None), F.lit(0)).cast("int")
+    if not cut:
+        return df.withColumn("fold", known), n
     within = F.row_number().over(Window.partitionBy(first).orderBy(*(rest or [first])))
-    ranked = df.withColumn("_within", within).join(before, first)
-    size = F.floor(F.col("_n") / (k + 1))
-    behind = F.col("_n") - F.col("_before") - F.col("_within")
-    fold = F.when(size > 0, F.greatest(F.lit(0), k - F.floor(behind / size))).otherwise(0).cast("int")
-    return ranked.withColumn("fold", fold).drop("_within", "_before", "_n")
+    start = F.coalesce(*[F.when(F.col(first) == value, F.lit(x)) for value, x in cut.items()])
+    ranked = df.where(F.col(first).isin(*cut)).withColumn("_within", within).withColumn("fold", fold(start + F.col("_within") - 1)).drop("_within")
+    return df.where(~F.col(first).isin(*cut)).withColumn("fold", known).unionByName(ranked), n
 
 
 def cross_validated(df: DataFrame, features: Sequence[str], k: int = 3) -> dict[str, float]:
@@ -67,29 +85,23 @@ def cross_validated(df: DataFrame, features: Sequence[str], k: int = 3) -> dict[
     return _validated(df, features, k)[0]
 
 
-def _validated(df: DataFrame, features: Sequence[str], k: int, whole: bool = False) -> tuple[dict[str, float], dict[str, T.Ensemble]]:
-    """``cross_validated``, and if ``whole``, the forest and the boosting of all rows, grown in the same jobs."""
-    cut = folds(df, ORDER, k).persist()
-    n = cut.count()
-    evaluator = RegressionEvaluator(labelCol="label", metricName="r2")
-    sizes = {r["fold"]: r["count"] for r in cut.groupBy("fold").count().collect()}
-    usable = [i for i in range(1, k + 1) if sizes.get(i) and any(sizes.get(j) for j in range(i))]
-    models = regressors(n < 10)
-
-    def score(i: int) -> float:
-        fitted = pipeline(models["linear"], features).fit(cut.where(F.col("fold") < i))
-        return evaluator.evaluate(fitted.transform(cut.where(F.col("fold") == i)))
-
-    scores = {("linear", i): s for i, s in zip(usable, _together([lambda i=i: score(i) for i in usable]), strict=True)}
-    all_rows = {}
-    if len(models) > 1:
-        training = T.prepared(cut, features, [*usable, *[k + 1] * whole], n, ORDER)
-        grown = {m: _grown(training, m) for m in models if m != "linear"}
-        scores |= T.scores(training, grown)
-        training.unpersist()
-        all_rows = {m: fits[k + 1] for m, fits in grown.items()} if whole else {}
-    cut.unpersist()
-    return {m: sum(scores[m, i] for i in usable) / len(usable) if usable else 0.0 for m in models}, all_rows
+def _validated(df: DataFrame, features: Sequence[str], k: int, whole: bool = False) -> tuple[dict[str, float], dict[str, T.Line | T.Ensemble]]:
+    """``cross_validated``, and if ``whole``, every model of all rows, fitted in the same jobs. ``df`` is read three times."""
+    cut, n = _folds(df, ORDER, k)
+    usable = list(range(1, k + 1)) if n > k else []
+    models, fits = regressors(n < 10), [*usable, *[k + 1] * whole]
+    if not fits:
+        return dict.fromkeys(models, 0.0), {}
+    training = T.prepared(cut, features, fits, n, ORDER)
+    lines = T.lines(training, models["linear"].getRegParam())
+    scores, grown = T.line_scores(training, lines, "linear"), {"linear": lines}
+    if trees := [m for m in models if m != "linear"]:
+        training.base.count()  # else each model's first job bins the rows
+        training.raw.unpersist()
+        grown |= dict(zip(trees, _together([lambda m=m: _grown(training, m) for m in trees]), strict=True))
+        scores |= T.scores(training, {m: grown[m] for m in trees})
+    training.unpersist()
+    return {m: sum(scores[m, i] for i in usable) / len(usable) if usable else 0.0 for m in models}, {m: x[k + 1] for m, x in grown.items()} if whole else {}
 
 
 def _grown(training: T.Training, name: str) -> dict[int, T.Ensemble]:
@@ -108,8 +120,8 @@ def _together(tasks: Sequence[Callable]) -> list:
 
 def training_rows(rides: DataFrame) -> DataFrame:
     """Features and label of the FTP models, with the columns of ``ORDER``."""
-    rows = A.ftp_features(rides).withColumnRenamed("ftp", "label").na.drop(subset=[*FEATURES, "label"])
-    return rows.join(rides.select("id", A.START, F.unix_date(F.col(A.START).cast("date")).alias("day")), "id")
+    day = F.unix_date(F.col(A.START).cast("date")).alias("day")
+    return A.ftp_features(rides, A.START, day).withColumnRenamed("ftp", "label").na.drop(subset=[*FEATURES, "label", "id"])
 
 
 FORECAST = "day int, predicted double, lower double, upper double, models int, r2_linear double, r2_forest double, r2_boosting double, best_model string, current_ftp double, expected_gain double, expected_gain_pct double"
@@ -126,16 +138,12 @@ def ftp_forecast(rides: DataFrame, days_ahead: int = 30) -> DataFrame:
     if n < 3 or distinct < 3:
         rows.unpersist()
         return spark.createDataFrame([], FORECAST)
-    models = regressors(n < 10)
-    # two folds, none below four rows
-    scores, trees = _validated(rows, FEATURES, 2, n >= 10) if n >= 4 else (dict.fromkeys(models, 0.0), {})
     last = rows.orderBy(*[F.desc(c) for c in ORDER]).first()
+    # two folds, none below four rows
+    scores, models = _validated(rows, FEATURES, 2 if n >= 4 else 0, whole=True)
     days = [(d, *[float(last[c]) + (d if c == "days_training" else 0) for c in FEATURES]) for d in range(1, days_ahead + 1)]
-    ahead = spark.createDataFrame(days, ", ".join(["day int", *[f"{c} double" for c in FEATURES]]))
-    line = pipeline(models["linear"], FEATURES).fit(rows).transform(ahead).select("day", F.col("prediction").alias("p"))
     values = np.array([d[1:] for d in days]).reshape(-1, len(FEATURES))
-    of_trees = [(d[0], float(p)) for e in trees.values() for d, p in zip(days, e.predict(values), strict=True)]
-    every = line.unionByName(spark.createDataFrame(of_trees, "day int, p double"))
+    every = spark.createDataFrame([(d[0], float(p)) for x in models.values() for d, p in zip(days, x.predict(values), strict=True)], "day int, p double")
     rows.unpersist()
     mean, std = F.avg("p"), F.coalesce(F.stddev_pop("p"), F.lit(0.0))
     out = every.groupBy("day").agg(mean.alias("predicted"), (mean - 1.96 * std).alias("lower"), (mean + 1.96 * std).alias("upper"), F.count("*").cast("int").alias("models"))
@@ -239,11 +247,12 @@ def save_model(model, path: str, about: dict) -> None:
 
 def train_and_save(rides: DataFrame, path: str) -> dict:
     """The best of the power models by cross-validation, fitted to all rows and saved with its metadata."""
-    rows = power_rows(rides)
+    rows = power_rows(rides).persist()
     n = rows.count()
     scores = cross_validated(rows, POWER_FEATURES)
     best = max(scores, key=scores.get)
     fitted = pipeline(regressors(n < 10)[best], POWER_FEATURES).fit(rows)
+    rows.unpersist()
     about = {"model": best, "scores": scores, "features": POWER_FEATURES, "rows": n}
     save_model(fitted, path, about)
     return about

@@ -1,4 +1,4 @@
-"""Forests and boosting of MLlib's definition over many training sets at once: values are binned once, a
+"""Lines, forests and boosting of MLlib's definition over many training sets at once: values are binned once, a
 level of every training set is one job, and histograms are sums in NumPy over blocks of rows.
 
 What is fitted is what ``RandomForestRegressor`` and ``GBTRegressor`` fit (bins, gains, Poisson bootstrap, a third of
@@ -26,8 +26,8 @@ LEAST_ROWS, TASK_ROWS = 25_000, 500_000
 POINTS = 8192
 #: Bits of a word of bins: features that fit share it, and one count over words serves them all.
 WORD_BITS = 10
-#: Rows up to which one task boosts a whole training set; beyond, each level is a job over all tasks. Both give the same trees.
-WHOLE_ROWS = 2_000_000
+#: Rows of ten features (fewer of more) up to which one task boosts a whole training set; beyond, each level is a job over all tasks. Both give the same trees.
+WHOLE_ROWS = 6_000_000
 #: Rounds of boosting after which residuals are worked out anew from the first, so that lineage stays short.
 REBUILD = 20
 
@@ -155,10 +155,14 @@ class Ensemble:
         return total / total.sum() if total.sum() > 0 else total
 
 
-def summed_up(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and their counts; beyond ``POINTS``, as many groups of about equal counts by their largest value."""
-    v, where = np.unique(values, return_inverse=True)
-    c = np.bincount(where, counts, len(v))
+def summed_up(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and their counts (None: 1 each); beyond ``POINTS``, as many groups of about equal counts by their largest value."""
+    if counts is None:
+        v, c = np.unique(values, return_counts=True)
+        c = c.astype(float)
+    else:
+        v, where = np.unique(values, return_inverse=True)
+        c = np.bincount(where, counts, len(v))
     if len(v) <= POINTS:
         return v, c
     group = ((np.cumsum(c) - c / 2) / c.sum() * POINTS).astype(int)
@@ -213,9 +217,12 @@ def poisson_table() -> np.ndarray:
 
 @dataclass
 class Training:
-    """Binned rows: base has (fit, block number, tested, bins, label). Fit i trains on the folds before i and is tested on fold i."""
+    """Binned rows: base has (fit, block number, tested, bins, label), made from the rows as they are. moments by fold, of features and label.
+    Fit i trains on the folds before i and is tested on fold i."""
 
     base: RDD
+    raw: RDD
+    moments: dict[int, tuple[int, np.ndarray, np.ndarray]]
     fits: list[int]
     thresholds: dict[int, list[np.ndarray]]
     rows: int
@@ -227,6 +234,65 @@ class Training:
 
     def unpersist(self) -> None:
         self.base.unpersist()
+        self.raw.unpersist()
+
+
+def moments_of(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, means and squares about the means of columns; exactly 0 for a variable that is constant."""
+    z = x - x[:, :1]
+    off = z.mean(1, keepdims=True)
+    z -= off
+    return x.shape[1], (x[:, :1] + off)[:, 0], z @ z.T
+
+
+def moments_together(parts: Sequence[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    n, mean, squares = parts[0]
+    for m, other, more in parts[1:]:
+        d = other - mean
+        squares = squares + more + np.outer(d, d) * (n * m / (n + m))
+        n, mean = n + m, mean + d * (m / (n + m))
+    return n, mean, squares
+
+
+@dataclass
+class Line:
+    """A straight line through features."""
+
+    coefficients: np.ndarray
+    intercept: float
+
+    def predict(self, values: np.ndarray) -> np.ndarray:
+        """Of rows by features."""
+        return values @ self.coefficients + self.intercept
+
+
+def line(moments: tuple[int, np.ndarray, np.ndarray], ridge: float) -> Line:
+    """What ``LinearRegression`` solves with this regParam: normal equations of variables in deviations, the ridge in those of the label."""
+    n, mean, squares = moments
+    std = np.sqrt(np.diag(squares) / n)
+    if std[-1] == 0:
+        return Line(np.zeros(len(std) - 1), float(mean[-1]))
+    by = np.where(std > 0, std, 1)
+    r = squares / n / np.outer(by, by)
+    slopes = np.linalg.solve(r[:-1, :-1] + ridge / std[-1] * np.eye(len(std) - 1), r[:-1, -1]) * std[-1] / by[:-1]
+    return Line(slopes, float(mean[-1] - slopes @ mean[:-1]))
+
+
+def lines(t: Training, ridge: float) -> dict[int, Line]:
+    """The line of each fit."""
+    return {i: line(moments_together([m for fold, m in sorted(t.moments.items()) if fold < i]), ridge) for i in t.fits}
+
+
+def line_scores(t: Training, fitted: dict[int, Line], name: str) -> dict[tuple[str, int], float]:
+    """R2 of each fit's line on the rows it is tested on."""
+    out = {}
+    for i in t.fits:
+        if i in t.moments:
+            n, mean, squares = t.moments[i]
+            away = np.append(-fitted[i].coefficients, 1.0)
+            with np.errstate(all="ignore"):
+                out[name, i] = float(1 - (away @ squares @ away + n * (away @ mean - fitted[i].intercept) ** 2) / squares[-1, -1])
+    return out
 
 
 def prepared(df: DataFrame, features: Sequence[str], fits: Sequence[int], rows: int, order: Sequence[str], bins: int = 32) -> Training:
@@ -254,19 +320,23 @@ def prepared(df: DataFrame, features: Sequence[str], fits: Sequence[int], rows:
         if held:
             yield cut()
 
-    raw = dealt.mapInPandas(blocks, "block binary").rdd.map(lambda r: pickle.loads(r[0]))
+    raw = dealt.mapInPandas(blocks, "block binary").rdd.map(lambda r: pickle.loads(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
     width = len(names)
 
     def points(x):
         for fold in np.unique(x[-1]):
             own = x[:, x[-1] == fold]
             for f in range(width):
-                yield (int(fold), f), [summed_up(own[f], np.ones(own.shape[1]))]
+                yield (int(fold), f), [summed_up(own[f])]
+            yield (int(fold), width), [moments_of(own[:-1])]
 
     def merged(parts):
+        if len(parts[0]) == 3:
+            return moments_together(parts)
         return summed_up(np.concatenate([v for v, _ in parts]), np.concatenate([c for _, c in parts]))
 
     found = raw.flatMap(points).reduceByKey(lambda a, b: [merged(a + b)] if len(a) + len(b) > 16 else a + b, tasks).mapValues(merged).collectAsMap()
+    moments = {fold: m for (fold, f), m in found.items() if f == width}
     cuts = {i: [thresholds(*merged([p for (fold, g), p in sorted(found.items(), key=lambda x: x[0]) if g == f and fold < i]), bins) for f in range(width)] for i in fits}
 
     def binned(task: int, xs: Iterator[np.ndarray]):
@@ -276,27 +346,30 @@ def prepared(df: DataFrame, features: Sequence[str], fits: Sequence[int], rows:
                     if mask.any():
                         yield i, (task, number), tested, coded(cuts[i], x[:width, mask]), x[-2, mask]
 
-    return Training(raw.mapPartitionsWithIndex(binned).persist(StorageLevel.MEMORY_AND_DISK), list(fits), cuts, rows, tasks, bins)
+    return Training(raw.mapPartitionsWithIndex(binned).persist(StorageLevel.MEMORY_AND_DISK), raw, moments, list(fits), cuts, rows, tasks, bins)
 
 
-def _sums(at: Words, tree: Tree, level: int, width: int, codes: np.ndarray, words: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Rows and sums of labels of a level of a tree, by node, feature and bin."""
+def _sums(at: Words, tree: Tree, level: int, width: int, codes: np.ndarray, words: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Rows and sums of labels of a level of a tree, by node, feature and bin. rows: those of the first level, where known."""
+    if level == 0 and rows is not None:
+        return np.concatenate([rows, at.histogram(words, None, 1, width, (y,))])
     return at.histogram(words, tree.node(codes, level) if level else None, 1 << level, width, (None, y))
 
 
 def boosted(t: Training, rounds: int, depth: int, step: float) -> dict[int, Ensemble]:
     """Boosting of each fit: small training sets whole in a task each, of larger ones each level is a job."""
     train = t.base.filter(lambda x: not x[2])
-    if t.rows <= WHOLE_ROWS:
+    if t.rows * len(next(iter(t.thresholds.values()), ())) <= WHOLE_ROWS * 10:
         at, width = t.words(), t.bins
 
         def whole(x) -> tuple[int, list[Tree]]:
             i, parts = x[0], [[codes, at[x[0]].pack(codes), y] for _, codes, y in sorted(x[1], key=lambda p: p[0])]
+            rows = [at[i].histogram(words, None, 1, width, (None,)) for _, words, _ in parts]
             trees: list[Tree] = []
             for k in range(rounds):
                 tree = Tree(depth)
                 for level in range(depth):
-                    tree.grow(level, best_splits(*sum(_sums(at[i], tree, level, width, codes, words, y * (2 if k else 1)) for codes, words, y in parts)))
+                    tree.grow(level, best_splits(*sum(_sums(at[i], tree, level, width, codes, words, y * (2 if k else 1), n) for (codes, words, y), n in zip(parts, rows, strict=True))))
                 for p in parts:
                     p[2] = p[2] - (step if k else 1.0) * tree.predict(p[0])
                 trees.append(tree)
